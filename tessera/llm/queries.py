@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality
+from . import bpe, chat, quality, toxicity
 from .docstats import fold
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) == 1)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,5 +34,5 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.text_parts(turns.unionByName(extra))))
 
 
-QUERIES = {f.__name__: f for f in (op7_bpe_codec, op8_quality_rff, op10_chat_parts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op7_bpe_codec, op8_quality_rff, op10_chat_parts)}
 ORACLES: dict[str, str] = {}
