@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, toxicity
+from . import bpe, chat, decontaminate, linededup, quality, toxicity
 from .docstats import fold
 
 
@@ -34,5 +34,35 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.text_parts(turns.unionByName(extra))))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op7_bpe_codec, op8_quality_rff, op10_chat_parts)}
-ORACLES: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+WORDS_SQL = r"""list_filter(string_split_regex(lower(coalesce({0}, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"""
+SHINGLES_SQL = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
+
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": f"""
+with lines as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)),
+w as (select doc_id, line_no, {WORDS_SQL.format("line")} as w from lines),
+t as (select distinct doc_id, line_no, unnest({SHINGLES_SQL}) as tok from w),
+n as (select doc_id, line_no, count(*) as n from t group by all),
+p as (select y.doc_id, y.line_no, x.doc_id as xd, x.line_no as xl, count(*) as c from t y join t x on y.tok = x.tok and (x.doc_id, x.line_no) < (y.doc_id, y.line_no) group by all),
+gone as (select distinct p.doc_id, p.line_no from p join n a on a.doc_id = p.doc_id and a.line_no = p.line_no join n b on b.doc_id = p.xd and b.line_no = p.xl where 4 * c >= 3 * (a.n + b.n - c)),
+kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.line_no) as text from lines l anti join gone g on l.doc_id = g.doc_id and l.line_no = g.line_no group by l.doc_id),
+r as (select doc_id, count(*) as n from gone group by all)
+select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(r.n, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join r on r.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id""",
+    "op9_benchmark_containment": f"""
+with i as (select item_id, {WORDS_SQL.format("text")} as w from benchmark), d as (select doc_id, {WORDS_SQL.format("text")} as w from documents),
+s as (select distinct item_id, unnest({SHINGLES_SQL}) as h from i), n as (select item_id, count(*) as n from s group by all),
+dh as (select distinct doc_id, unnest({SHINGLES_SQL}) as h from d),
+c as (select item_id, doc_id, count(*) as c from s join dh using (h) group by all)
+select item_id, doc_id, n as n_shingles, c as n_shared, round(c / n, 6) as containment from c join n using (item_id) where 100 * c >= 75 * n""",
+}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op4_line_dedup, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}

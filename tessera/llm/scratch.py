@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,3 +34,9 @@ def drop(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing refers to any more, now and not at the next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
