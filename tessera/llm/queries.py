@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, ngramjoin, quality, toxicity
+from . import bpe, chat, decontaminate, linededup, ngramjoin, quality, suffixdedup, toxicity
 from .docstats import fold
 
 
@@ -17,6 +17,10 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) == 1)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,4 +73,4 @@ dh as (select distinct doc_id, unnest({SHINGLES_SQL}) as h from d),
 c as (select item_id, doc_id, count(*) as c from s join dh using (h) group by all)
 select item_id, doc_id, n as n_shingles, c as n_shared, round(c / n, 6) as containment from c join n using (item_id) where 100 * c >= 75 * n""",
 }
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op4_line_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}
