@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, ngramjoin, quality, suffixdedup, toxicity
+from . import bpe, capjoin, chat, decontaminate, linededup, ngramjoin, quality, suffixdedup, toxicity
 from .docstats import fold
 
 
@@ -42,6 +42,10 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.text_parts(turns.unionByName(extra))))
 
 
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capjoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -55,6 +59,12 @@ WORDS_SQL = r"""list_filter(string_split_regex(lower(coalesce({0}, '')), '[ \t\n
 SHINGLES_SQL = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
 
 ORACLES: dict[str, str] = {
+    "op3_cap_filters": """
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.93),
+r as (select vec_id as a, vec_id as c from embeddings union select e.b, r.c from r join e on e.a = r.a),
+m as (select a, min(c) as c from r group by a), n as (select a, count(*) as n from e group by a)
+select m.a as vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, m.a = c as kept from m left join n on n.a = m.a""",
     "op4_line_dedup": f"""
 with lines as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)),
 w as (select doc_id, line_no, {WORDS_SQL.format("line")} as w from lines),
@@ -73,4 +83,4 @@ dh as (select distinct doc_id, unnest({SHINGLES_SQL}) as h from d),
 c as (select item_id, doc_id, count(*) as c from s join dh using (h) group by all)
 select item_id, doc_id, n as n_shingles, c as n_shared, round(c / n, 6) as containment from c join n using (item_id) where 100 * c >= 75 * n""",
 }
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op3_cap_filters, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}
