@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capjoin, chat, decontaminate, linededup, ngramjoin, quality, suffixdedup, toxicity
+from . import bpe, capjoin, chat, decontaminate, htmltext, linededup, ngramjoin, quality, suffixdedup, toxicity
 from .docstats import fold
 
 
@@ -42,6 +42,10 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.text_parts(turns.unionByName(extra))))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capjoin.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -83,4 +87,4 @@ dh as (select distinct doc_id, unnest({SHINGLES_SQL}) as h from d),
 c as (select item_id, doc_id, count(*) as c from s join dh using (h) group by all)
 select item_id, doc_id, n as n_shingles, c as n_shared, round(c / n, 6) as containment from c join n using (item_id) where 100 * c >= 75 * n""",
 }
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op3_cap_filters, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_html_text, op3_cap_filters, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}
