@@ -43,7 +43,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     dw = docs.select(F.col(doc_col).alias("doc"), words(F.col(text_col)).alias("w"))
     hits = None
     for width, n in sorted(widths.items()):
-        rows = dw.where(F.size("w") >= width).select("doc", F.size("w").alias("m"), F.explode(shingles(F.col("w"), width)).alias("h"))
+        rows = dw.select("doc", F.size("w").alias("m"), F.explode(shingles(F.col("w"), width)).alias("h"))
         own = sk.where(F.col("width") == width).drop("width")
         own = F.broadcast(own) if n <= BROADCAST_SHINGLES else own
         got = rows.join(own, "h").where(F.col("m") - (width - 1) >= F.col("n") * percent / 100).select("item", "doc", "n", "h", "in_sketch")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import drop, release, save
-from .shingles import shingles, words
+from .shingles import SPACE, shingles, words
 
 BLOCKS = (1, 8, 64)
 
@@ -34,17 +34,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def _tokens(line: Column) -> Column:
-    return F.sort_array(F.array_distinct(shingles(words(line))))
+def _tokens(lines: DataFrame, *keep: str) -> DataFrame:
+    """Adds t, the sorted distinct tokens. Words get a column of their own: inside a lambda they would be split again for each token."""
+    w = lines.where(F.btrim("line", F.lit(SPACE)) != "").select(*keep, words(F.col("line")).alias("w"))
+    return w.select(*keep, F.sort_array(F.array_distinct(shingles(F.col("w")))).alias("t"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of every line that matches an earlier one. Blank lines, null texts and rows
     without a doc_id take no part; doc_id is the key, and repeated rows count as one."""
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    t = _lines(own).select("doc_id", "line_no", _tokens(F.col("line")).alias("t"))
+    t = _tokens(_lines(own), "doc_id", "line_no")
     n = F.size("t")
-    lines = save(t.where(n > 0).select("doc_id", "line_no", n.alias("n"), F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), F.slice("t", F.lit(1), (n - _needed(n) + 1).cast("int")).alias("p")))
+    lines = save(t.select("doc_id", "line_no", n.alias("n"), F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), F.slice("t", F.lit(1), (n - _needed(n) + 1).cast("int")).alias("p")))
     at = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")
     classes = save(lines.groupBy("k1", "k2", "n").agg(F.min(at.cast("decimal(38,0)")).alias("at")))
 
@@ -59,7 +61,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     want = first.groupBy("doc_id").agg(F.collect_set("line_no").alias("want"))
     again = own.join(want, "doc_id")
     again = again.select("doc_id", "want", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("want", F.col("line_no")))
-    sets = save(first.join(again.select("doc_id", "line_no", _tokens(F.col("line")).alias("t")), ["doc_id", "line_no"]).select("at", "n", "t").dropDuplicates(["at"]))
+    sets = save(first.join(_tokens(again, "doc_id", "line_no"), ["doc_id", "line_no"]).select("at", "n", "t").dropDuplicates(["at"]))
 
     df = sets.select(F.explode("t").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     near = sets.select("at", "n", F.explode("t").alias("h")).join(df, "h").groupBy("at", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
