@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COUNT_ROWS, FIT_ROWS, EPOCHS, BITS, CACHE, BLOCK = 4000, 250, 50, 20, 400_000, 1_000_000
+COUNT_ROWS, FIT_ROWS, EPOCHS, BITS, CACHE, BLOCK = 2500, 250, 50, 20, 400_000, 1_000_000
 WORD = re.compile(r"\w+")
 
 
