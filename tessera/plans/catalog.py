@@ -24,7 +24,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import search_queries  # noqa: F401
+    from . import governance_queries, search_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
