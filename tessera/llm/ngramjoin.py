@@ -12,6 +12,7 @@ Documents are sets of five-word shingles; two link at a distance of r = 0.25 or
    with the ball lies within 2r of the pivot, so documents between r and 2r, the boundary, go to both
    regions: with the ball, and with all documents outside it, which is the next level's cell. Levels
    go on with new pivots; what few are left after the last one are compared with each other.
+   A pair that shares several cells is looked at in one of them.
 5. Pairs that the windows leave, and that are not in one component yet, are verified exactly.
 
 Work at each level follows the number of rows in cells, not pairs in them; components come from stars.
@@ -26,7 +27,7 @@ from . import wordsets
 from .components import connected_components
 from .scratch import drop, release, save
 
-EIGHTHS, LEVELS = 3, 4
+EIGHTHS, LEVELS = 3, 6
 
 
 def _needed(n):
@@ -60,7 +61,7 @@ def _may_link(x: str, y: str):
 
 def set_links(sets: DataFrame) -> DataFrame:
     """``sets`` (rep, n, s), all different -> edges (a, b) that leave the components of all linked pairs."""
-    cells = save(_cells(sets))
+    every = cells = save(_cells(sets))
     links, shells = None, None
     for level in range(LEVELS):
         pivots = cells.groupBy("cell").agg(F.min("rep").alias("p"), F.count("*").alias("m")).where("m > 1")
@@ -72,21 +73,29 @@ def set_links(sets: DataFrame) -> DataFrame:
         shell = save(at.where("d <= 0.5").select("cell", F.lit(level).alias("level"), "rep", "p", "n", "i", "d", "link"))
         shells = shell if shells is None else shells.union(shell)
         nxt = save(at.where("not link").select("cell", "rep", "n", "i"))
-        drop(cells)
+        if cells is not every:
+            drop(cells)
         cells = nxt
         release(sets.sparkSession)
         if cells.isEmpty():
             break
     comp = save(connected_components(links))
-    of = lambda t: t.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    shell = save(of(shells))
-    ball, window = shell.where("link").alias("x"), shell.where("not link").alias("y")
+    of = lambda t, c="rep", n="component": t.join(comp.withColumnsRenamed({"id": c, "component": n}), c, "left").withColumn(n, F.coalesce(n, c))
+    # a pair may share many cells; it is looked at in the first of them
+    first = lambda t: t.join(prefixes, "rep")
+    prefixes = every.groupBy("rep").agg(F.collect_list("cell").alias("all"))
+    here = F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.cell")
     same = lambda *c: [F.col(f"x.{k}") == F.col(f"y.{k}") for k in c]
-    apart = F.col("x.component") != F.col("y.component")
-    one = ball.join(window, same("cell", "level")).where(apart & (F.col("y.d") - F.col("x.d") <= 0.25 + 1e-9) & _may_link("x", "y"))
+    shell = of(shells, "p", "ball")
+    window = save(of(shell.where("not link")).where("component <> ball"))
+    ball = shell.where("link").join(window.select("cell", "level").distinct(), ["cell", "level"], "left_semi")
+    one = first(ball).alias("x").join(first(window).alias("y"), same("cell", "level")).where((F.col("y.d") - F.col("x.d") <= 0.25 + 1e-9) & _may_link("x", "y") & here)
     rest = save(of(cells))
-    two = rest.alias("x").join(rest.alias("y"), same("cell")).where((F.col("x.rep") < F.col("y.rep")) & apart & _may_link("x", "y"))
-    pairs = one.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).union(two.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct()
+    mixed = rest.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cell")
+    rest = first(rest.join(mixed, "cell", "left_semi"))
+    two = rest.alias("x").join(rest.alias("y"), same("cell")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y") & here)
+    ends = lambda t: t.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    pairs = save(ends(one).union(ends(two)).distinct())
     return save(links.union(_measured(pairs, sets).where("link").select("a", "b")))
 
 
