@@ -8,12 +8,13 @@ first:
 1. Anchors. In each string of K bytes the k-gram of least hash, the leftmost of equal ones, is its
    anchor. Equal strings have equal anchors at equal offsets, so occurrences of a repeat meet
    at one anchor; about 2 of every K - k positions are anchors.
-2. Anchors whose k-gram occurs once are dropped. The others bring their surroundings, K - k
-   bytes to each side; equal surroundings of one anchor collapse into one row with its first and
+2. Anchors whose k-gram occurs once are dropped. The others bring the strings of K bytes whose
+   anchor they are, as one piece of text; equal pieces collapse into one row with its first and
    last place before the shuffle.
-3. Suffix arrays of the surroundings, many groups at once, are built by prefix doubling. In
-   the suffix order of one group, ties cut at K bytes and put in order of place, the previous and
-   the next smaller place in a run tell whether an earlier or a later match exists.
+3. The suffixes from the anchors of a group are sorted, the prefixes to their left likewise
+   from right to left, and common lengths of neighbours are taken. A start s bytes before the anchor has
+   a match of K bytes where both orders keep two rows together for s and for K - s bytes. Rows go by place
+   inside such a run, so the previous smaller place in suffix order tells whether there is an earlier match.
 4. The positions found go back to their documents as ranges.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .scratch import release, save
 
-LENGTH, GRAM, BLOCK, GROUP, CHUNK = 200, 48, 1 << 18, 3000, 1500
+LENGTH, GRAM, BLOCK, GROUP, CHUNK = 200, 88, 1 << 18, 3000, 1500
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -55,69 +56,87 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(aft[:n], fore[w - 1 : w - 1 + n])
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and k-gram hashes of all anchors; texts shorter than ``length`` have none. Works in blocks."""
+def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Places, k-gram hashes, and first and last start of the strings that each anchor stands for. Texts shorter
+    than ``length`` have none. Works in blocks."""
     whole, w = np.frombuffer(data, np.uint8), length - k + 1
-    places, hashes = [], []
+    out = []
     for lo in range(0, len(whole) - length + 1, BLOCK):
         h = gram_hashes(whole[lo : lo + BLOCK + length - 1], k)
         key = (h & ~np.uint64((1 << 20) - 1)) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equal hashes
-        at = np.unique(window_minima(key, w) & np.uint64((1 << 20) - 1)).astype(np.int64)
-        places.append(at + lo)
-        hashes.append(h[at].view(np.int64))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
-
-
-def ranks(text: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Suffix ranks by prefix doubling: for 8, 16, ... ``depth`` symbols. ``text`` holds int64 symbols > 0; ends count as 0."""
-    out, r, step = [], np.unique(text, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while step < depth:
-        nxt = np.zeros_like(r)
-        nxt[:-step] = r[step:]
-        r = np.unique(r * (len(r) + 2) + nxt, return_inverse=True)[1].astype(np.int64) + 1
-        step *= 2
-        out.append(r)
-    return out
-
-
-def repeats(rows: list[tuple], length: int, k: int) -> list[tuple[int, int, bool]]:
-    """Runs of starts with a match elsewhere: (row, start, first) for rows of (group, left, context, first_doc, first_at, last_doc, last_at).
-
-    ``left`` is how many bytes of the context stand before the anchor; places are those of the
-    anchor. ``first`` tells that the occurrence at the row's first place has no earlier match.
+        at, first, n = np.unique(window_minima(key, w) & np.uint64((1 << 20) - 1), return_index=True, return_counts=True)
+        at = at.astype(np.int64)
+        out.append((at + lo, h[at].view(np.int64), first + lo, first + n - 1 + lo))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    at, hashes, first, last = (np.concatenate(x) for x in zip(*out))
+    if len(out) > 1:  # an anchor near the edge of a block may come from both sides
+        keep, head, n = np.unique(at, return_index=True, return_counts=True)
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(n)
+        at, hashes, first, last = keep, hashes[head], np.minimum.reduceat(first[order], ends - n), np.maximum.reduceat(last[order], ends - n)
+    return at, hashes, first, last
+
+
+def common(parts: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``parts`` within their groups, and the length of what each has in common with the one before it (-1 at a group's first)."""
+    order = np.array(sorted(range(len(parts)), key=lambda i: (group[i], parts[i])), np.int64)
+    sizes = np.array([len(parts[i]) for i in order])
+    width = max(1, int(sizes.max()))
+    m = np.frombuffer(b"".join(parts[i].ljust(width, b"\0") for i in order), np.uint8).reshape(-1, width)
+    other = m[1:] != m[:-1]
+    lcp = np.where(other.any(1), other.argmax(1), width)
+    lcp = np.minimum(lcp, np.minimum(sizes[1:], sizes[:-1]))
+    lcp[group[order][1:] != group[order][:-1]] = -1
+    return order, np.concatenate([[-1], lcp])
+
+
+def repeats(rows: list[tuple], length: int) -> list[tuple[int, list[list[int]]]]:
+    """Rows (group, left, text, first_doc, first_at, last_doc, last_at) -> (row, [[low, high, first]]): starts, counted
+    from the anchor, from ``low`` to before ``high`` have a match elsewhere; ``first`` tells that the row's first place has no earlier one.
+
+    ``left`` is how many bytes of the text stand before the anchor. Texts of one group are all different.
     """
-    lens = np.array([len(x[2]) for x in rows])
-    text = np.zeros(int(lens.sum()) + len(rows), np.int64)
-    ends = np.cumsum(lens + 1)
-    begins = ends - lens - 1
-    text[:] = np.frombuffer(b"\0".join(x[2] for x in rows) + b"\0", np.uint8).astype(np.int64) + 2
-    text[ends - 1] = 1
-    half = 1 << ((length - 1).bit_length() - 1)  # the largest power of two below length
-    r = ranks(text, half)[-1]
-    row = np.repeat(np.arange(len(rows)), lens + 1)
-    off = np.arange(len(text)) - begins[row]
-    whole = np.flatnonzero(off + length <= lens[row])
+    rows_at = sorted(range(len(rows)), key=lambda i: (rows[i][3], rows[i][4]))
+    rows = [rows[i] for i in rows_at]
     group = np.unique([x[0] for x in rows], return_inverse=True)[1]
-    row, off = row[whole], off[whole]
     left = np.array([x[1] for x in rows])
-    shift = off - left[row]
-    # one run: the same group, the same offset to the anchor, the same ``length`` bytes
-    head, tail = r[whole], r[whole + length - half]
-    d0, a0, d1, a1 = (np.array([x[i] for x in rows])[row] for i in (3, 4, 5, 6))
-    order = np.lexsort((a0, d0, tail, head, shift, group[row]))
-    same = lambda x: x[order][1:] == x[order][:-1]
-    new = np.concatenate([[True], ~(same(head) & same(tail) & same(shift) & same(group[row]))]) if len(order) else np.zeros(0, bool)
-    run = np.cumsum(new) - 1
-    lead = order[np.flatnonzero(new)][run] if len(order) else order
-    other = (d0[order] != d0[lead]) | (a0[order] != a0[lead]) | (d1[order] != d0[lead]) | (a1[order] != a0[lead])
-    many = np.zeros(int(run[-1]) + 1 if len(run) else 0, bool)
-    np.logical_or.at(many, run, other)
-    keep = many[run]
-    got = order[keep]
-    return list(zip(row[got].tolist(), shift[got].tolist(), new[keep].tolist()))
+    right = np.array([len(x[2]) for x in rows]) - left
+    twice = np.array([x[3:5] != x[5:7] for x in rows])
+    m = len(rows)
+    fore, fore_lcp = common([x[2][x[1] :] for x in rows], group)
+    back, back_lcp = common([x[2][: x[1]][::-1] for x in rows], group)
+
+    def best(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        out = np.empty(m, np.int64)
+        out[order] = np.maximum(lcp, np.append(lcp[1:], -1))
+        return out
+
+    live = twice | (np.maximum(best(fore, fore_lcp), 0) + np.maximum(best(back, back_lcp), 0) >= length)
+    low = -int(left.max())
+    hit = np.zeros((m, int((right - length).max()) - low + 1), bool)
+    lead = np.zeros_like(hit)
+    classes = np.empty((2, m), np.int64)
+    for s in range(low, low + hit.shape[1]):
+        v = np.flatnonzero(live & (left >= -s) & (right >= length + s))
+        if not len(v):
+            continue
+        classes[0, fore] = np.cumsum(fore_lcp < length + s)
+        classes[1, back] = np.cumsum(back_lcp < -s)
+        key = classes[0, v] * (m + 1) + classes[1, v]
+        order = np.argsort(key, kind="stable")  # rows come in the order of place
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        alone = new & np.append(new[1:], True)
+        got = v[order]
+        hit[got, s - low] = ~alone | twice[got]
+        lead[got, s - low] = new
+    out = []
+    for i in np.flatnonzero(hit.any(1)):
+        x = np.where(hit[i], 1 + lead[i], 0)
+        cut = np.flatnonzero(np.diff(x)) + 1
+        edges = [0, *cut.tolist(), len(x)]
+        out.append((rows_at[i], [[a + low, b + low, bool(x[a] == 2)] for a, b in zip(edges, edges[1:]) if x[a]]))
+    return out
 
 
 def _large_groups(flat: DataFrame, length: int) -> DataFrame:
@@ -145,22 +164,19 @@ def _large_groups(flat: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, keep_first: bool = False) -> DataFrame:
     """(id, ranges array<struct<start,end>>): bytes covered by a string of ``length`` bytes that also starts
     elsewhere (with ``keep_first``: at an earlier place, in the order of id and place)."""
-    side = length - k
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc is not null")
 
     def find(batches):
         for b in batches:
-            ds, at, hs = [], [], []
+            out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                p, h = anchors(t.as_py().encode("utf-8", "surrogatepass"), length, k)
-                ds.append(np.full(len(p), d, np.int64))
-                at.append(p)
-                hs.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ds, at, hs)], names=["doc", "at", "h"])
+                got = anchors(t.as_py().encode("utf-8", "surrogatepass"), length, k)
+                out.append((np.full(len(got[0]), d, np.int64), got[0].astype(np.int32), got[1], (got[0] - got[2]).astype(np.int32), (got[3] - got[0]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["doc", "at", "h", "lo", "hi"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
-    marks = save(own.mapInArrow(find, "doc bigint, at bigint, h bigint"))
+    marks = save(own.mapInArrow(find, "doc bigint, at int, h bigint, lo int, hi int"))
     often = marks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    places = save(marks.join(often, "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("places")))
+    places = save(marks.join(often, "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h", "lo", "hi"))).alias("places")))
     release(docs.sparkSession)
 
     def surround(batches):
@@ -169,9 +185,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for d, t, ps in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 data = t.as_py().encode("utf-8", "surrogatepass")
                 ps = ps.values
-                for p, h in zip(ps.field(0).to_numpy(), ps.field(1).to_numpy()):
-                    lo = max(0, int(p) - side)
-                    out.append((h, int(p) - lo, data[lo : p + length], d, int(p)))
+                for p, h, lo, hi in zip(*(ps.field(i).to_pylist() for i in range(4))):
+                    out.append((h, lo, data[p - lo : p + hi + length], d, p))
             c = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], names=list("abcde"))
 
@@ -180,24 +195,18 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal surroundings are one row; a hash stands for them in both shuffles, the bytes go along once
     around = around.withColumns({"c1": F.xxhash64("context", "l"), "c2": F.xxhash64(F.lit(1), "context")})
     spots = save(around)
+    release(docs.sparkSession)
     rows = save(spots.groupBy("h", "c1", "c2", "l").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("context").alias("context")))
     sizes = rows.groupBy("h").agg(F.count("*").alias("g"), F.max(F.col("first") != F.col("last")).alias("twice"))
+    release(docs.sparkSession)
     rows = rows.join(sizes, "h").where("g > 1 or twice")
 
     def suffixes(batches):
         held: list[tuple] = []
 
         def out(rows: list[tuple]):
-            found: dict[int, list[list[int]]] = {}
-            for r, s, f in repeats([x[:7] for x in rows], length, k):
-                found.setdefault(r, []).append([s, f])
-            for r, got in found.items():
-                x, spans = rows[r], []
-                for s, f in sorted(got):
-                    if spans and spans[-1][1] == s and spans[-1][2] == f:
-                        spans[-1][1] = s + 1
-                    else:
-                        spans.append([s, s + 1, f])
+            for r, spans in repeats([x[:7] for x in rows], length):
+                x = rows[r]
                 yield (x[0], x[7], x[8], x[3], x[4], spans)
 
         def batch(rows):
