@@ -50,9 +50,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     at = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")
     classes = save(lines.groupBy("k1", "k2", "n").agg(F.min(at.cast("decimal(38,0)")).alias("at")))
 
+    # tokens of prefixes that one class alone has; a class that has only such tokens matches no other
     heads = lines.select("k1", F.explode("p").alias("h"))
-    shared = heads.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("h")
-    some = save(heads.join(shared, "h", "left_semi").select("k1").distinct())
+    alone = heads.groupBy("h").agg(F.min("k1").alias("k1"), F.max("k1").alias("b")).where("k1 = b").groupBy("k1").agg(F.count("*").alias("u"))
+    some = save(classes.join(alone, "k1", "left").where(F.coalesce("u", F.lit(0)) < F.col("n") - _needed(F.col("n")) + 1).select("k1").distinct())
     release(docs.sparkSession)
 
     # the sets of the classes' first lines
@@ -62,6 +63,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = own.join(want, "doc_id")
     again = again.select("doc_id", "want", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("want", F.col("line_no")))
     sets = save(first.join(_tokens(again, "doc_id", "line_no"), ["doc_id", "line_no"]).select("at", "n", "t").dropDuplicates(["at"]))
+    release(docs.sparkSession)
 
     df = sets.select(F.explode("t").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     near = sets.select("at", "n", F.explode("t").alias("h")).join(df, "h").groupBy("at", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
@@ -90,10 +92,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         old = hit
         hit = save(found if hit is None else hit.union(found))
         drop(old)
+        release(docs.sparkSession)
         low = high
+    drop(posts)
     gone = classes.join(hit, F.col("at") == F.col("hit_at"), "left").select("k1", "k2", "n", F.col("at").alias("first_at"), F.col("hit_at").isNotNull().alias("near"))
     out = lines.join(gone, ["k1", "k2", "n"]).where(F.col("near") | (at > F.col("first_at")))
-    return out.select("doc_id", "line_no").distinct()
+    out = save(out.select("doc_id", "line_no").distinct())
+    release(docs.sparkSession)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
