@@ -24,7 +24,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import governance_queries, ingest_queries, search_queries  # noqa: F401
+    from . import governance_queries, ingest_queries, search_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
