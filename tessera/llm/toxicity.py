@@ -101,7 +101,6 @@ def learn(texts: list[str], toxic: list[int]) -> dict:
     if not all(n):
         return model
     counts = np.zeros((2, 1 << BITS))
-    places: dict[str, list[int]] = {}
     runs: set[int] = set()
     fresh = []
     for text, y in zip(texts, toxic):
@@ -112,10 +111,8 @@ def learn(texts: list[str], toxic: list[int]) -> dict:
         if not fresh[-1]:
             continue
         seen: set[int] = set()
-        for w in set(own):
-            if w not in places:
-                places[w] = hashed(w)
-            seen.update(places[w])
+        for w in set(own):  # hashed anew each time: a table of all words would fill the driver
+            seen.update(hashed(w))
         counts[y][list(seen)] += 1
     c0, c1 = counts
     prior = n[1] / (n[0] + n[1])
@@ -128,16 +125,23 @@ def learn(texts: list[str], toxic: list[int]) -> dict:
     for y in (0, 1):  # the first FIT_ROWS of each label; the sample is in the order of a hash
         model.setdefault("rows", []).extend(sample[y][:FIT_ROWS])
     vocab: dict[str, int] = {}
+    tied: list[bool] = []
+    rows: list[list[int]] = []
     ids, gold, begins = [], [], []
     for i in model.pop("rows"):
         words = WORD.findall(texts[i])
-        ids += [vocab.setdefault(w, len(vocab)) for w in words]
-        gold += [float(toxic[i] and bool(bad[places[w]].any())) for w in words]
+        for w in words:
+            if w not in vocab:
+                vocab[w] = len(vocab)
+                rows.append(hashed(w))
+                tied.append(bool(bad[rows[-1]].any()))
+        ids += [vocab[w] for w in words]
+        gold += [float(toxic[i] and tied[vocab[w]]) for w in words]
         begins += [True] * bool(words) + [False] * (len(words) - 1)
+    del runs, counts, c0, c1, total, g2
     ids, gold, begins = np.array(ids, np.int64), np.array(gold), np.array(begins, bool)
     if not len(ids):
         return model
-    rows = [places[w] for w in vocab]
     feat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     chain, joint = Chain(begins), ~begins[1:]
     params = {k: np.array(model[k], float) for k in ("theta", "bias", "trans", "start")}
