@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LINKERS, TOKEN, compound_parts, tokens
 from ..operators import dense, retrieval, sparse
+from ..sources.scratch import stored
 from .catalog import register
 
 #: Function words that the queries leave out.
@@ -45,7 +46,7 @@ sp as (select query_id, id, score, row_number() over (partition by query_id orde
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.term_counts(table(spark, sf_dir, "documents"), STOP)
+    return stored(sparse.term_counts(table(spark, sf_dir, "documents"), STOP), "counts")
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     counts = _counts(spark, sf_dir)
-    idf = sparse.inverse_frequencies(counts, _sizes(spark, sf_dir))
+    idf = stored(sparse.inverse_frequencies(counts, _sizes(spark, sf_dir)), "idf")
     q = _queries(spark, sf_dir).select("lang", F.col("query_id").alias("doc_id"), F.col("question").alias("text"))
     return sparse.sparse_top_k(sparse.weights(counts, idf), sparse.weights(sparse.term_counts(q, STOP), idf), k).select("query_id", "id", "score", "rank")
 
@@ -226,7 +227,7 @@ _CLAIMS_SQL = _RERANK_SQL + f", cl as (select item_id as query_id, (item_id % 7)
 
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hits = retrieval.rerank(_pool(spark, sf_dir)).join(docs, "id")
+    hits = stored(retrieval.rerank(_pool(spark, sf_dir)), "hits").join(docs, "id")
     claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("source"), F.col("text").alias("quote"))
     return claims, hits
 
