@@ -71,7 +71,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     length = F.col("n") - _needed(F.col("n")) + 1 - unique  # of the prefix, less its unique tokens, which come first
     near = near.where(length > 0).select("at", "n", F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "x"), unique.alias("u"))
     w = Window.partitionBy("h").orderBy("at")
-    posts = save(near.select("at", "n", (F.col("i") + F.col("u")).alias("i"), F.col("x.h").alias("h")).withColumn("r", F.row_number().over(w) - 1))
+    posts = save(near.select("at", "n", "u", (F.col("i") + F.col("u")).alias("i"), F.col("x.h").alias("h")).withColumn("r", F.row_number().over(w) - 1))
 
     hit, low = None, 0
     for high in (*BLOCKS, None):
@@ -83,7 +83,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         ny, nx = F.col("y.n"), F.col("x.n")
         least = F.ceil((nx + ny) * 3 / F.lit(7))  # common tokens that the similarity asks for
         rest = F.least(nx - F.col("x.i"), ny - F.col("y.i"))
-        seen = F.least(F.col("x.i"), F.col("y.i"))  # before this token, one position at a time
+        seen = F.least(F.col("x.i") - F.col("x.u"), F.col("y.i") - F.col("y.u"))  # before this token, only tokens that other sets have too
         pairs = y.join(x, (F.col("y.h") == F.col("x.h")) & (F.col("x.r") < F.col("y.r")) & (nx * 4 >= ny * 3) & (ny * 4 >= nx * 3) & (rest + seen >= least))
         pairs = pairs.select(F.col("y.at").alias("y"), F.col("x.at").alias("x")).distinct()
         both = pairs.join(sets.select(F.col("at").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("at").alias("y"), F.col("t").alias("ty")), "y")

@@ -44,19 +44,20 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cells(sets: DataFrame) -> DataFrame:
-    """(cell, rep, n, i): each set at its rarest shared shingles; i is the shingle's place in the set's order."""
+    """(cell, rep, n, u, i): each set at its rarest shared shingles; i is the shingle's place in the set's order, behind the u that no other set has."""
     df = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     own = sets.select("rep", "n", F.explode("s").alias("h")).join(df, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
     unique = F.col("n") - F.size("o")
     length = F.col("n") - _needed(F.col("n")) + 1 - unique
     own = own.where(length > 0).select("rep", "n", unique.alias("u"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "x"))
-    return own.select(F.col("x.h").alias("cell"), "rep", "n", (F.col("i") + F.col("u")).alias("i"))
+    return own.select(F.col("x.h").alias("cell"), "rep", "n", "u", (F.col("i") + F.col("u")).alias("i"))
 
 
 def _may_link(x: str, y: str):
     """Length and positional filters for two rows of one cell."""
-    nx, ny, ix, iy = (F.col(f"{t}.{c}") for c in ("n", "i") for t in (x, y))
-    return (nx * 4 >= ny * 3) & (ny * 4 >= nx * 3) & (F.least(nx - ix, ny - iy) + F.least(ix, iy) >= F.ceil((nx + ny) * 3 / F.lit(7)))
+    nx, ny, ix, iy, ux, uy = (F.col(f"{t}.{c}") for c in ("n", "i", "u") for t in (x, y))
+    # before this shingle only those can be common that other sets have too
+    return (nx * 4 >= ny * 3) & (ny * 4 >= nx * 3) & (F.least(nx - ix, ny - iy) + F.least(ix - ux, iy - uy) >= F.ceil((nx + ny) * 3 / F.lit(7)))
 
 
 def set_links(sets: DataFrame) -> DataFrame:
@@ -70,9 +71,9 @@ def set_links(sets: DataFrame) -> DataFrame:
         near = dist.where("link").select("a", "b")
         links = near if links is None else links.union(near)
         at = members.join(dist.withColumnsRenamed({"a": "rep", "b": "p"}), ["rep", "p"])
-        shell = save(at.where("d <= 0.5").select("cell", F.lit(level).alias("level"), "rep", "p", "n", "i", "d", "link"))
+        shell = save(at.where("d <= 0.5").select("cell", F.lit(level).alias("level"), "rep", "p", "n", "u", "i", "d", "link"))
         shells = shell if shells is None else shells.union(shell)
-        nxt = save(at.where("not link").select("cell", "rep", "n", "i"))
+        nxt = save(at.where("not link").select("cell", "rep", "n", "u", "i"))
         if cells is not every:
             drop(cells)
         cells = nxt
