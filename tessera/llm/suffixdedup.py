@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import release, save
+from .scratch import drop, release, save
 
 LENGTH, GRAM, BLOCK, GROUP, CHUNK = 200, 88, 1 << 18, 3000, 1500
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -177,6 +177,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = save(own.mapInArrow(find, "doc bigint, at int, h bigint, lo int, hi int"))
     often = marks.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     places = save(marks.join(often, "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h", "lo", "hi"))).alias("places")))
+    drop(marks)
     release(docs.sparkSession)
 
     def surround(batches):
@@ -195,6 +196,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal surroundings are one row; a hash stands for them in both shuffles, the bytes go along once
     around = around.withColumns({"c1": F.xxhash64("context", "l"), "c2": F.xxhash64(F.lit(1), "context")})
     spots = save(around)
+    drop(places)
     release(docs.sparkSession)
     rows = save(spots.groupBy("h", "c1", "c2", "l").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("context").alias("context")))
     sizes = rows.groupBy("h").agg(F.count("*").alias("g"), F.max(F.col("first") != F.col("last")).alias("twice"))
