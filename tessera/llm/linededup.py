@@ -65,6 +65,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = save(first.join(_tokens(again, "doc_id", "line_no"), ["doc_id", "line_no"]).select("at", "n", "t").dropDuplicates(["at"]))
     release(docs.sparkSession)
 
+    # most sets drop out once their own tokens are counted, before any token is joined
+    lone = sets.select("at", F.explode("t").alias("h")).groupBy("h").agg(F.min("at").alias("at"), F.max("at").alias("b")).where("at = b").groupBy("at").agg(F.count("*").alias("lone"))
+    sets = save(sets.join(lone, "at", "left").where(F.coalesce("lone", F.lit(0)) <= F.col("n") - _needed(F.col("n"))).drop("lone"))
+    release(docs.sparkSession)
     df = sets.select(F.explode("t").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     near = sets.select("at", "n", F.explode("t").alias("h")).join(df, "h").groupBy("at", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
     unique = F.col("n") - F.size("o")
