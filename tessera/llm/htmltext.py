@@ -2,21 +2,22 @@
 
 A tree builder closes elements that the markup leaves open (implied tags), visibility rules
 drop what a browser does not show, and a renderer lays out blocks with their spacing, lists with
-markers and indents, and tables with aligned cells.
+markers and indents, and tables with aligned cells, whose blocks keep their lines. Neither the
+builder nor the renderer recurs, so no depth of a page is too large.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 200
-
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -59,22 +60,25 @@ class Node:
 
 
 def build(source: str) -> Node:
-    """The tree of a page; end tags that match nothing are left out, elements below DEEPEST levels become siblings."""
+    """The tree of a page; end tags that match nothing are left out."""
     root = Node("html")
     stack, at, n = [root], 0, len(source)
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack, without the root
 
     def text(part: str) -> None:
         if part:
             stack[-1].children.append(html.unescape(part))
 
+    def top(tags: frozenset | set[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
     def close(tags: set[str], stop: frozenset | set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                close(tags, stop)
-                return
-            if stack[i].tag in stop:
-                return
+        while (i := top(tags)) and i >= top(stop):
+            cut(i)
 
     while at < n:
         m = TOKEN.search(source, at)
@@ -87,19 +91,16 @@ def build(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not places["p"]:
                 stack[-1].children.append(Node("p"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in ("table", "tbody", "thead", "tfoot", "tr", "body", "html"):
-                    break
+            i = top({tag})
+            if i and (tag in ("table", "tbody", "thead", "tfoot", "tr", "body", "html") or i >= top(SCOPE)):
+                cut(i)
             continue
         if tag in ("html", "body"):
             stack[0].attrs += m[3] if tag == "body" else ""
-            if any(x.tag == "head" for x in stack):
-                del stack[1:]
+            if places["head"]:
+                cut(1)
             continue
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
@@ -114,7 +115,8 @@ def build(source: str) -> Node:
             inner = source[at : end.start() if end else n]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else n
-        elif len(stack) < DEEPEST:
+        else:
+            places[tag].append(len(stack))
             stack.append(node)
     return root
 
@@ -173,7 +175,22 @@ class Page:
         return "\n".join(x.rstrip() for x in "".join(self.out).split("\n")).strip("\n")
 
 
-def render(node: Node, page: Page, pre: bool = False) -> None:
+#: What is left of a step of rendering; it gives the steps that come in between.
+Steps = Iterator["Steps"]
+
+
+def done(steps: Steps) -> None:
+    """Work off a step and all that it gives, with a stack of our own."""
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def render(node: Node, page: Page, pre: bool = False) -> Steps:
     for child in node.children:
         if isinstance(child, str):
             page.text(child, pre)
@@ -193,61 +210,62 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
                 page.text(child.attr("value"), False)
         elif tag == "table":
             page.block(2)
-            table(child, page)
+            yield table(child, page)
             page.block(2)
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(1 if page.prefix else 2)
-            items(child, page, pre)
+            yield items(child, page, pre)
             page.block(1 if page.prefix else 2)
         elif tag == "li":
-            item(child, page, "- ", pre)
+            yield item(child, page, "- ", pre)
         elif tag == "dd":
-            item(child, page, "    ", pre)
+            yield item(child, page, "    ", pre)
         elif tag == "blockquote":
             page.block(2)
             page.prefix.append("> ")
-            render(child, page, pre)
+            yield render(child, page, pre)
             page.prefix.pop()
             page.block(2)
         elif tag in BLOCK:
             gap = 2 if tag in SPACED else 1
             page.block(gap)
-            render(child, page, pre or tag == "pre")
+            yield render(child, page, pre or tag == "pre")
             page.block(gap)
         else:
-            render(child, page, pre or tag == "textarea")
+            yield render(child, page, pre or tag == "textarea")
 
 
-def item(node: Node, page: Page, mark: str, pre: bool) -> None:
+def item(node: Node, page: Page, mark: str, pre: bool) -> Steps:
     page.block(1)
     page.prefix.append(mark)
-    render(node, page, pre)
+    yield render(node, page, pre)
     page.prefix.pop()
     page.block(1)
 
 
-def items(node: Node, page: Page, pre: bool) -> None:
+def items(node: Node, page: Page, pre: bool) -> Steps:
     start = node.attr("start") if node.tag == "ol" else None
     n = int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li" and seen(child):
-            item(child, page, f"{n}. " if node.tag == "ol" else "- ", pre)
+            yield item(child, page, f"{n}. " if node.tag == "ol" else "- ", pre)
             n += 1
         else:
-            render(Node("div", "", [child]), page, pre)
+            yield render(Node("div", "", [child]), page, pre)
 
 
-def cell_text(node: Node) -> str:
+def cell(node: Node, lines: list[str]) -> Steps:
     page = Page()
-    render(node, page)
-    return SPACES.sub(" ", page.result()).strip()
+    yield render(node, page)
+    lines.extend(page.result().split("\n"))
 
 
-def table(node: Node, page: Page) -> None:
-    """Rows of cells, padded to the width of their column; what stands in a table outside of cells comes before it."""
-    rows: list[list[str]] = []
+def table(node: Node, page: Page) -> Steps:
+    """Rows of cells, padded to the width of their column, a line for each line of the longest cell; what stands in a
+    table outside of cells comes before it."""
+    rows: list[list[list[str]]] = []
     todo = list(reversed(node.children))
-    row: list[str] | None = None
+    row: list[list[str]] | None = None
     while todo:
         child = todo.pop()
         if isinstance(child, str):
@@ -266,27 +284,29 @@ def table(node: Node, page: Page) -> None:
             if row is None:
                 row = []
                 rows.append(row)
-            row.append(cell_text(child))
+            row.append([])
+            yield cell(child, row[-1])
             span = child.attr("colspan") or "1"
-            row.extend([""] * (min(int(span), 100) - 1 if span.isdigit() else 0))
+            row.extend([""] for _ in range(min(int(span), 1000) - 1 if re.fullmatch("[0-9]{1,9}", span) else 0))  # 1000: the standard's largest
         else:
-            render(Node("div", "", [child]), page)
+            yield render(Node("div", "", [child]), page)
             page.block(1)
     widths: list[int] = []
     for r in rows:
         for i, c in enumerate(r):
             if i == len(widths):
                 widths.append(0)
-            widths[i] = max(widths[i], min(len(c), 60))
+            widths[i] = max(widths[i], *map(len, c))
     for r in rows:
-        if any(r):
-            page.block(1)
-            page.put(" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip())
+        if any(map(any, r)):
+            for i in range(max(map(len, r))):
+                page.block(1)
+                page.put(" | ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(r, widths)).rstrip())
 
 
 def visible_text(source: str) -> str:
     page = Page()
-    render(build(source), page)
+    done(render(build(source), page))
     return page.result()
 
 

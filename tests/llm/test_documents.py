@@ -65,6 +65,26 @@ def test_deep_html():
     assert htmltext.visible_text("<div>" * 5000 + "x") == "x"
 
 
+DEEP = 1000
+
+
+def test_hidden_parts_of_deep_html():
+    for end in ("", "</div>" * DEEP):
+        hidden = "<div hidden><div>no</div>no</div><p style='display:none'>no<template>no</template></p><noscript>no</noscript>"
+        assert htmltext.visible_text("<div>" * DEEP + "a" + hidden + "<ul><li>b<li>c</ul>" + end + "z") == "a\n\n- b\n- c\n\nz"
+    assert htmltext.visible_text("<div hidden>" + "<div><b>" * DEEP + "no" + "</div>" * DEEP + "no</div>a") == "a"
+    nested = "<table><tr><td>a<td>b<tr><td>" * DEEP + "c"
+    assert htmltext.visible_text(nested).split("\n") == ["a" + " " * (4 * n) + " | b" for n in reversed(range(DEEP))] + ["c"]
+    assert htmltext.visible_text("<ul><li>" * DEEP + "x") == "- " * DEEP + "x"
+
+
+def test_tables_keep_blocks():
+    source = f"<table><tr><td><p>One<p>Two<ul><li>a<li>b</ul><pre>p\n q</pre><td>x<tr><td>{'l' * 70}<td>y<tr><td><table><tr><td>m<td>n<tr><td>o<td>p</table><td>z</table>"
+    first = ["One", "", "Two", "", "- a", "- b", "", "p", " q", "l" * 70, "m | n", "o | p"]
+    second = {"One": " x", "l" * 70: " y", "m | n": " z"}
+    assert htmltext.visible_text(source).split("\n") == [f"{a:70} |{second.get(a, '')}" for a in first]
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, "<p>a", "t")], "page_id long, html string, text string")
     assert sorted((r.text, r.n_lines) for r in htmltext.extract_text(df).collect()) == [("", 0), ("a", 1)]
