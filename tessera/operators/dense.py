@@ -20,13 +20,13 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def hash_embeddings(texts: DataFrame, dim: int = 64, max_tokens: int = 2048, prefix: str = "", id_col: str = "doc_id") -> DataFrame:
-    """(id, embedding array<double>): signed feature hashing of the first ``max_tokens`` tokens, of length 1.
+def hash_embeddings(texts: DataFrame, dim: int = 64, prefix: str = "", id_col: str = "doc_id") -> DataFrame:
+    """(id, embedding array<double>): signed feature hashing of all tokens, of length 1.
 
     The deterministic stand-in for an embedding model; ``prefix`` goes before queries. A text without
     tokens gets zeros.
     """
-    t = texts.select(F.col(id_col).alias("id"), F.slice(tokens(F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))), 1, max_tokens).alias("t"))
+    t = texts.select(F.col(id_col).alias("id"), tokens(F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))).alias("t"))
     h = t.select("id", F.explode_outer("t").alias("w")).select("id", F.xxhash64("w").alias("h"), "w")
     sums = h.groupBy("id", F.pmod("h", F.lit(dim)).alias("b")).agg(F.sum(F.when(F.col("w").isNull(), 0.0).otherwise(F.when(F.col("h").bitwiseAND(1 << 40) == 0, 1.0).otherwise(-1.0))).alias("x"))
     m = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"))

@@ -10,27 +10,34 @@ DEFAULT, REGISTRY, KNOWN, SURE = "de", ("de", "en"), ("de", "en", "fr", "es"), 0
 INSTRUCTIONS = ((r"\banswer in english\b", "en"), (r"\banswer in german\b", "de"), (r"\bauf englisch\b", "en"), (r"\bauf deutsch\b", "de"), (r"\bin english\b", "en"), (r"\bauf deutsch antworten\b", "de"))
 
 
-def grams(text: Column) -> Column:
-    """Overlapping groups of three characters of the first 400, lower-cased."""
-    t = F.lower(F.substring(text, 1, 400))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-
-
-def profiles(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, logp) with add-one smoothing, and the same of unseen grams under an empty gram. At most 2,000 grams a language."""
-    c = labelled.select("lang", F.explode(grams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
+def grams(text: Column, chars: int | None = None) -> Column:
+    """Overlapping groups of three characters, lower-cased, of the whole text or its first ``chars``; a shorter text is one group."""
+    t = F.lower(F.substring(text, 1, chars) if chars else text)
+    c = F.split(t, "")
+    joined = lambda a, i: F.zip_with(a, F.slice(c, F.lit(i), F.size(c)), lambda x, y: F.concat(x, y))
+    three = joined(joined(c, 2), 3)
+    return F.when(F.length(t) >= 3, F.filter(three, lambda x: x.isNotNull())).otherwise(F.array(t))
+
+
+def profiles(labelled: DataFrame, chars: int | None = None, most: int | None = None) -> DataFrame:
+    """(lang, gram, logp) with add-one smoothing, and the same of unseen grams under an empty gram. All grams of a language, or its ``most`` frequent ones."""
+    c = labelled.select("lang", F.explode(grams(F.col("text"), chars)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
     n = c.groupBy("lang").agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     w = Window.partitionBy("lang").orderBy(F.col("c").desc(), "gram")
-    top = c.withColumn("rn", F.row_number().over(w)).where("rn <= 2000").join(F.broadcast(n), "lang")
+    top = (c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most) if most else c).join(F.broadcast(n), "lang")
     seen = top.select("lang", "gram", F.log((F.col("c") + 1) / (F.col("n") + F.col("v") + 1)).alias("logp"))
     return seen.union(n.select("lang", F.lit("").alias("gram"), F.log(1 / (F.col("n") + F.col("v") + 1)).alias("logp")))
 
 
-def language_scores(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, lang, score): log-likelihood of a document's grams under each language."""
-    c = docs.select(F.col(id_col).alias("id"), F.explode(grams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
+def language_scores(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id", chars: int | None = None, most: int | None = None) -> DataFrame:
+    """(id, lang, score): log-likelihood of a document's grams under each language, with the limits of the profile.
+
+    A profile of ``most`` grams a language goes to all executors; one of all grams is left to Spark's size estimate.
+    """
+    c = docs.select(F.col(id_col).alias("id"), F.explode(grams(F.col("text"), chars)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
     base = F.broadcast(profile.where("gram = ''").select("lang", F.col("logp").alias("rest")))
-    seen = F.broadcast(profile.where("gram <> ''").join(base, "lang").select("lang", "gram", (F.col("logp") - F.col("rest")).alias("gain")))
+    seen = profile.where("gram <> ''").join(base, "lang").select("lang", "gram", (F.col("logp") - F.col("rest")).alias("gain"))
+    seen = F.broadcast(seen) if most else seen
     total = c.groupBy("id").agg(F.sum("c").alias("n")).crossJoin(base)
     gain = c.join(seen, "gram").groupBy("id", "lang").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
     return total.join(gain, ["id", "lang"], "left").select("id", "lang", (F.col("n") * F.col("rest") + F.coalesce("gain", F.lit(0.0))).alias("score"))

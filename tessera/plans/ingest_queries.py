@@ -222,7 +222,8 @@ dl as (select id, lang, e / sum(e) over (partition by id) as prob, rn from pb),
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return language.detected(language.language_scores(d.where("doc_id % 2 = 1"), language.profiles(d.where("doc_id % 2 = 0"))))
+    limits = {"chars": 400, "most": 2000}  # those of the SQL
+    return language.detected(language.language_scores(d.where("doc_id % 2 = 1"), language.profiles(d.where("doc_id % 2 = 0"), **limits), **limits))
 
 
 @register(f"with {_LANG_SQL} select id as doc_id, case when lang in ('de', 'en', 'fr', 'es') then lang else 'de' end as lang from det")

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions.text import compound_parts, squeezed
-from tessera.operators import chunking, dense, governance, retrieval, windows
+from tessera.operators import chunking, dense, governance, language, retrieval, windows
 from tessera.sources import files
 
 
@@ -199,3 +199,20 @@ def test_patch_seed_replace(spark):
     assert sorted(map(tuple, governance.seeded(a, b.distinct(), "k").collect())) == [(1, "x"), (2, "y"), (3, "w")]
     assert sorted(map(tuple, governance.replaced(a, b, "k").collect())) == [(1, "x"), (2, "z"), (3, "w")]
     assert sorted(map(tuple, governance.patched(a, spark.createDataFrame([(1, None), (2, "q")], "k int, v string"), "k", ["v"]).collect())) == [(1, "x"), (2, "q")]
+
+
+def test_whole_texts(spark):
+    one, two = "Boilerplate of the site. " * 40, "Der Vertrag wird nach Ablauf der Frist nicht verlängert. " * 200
+    docs = spark.createDataFrame([(1, "en", one), (2, "de", two), (3, None, one + two), (4, None, "ab"), (5, None, "")], "doc_id long, lang string, text string")
+    profile = language.profiles(docs.where("lang is not null"))
+    got = {r.id: r.lang for r in language.detected(language.language_scores(docs, profile)).collect()}
+    assert (got[1], got[2], got[3]) == ("en", "de", "de") and set(got) == {1, 2, 3, 4, 5}
+    assert [r.g for r in spark.createDataFrame([("Añ𝄞d",), ("ab",), ("",), (None,)], "t string").select(language.grams(F.col("t")).alias("g")).collect()] == [["añ𝄞", "ñ𝄞d"], ["ab"], [""], [None]]
+    odd = spark.createDataFrame([("xx", " ".join(chr(0x4E00 + i) for i in range(3000)))], "lang string, text string")
+    assert language.profiles(odd).where("gram <> ''").count() == 5997
+
+
+def test_embedding_of_whole_text(spark):
+    head = "alpha " * 2048
+    e = {r.doc_id: r.embedding for r in dense.hash_embeddings(spark.createDataFrame([(1, head + "beta " * 500), (2, head + "gamma " * 500), (3, head)], "doc_id long, text string")).collect()}
+    assert e[1] != e[2] and e[1] != e[3]
