@@ -87,7 +87,8 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select event_id, user_id, date_trunc('hour', ts)::timestamp as window_start, n, n <= 2 as allowed from (select *, row_number() over (partition by user_id, date_trunc('hour', ts) order by ts, event_id) as n from events)")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = events.run_once(events.rate_limit_stream(events.event_stream(spark, f"{sf_dir}/events.parquet"), 2))
+    path = f"{sf_dir}/events.parquet"
+    out = events.latest(events.run_once(events.rate_limit_stream(events.event_stream(spark, path), 2, events.span(spark.read.parquet(path))), "update"))
     return out.select("event_id", "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "allowed")
 
 

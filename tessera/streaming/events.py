@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.scratch import shared_path
 
+HOUR = 3_600_000_000  # microseconds
+
 
 def globbed(path: str) -> str:
     """The path as a pattern that matches itself: a stream takes a folder of files, and a single file only by a pattern."""
@@ -23,40 +25,59 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 4).parquet(globbed(path)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def span(events: DataFrame) -> str:
+    """A lateness that no event of a table exceeds."""
+    seconds = events.agg((F.unix_seconds(F.max(F.col("ts").cast("timestamp"))) - F.unix_seconds(F.min(F.col("ts").cast("timestamp")))).alias("s")).first().s
+    return f"{(seconds or 0) + 3600} seconds"
+
+
 def usage_stream(events: DataFrame, limit: int, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(user_id, window_start, used) per fixed window, for update or complete mode."""
     g = events.withWatermark("ts", late).groupBy("user_id", F.window("ts", window).alias("w")).agg(F.least(F.count("*"), F.lit(limit)).alias("used"))
     return g.select("user_id", F.col("w.start").alias("window_start"), "used")
 
 
-def rate_limit_stream(events: DataFrame, limit: int) -> DataFrame:
-    """(event_id, user_id, window_start, n, allowed): the first ``limit`` events of a user in each hour pass.
+def rate_limit_stream(events: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
+    """(event_id, user_id, window_start, n, allowed) for update mode: the first ``limit`` events of a user in each hour pass.
 
-    State is the number of events in the user's open hours; hours that the watermark has left behind are
-    dropped when the user's timer fires, so state does not grow with time.
+    The order is that of (ts, event_id) and not that of arrival: an event that comes in late moves those after it, which are
+    written again. A row replaces earlier ones of its user, hour and n; ``latest`` does that for a stream that was run off.
+    Events that are ``late`` or more behind the newest are dropped by the watermark. State is the events of the
+    user's open hours; hours that the watermark has left behind are dropped when the user's timer fires, so state does not
+    grow with time.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: dict[int, int] = dict(zip(*state.get)) if state.exists else {}
-        if state.hasTimedOut:
-            mark = state.getCurrentWatermarkMs() // 1000
-            seen = {h: n for h, n in seen.items() if h + 3600 > mark}
-            if seen:
-                state.update((list(seen), list(seen.values())))
-            else:
-                state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        hours = rows["ts"].astype("datetime64[s]").astype("int64") // 3600 * 3600
+        seen = [(at, event, False) for at, event in zip(*state.get)] if state.exists else []
+        mark = state.getCurrentWatermarkMs() * 1000
         out = []
-        for event, hour in zip(rows["event_id"], hours):
-            seen[hour] = seen.get(hour, 0) + 1
-            out.append((event, key[0], pd.Timestamp(hour, unit="s"), seen[hour], seen[hour] <= limit))
-        state.update((list(map(int, seen)), list(map(int, seen.values()))))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (max(seen) + 3600) * 1000))
+        if not state.hasTimedOut:
+            for f in frames:
+                seen += zip(map(int, f["at"]), map(int, f["event_id"]), [True] * len(f))
+            seen.sort()
+            hour = n = moved = None
+            for at, event, new in seen:
+                if at // HOUR != hour:
+                    hour, n, moved = at // HOUR, 0, False
+                n, moved = n + 1, moved or new
+                if moved:
+                    out.append((event, key[0], pd.Timestamp(hour * HOUR, unit="us"), n, n <= limit))
+        seen = [(at, event) for at, event, _ in seen if (at // HOUR + 1) * HOUR > mark]
+        if seen:
+            state.update(tuple(map(list, zip(*seen))))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (seen[0][0] // HOUR + 1) * HOUR // 1000))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["event_id", "user_id", "window_start", "n", "allowed"])
 
-    return events.withWatermark("ts", "1 hour").groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, window_start timestamp, n bigint, allowed boolean", "hours array<bigint>, counts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    own = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    return own.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, window_start timestamp, n bigint, allowed boolean", "times array<bigint>, events array<bigint>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest(written: DataFrame) -> DataFrame:
+    """What holds in the end of all rows that ``run_once`` has written for ``rate_limit_stream``."""
+    g = written.groupBy("user_id", "window_start", "n").agg(F.max_by(F.struct("event_id", "allowed"), "batch_no").alias("x"))
+    return g.select("x.event_id", "user_id", "window_start", "n", "x.allowed")
 
 
 def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:

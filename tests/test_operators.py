@@ -2,11 +2,13 @@
 
 import random
 import re
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tessera.functions.text import compound_parts, squeezed
 from tessera.operators import chunking, dense, governance, language, retrieval, windows
+from tessera.plans import catalog
 from tessera.sources import files
 
 
@@ -216,3 +218,19 @@ def test_embedding_of_whole_text(spark):
     head = "alpha " * 2048
     e = {r.doc_id: r.embedding for r in dense.hash_embeddings(spark.createDataFrame([(1, head + "beta " * 500), (2, head + "gamma " * 500), (3, head)], "doc_id long, text string")).collect()}
     assert e[1] != e[2] and e[1] != e[3]
+
+
+def test_rate_limit_of_shuffled_files(spark, tmp_path):
+    random.seed(5)
+    rows = [(i, i % 3, datetime(2024, 1, 1) + timedelta(minutes=random.randrange(60 * 40))) for i in range(300)]
+    rows += [(300 + i, 0, datetime(2024, 1, 1, 5)) for i in range(5)]
+    random.shuffle(rows)
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").repartition(12).write.parquet(path)
+    want, n = set(), {}
+    for e, u, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        h = ts.replace(minute=0)
+        n[u, h] = n.get((u, h), 0) + 1
+        want.add((e, u, h, n[u, h], n[u, h] <= 2))
+    got = [tuple(r) for r in catalog.queries()["stream_rate_limit"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and set(got) == want
