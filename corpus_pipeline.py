@@ -11,15 +11,17 @@ from tessera.llm.scratch import save
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger rejects (score 0.7 or more) go."""
+    """Documents that the tagger rejects (score 0.7 or more) go: with a doc_id all rows of it, without one the row itself."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
-    bad = toxicity.tag(docs, model).where("score >= 0.7").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    known, other = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    bad = toxicity.tag(known, model).where("score >= 0.7").select("doc_id").distinct()
+    rows = toxicity.tag(other.select(F.struct(*docs.columns).alias("row"), "text"), model, "row").where("score < 0.7").select("row.*")
+    return known.join(bad, "doc_id", "left_anti").select(docs.columns).unionByName(rows)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match earlier ones go; a document of which nothing is left goes with them."""
+    """Lines that match earlier ones go; a document of which nothing is left goes with them. Rows of one doc_id count as one document, rows without one stay as they are."""
     out = linededup.dedup_lines(docs)
     out = out.where((F.col("n_removed") == 0) | F.coalesce(F.length(F.trim("text")) > 0, F.lit(True)))
     kind = docs.schema["n_chars"].dataType
@@ -27,9 +29,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
+    """One document of each group of near copies stays, that of the smallest id. Rows of one doc_id and text are copies, of which
+    one stays (the smallest by its other columns); rows without a doc_id all stay."""
     groups = ngramjoin.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    left = docs.where("doc_id is not null").join(groups, "doc_id", "left_anti")
+    one = left.groupBy("doc_id", "text").agg(F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("x")).select("doc_id", "text", "x.*")
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,3 +173,21 @@ def test_pipeline(spark, sf_dir):
         before = after
     out = cp.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in out} == before and all(r.round_trip for r in out)
+
+
+def test_pipeline_rows_without_id_and_repeated_rows(spark, sf_dir, monkeypatch):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    none = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    for score in (None, F.when(F.crc32("text") % 2 == 0, 0.9).otherwise(0.1)):
+        if score is not None:
+            monkeypatch.setattr(cp.toxicity, "tag", lambda d, model, id_col="doc_id", score=score: d.select(id_col, score.alias("score")))
+        left = cp.toxicity_stage(spark, docs.unionByName(none), sf_dir).select("doc_id", "text").collect()
+        known = sorted(r.text for r in left if r.doc_id is not None)
+        assert known and sorted(r.text for r in left if r.doc_id is None) == known
+    assert len(known) < docs.count()
+    once = sorted(map(tuple, cp.near_stage(spark, docs, sf_dir).collect()))
+    twice = sorted(map(tuple, cp.near_stage(spark, docs.unionByName(docs), sf_dir).collect()))
+    assert twice == once
+    assert cp.near_stage(spark, none.unionByName(none), sf_dir).count() == 2 * docs.count()
