@@ -13,7 +13,12 @@ SPACE = " \t\n\x0b\x0c\r"
 def words(text: Column) -> Column:
     """Lower-cased words between runs of ASCII white space; null and blank texts give an empty array."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(t), "[ \\t\\n\\x0B\\f\\r]+"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(split_words(text))
+
+
+def split_words(text: Column) -> Column:
+    """``words`` of texts that have some."""
+    return F.split(F.lower(F.btrim(text, F.lit(SPACE))), "[ \\t\\n\\x0B\\f\\r]+")
 
 
 def shingles(w: Column, width: int = WIDTH) -> Column:

@@ -104,6 +104,41 @@ def test_line_dedup_of_odd_rows(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_ids_with_several_texts(spark):
+    one, other = "alpha beta gamma delta epsilon zeta", "uno dos tres cuatro cinco seis"
+    rows = [(1, one, 7, "x"), (2, one, 7, "y"), (2, other, 7, "z"), (3, other, 7, "w")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed int, row string"))
+    assert got.columns == ["doc_id", "text", "row", "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.n_removed, r.row) for r in got.collect()) == [(1, one, 0, "x"), (2, "", 1, "y"), (2, other, 0, "z"), (3, "", 1, "w")]
+
+
+def test_line_dedup_of_many_variants_and_long_texts(spark):
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(40)]
+    lines = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(40)] = f"v{r.randint(0, 9)}"
+        lines.append(" ".join(w) + " " * (i % 3))
+    docs = [(1, "\n".join(lines[:200])), (-5, "\n".join(lines[200:])), (3, " ".join(f"x{i}" for i in range(40000))), (4, " ".join(f"x{i}" for i in range(1, 40000)))]
+    order = [(d, i, x) for d, t in sorted(docs) for i, x in enumerate(t.split("\n"))]
+    sets = [shingles(x) for _, _, x in order]
+    want = {}
+    for k, (d, i, _) in enumerate(order):
+        if any(alike(sets[k], sets[j]) for j in range(k)):
+            want.setdefault(d, set()).add(i)
+    for rounds, limit in ((linededup.ROUNDS, linededup.BROADCAST_LINES), ((1,), 0)):
+        saved = linededup.ROUNDS, linededup.BLOCK, linededup.BROADCAST_LINES
+        linededup.ROUNDS, linededup.BLOCK, linededup.BROADCAST_LINES = rounds, 16, limit
+        got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        linededup.ROUNDS, linededup.BLOCK, linededup.BROADCAST_LINES = saved
+        for row in got:
+            t = dict(docs)[row.doc_id].split("\n")
+            assert row.n_removed == len(want.get(row.doc_id, ()))
+            assert row.text == "\n".join(x for i, x in enumerate(t) if i not in want.get(row.doc_id, ()))
+
+
 def test_containment(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
