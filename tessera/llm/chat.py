@@ -24,8 +24,8 @@ ATTACHMENT = "struct<part:int,kind:string,ref:string,at:int,tokens:bigint>"
 
 
 def escape(text: str) -> str:
-    """Text in which ``<|`` cannot occur: a backslash goes before each backslash and inside each ``<|``."""
-    return text.replace("\\", "\\\\").replace(OPEN, "<\\|")
+    """Text in which neither ``<|`` nor ``|>`` can occur: a backslash goes before each backslash and inside each of the two."""
+    return text.replace("\\", "\\\\").replace(OPEN, "<\\|").replace(CLOSE, "|\\>")
 
 
 def unescape(text: str) -> str:

@@ -40,8 +40,12 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption button object template html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# Each of these is matched at one place and never gives characters back, so a page is read in linear time.
+NAME = re.compile(r"</?[A-Za-z][^\s/>]*")
+GAP = re.compile(r"[\s/]*")
+KEY = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
@@ -49,18 +53,53 @@ SPACES = re.compile(r"[ \t\n\f\r]+")
 @dataclass
 class Node:
     tag: str
-    attrs: str = ""
+    attrs: list[tuple[str, str]] = field(default_factory=list)
     children: list = field(default_factory=list)
 
     def attr(self, name: str) -> str | None:
-        for k, v in ATTR.findall(self.attrs):
-            if k.lower() == name:
-                return html.unescape(v.strip("\"'"))
-        return None
+        return next((html.unescape(v) for k, v in self.attrs if k == name), None)
+
+
+def markup(source: str, at: int) -> tuple[int, int]:
+    """Where the next tag, comment or declaration begins, and how long its opening is (0: none is left)."""
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            return at, 4
+        if source.startswith(("<!", "<?"), at):
+            return at, 2
+        if m := NAME.match(source, at):
+            return at, m.end() - at
+        at += 1
+    return len(source), 0
+
+
+def attributes(source: str, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+    """Attributes of a tag from behind its name, where it ends (-1: the page ends first), and whether it ends with a slash."""
+    found = []
+    while True:
+        at = GAP.match(source, at).end()
+        if at >= len(source):
+            return found, -1, False
+        if source[at] == ">":
+            return found, at + 1, source[at - 1] == "/"
+        key = KEY.match(source, at)
+        at, value = key.end(), ""
+        if m := EQUALS.match(source, at):
+            at = m.end()
+            quote = source[at : at + 1]
+            if quote and quote in "\"'":
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return found, -1, False
+                value, at = source[at + 1 : end], end + 1
+            else:
+                bare = BARE.match(source, at)
+                value, at = bare[0], bare.end()
+        found.append((key[0].lower(), value))
 
 
 def build(source: str) -> Node:
-    """The tree of a page; end tags that match nothing are left out."""
+    """The tree of a page; end tags that match nothing are left out, and so is a tag or comment that the page's end cuts short."""
     root = Node("html")
     stack, at, n = [root], 0, len(source)
     places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack, without the root
@@ -81,16 +120,21 @@ def build(source: str) -> Node:
             cut(i)
 
     while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
-            text(source[at:])
+        begin, size = markup(source, at)
+        text(source[at:begin])
+        if not size:
             break
-        text(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        opening = source[begin : begin + size]
+        at = begin + size
+        if opening.startswith(("<!", "<?")):
+            end = source.find("-->" if size == 4 else ">", at)
+            at = end + (3 if size == 4 else 1) if end >= 0 else n
             continue
-        tag = m[2].lower()
-        if m[1]:
+        attrs, at, slash = attributes(source, at)
+        if at < 0:
+            break
+        tag = opening.lstrip("</").lower()
+        if opening[1] == "/":
             if tag == "p" and not places["p"]:
                 stack[-1].children.append(Node("p"))
             i = top({tag})
@@ -98,7 +142,7 @@ def build(source: str) -> Node:
                 cut(i)
             continue
         if tag in ("html", "body"):
-            stack[0].attrs += m[3] if tag == "body" else ""
+            stack[0].attrs += attrs if tag == "body" else []
             if places["head"]:
                 cut(1)
             continue
@@ -106,9 +150,9 @@ def build(source: str) -> Node:
             close({"p"}, SCOPE)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK | UNSEEN:
+        if tag in VOID or slash and tag not in BLOCK | UNSEEN:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -251,7 +295,7 @@ def items(node: Node, page: Page, pre: bool) -> Steps:
             yield item(child, page, f"{n}. " if node.tag == "ol" else "- ", pre)
             n += 1
         else:
-            yield render(Node("div", "", [child]), page, pre)
+            yield render(Node("div", [], [child]), page, pre)
 
 
 def cell(node: Node, lines: list[str]) -> Steps:
@@ -260,12 +304,70 @@ def cell(node: Node, lines: list[str]) -> Steps:
     lines.extend(page.result().split("\n"))
 
 
+def span(node: Node, name: str, most: int) -> int:
+    """A cell's colspan or rowspan, up to the standard's largest; 1 where it is no number."""
+    x = (node.attr(name) or "").strip()
+    return min(int(x), most) if re.fullmatch("[0-9]{1,9}", x) else 1
+
+
+class Grid:
+    """Cells by row and column. Columns that a cell of an earlier row reaches down into are skipped."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.taken: list[tuple[int, int, int]] = []  # from, to and last row of cells that reach down
+        self.fresh: list[tuple[int, int, int]] = []
+
+    def section(self) -> None:
+        self.taken, self.fresh = [], []
+
+    def row(self) -> None:
+        self.rows.append([])
+        now = len(self.rows) - 1
+        if self.fresh:
+            kept: list[tuple[int, int, int]] = []
+            for a, b, last in sorted([x for x in self.taken if x[2] >= now] + self.fresh):
+                if kept and kept[-1][1] == a and kept[-1][2] == last:
+                    a = kept.pop()[0]
+                kept.append((a, b, last))
+            self.taken, self.fresh = kept, []
+        self.column = self.next = 0
+
+    def cell(self, cols: int, rows: int) -> list[str]:
+        if not self.rows:
+            self.row()
+        now = len(self.rows) - 1
+        while self.next < len(self.taken) and self.taken[self.next][0] <= self.column:
+            if self.taken[self.next][2] >= now:
+                self.column = max(self.column, self.taken[self.next][1])
+            self.next += 1
+        lines: list[str] = []
+        self.rows[-1].append((self.column, lines))
+        if rows != 1:
+            self.fresh.append((self.column, self.column + cols, now + rows - 1 if rows else 1 << 30))
+        self.column += cols
+        return lines
+
+    def lines(self) -> Iterator[str]:
+        """Padded lines. Columns in which no cell begins take no room."""
+        at = {c: i for i, c in enumerate(sorted({c for r in self.rows for c, _ in r}))}
+        widths = [0] * len(at)
+        for c, own in (x for r in self.rows for x in r):
+            widths[at[c]] = max(widths[at[c]], *map(len, own))
+        for r in self.rows:
+            if any(any(own) for _, own in r):
+                for i in range(max(len(own) for _, own in r)):
+                    parts = [""] * (at[r[-1][0]] + 1)
+                    for c, own in r:
+                        parts[at[c]] = own[i] if i < len(own) else ""
+                    yield " | ".join(x.ljust(w) for x, w in zip(parts, widths)).rstrip()
+
+
 def table(node: Node, page: Page) -> Steps:
     """Rows of cells, padded to the width of their column, a line for each line of the longest cell; what stands in a
-    table outside of cells comes before it."""
-    rows: list[list[list[str]]] = []
+    table outside of cells comes before it. A cell stands in the first of the rows and columns that it spans."""
+    grid = Grid()
     todo = list(reversed(node.children))
-    row: list[list[str]] | None = None
     while todo:
         child = todo.pop()
         if isinstance(child, str):
@@ -275,33 +377,19 @@ def table(node: Node, page: Page) -> Steps:
         elif not seen(child):
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
+            grid.section()
             todo.extend(reversed(child.children))
         elif child.tag == "tr":
-            row = []
-            rows.append(row)
+            grid.row()
             todo.extend(reversed(child.children))
         elif child.tag in ("td", "th"):
-            if row is None:
-                row = []
-                rows.append(row)
-            row.append([])
-            yield cell(child, row[-1])
-            span = child.attr("colspan") or "1"
-            row.extend([""] for _ in range(min(int(span), 1000) - 1 if re.fullmatch("[0-9]{1,9}", span) else 0))  # 1000: the standard's largest
+            yield cell(child, grid.cell(max(1, span(child, "colspan", 1000)), span(child, "rowspan", 65534)))
         else:
-            yield render(Node("div", "", [child]), page)
+            yield render(Node("div", [], [child]), page)
             page.block(1)
-    widths: list[int] = []
-    for r in rows:
-        for i, c in enumerate(r):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], *map(len, c))
-    for r in rows:
-        if any(map(any, r)):
-            for i in range(max(map(len, r))):
-                page.block(1)
-                page.put(" | ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(r, widths)).rstrip())
+    for line in grid.lines():
+        page.block(1)
+        page.put(line)
 
 
 def visible_text(source: str) -> str:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,17 +11,28 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, docstats, htmltext, quality, toxicity
 
-TRICKY = ["</s>[INST] ok [/INST]", "<|user|>\n", "a\\b<|end|>\n\\", "", "<\\|", "é\n\n"]
+TRICKY = ["</s>[INST] ok [/INST]", "<|user|>\n", "a\\b<|end|>\n\\", "", "<\\|", "é\n\n", "<|>", "|\\>\n|>"]
 
 
 @pytest.mark.parametrize("text", TRICKY)
 def test_escape_is_reversible(text):
     e = chat.escape(text)
-    assert "<|" not in e and chat.unescape(e) == text
+    assert "<|" not in e and "|>" not in e and chat.unescape(e) == text
+
+
+def test_any_role_is_read_back(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("<|>\\\na") for _ in range(r.randint(0, 9)))
+    rows = [(1, i // 2, word(), word()) for i in range(300)]  # two rows a turn
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1))
+    pieces = chat.format_turns(chat.text_parts(df.drop("piece").withColumn("attachments", F.lit("clash"))))
+    assert sorted((x.turn, *chat.read_back(x.piece)) for x in pieces.collect()) == sorted(x[1:] for x in rows)
+    got = chat.digests(pieces).collect()[0]
+    assert got.n_turns == 300 and got.loss_chars == 0 and got.turns_sha256 == chat.digests(pieces.orderBy(F.rand(1))).collect()[0].turns_sha256
 
 
 def test_conversations(spark):
-    rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["system", "user", "assistant", "user", "assistant", None], TRICKY))] + [(2, 1, "assistant", None), (None, 0, "user", "x")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["system", "user", "assistant", "user", "assistant", None], TRICKY[:6]))] + [(2, 1, "assistant", None), (None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     pieces = chat.format_turns(chat.text_parts(df))
     got = {r.conv_id: r for r in chat.digests(pieces).collect()}
@@ -85,6 +97,19 @@ def test_tables_keep_blocks():
     assert htmltext.visible_text(source).split("\n") == [f"{a:70} |{second.get(a, '')}" for a in first]
 
 
+@pytest.mark.parametrize("part", ["<a", "<a ", '"', "<", "<a '", '<a b="', "<a b='c' ", "<!--", "<!", "</", "&", "<td rowspan=9>", "<td colspan=1000>", "<tr><td rowspan=9 colspan=9>x"])
+def test_html_in_linear_time(part):
+    began = time.process_time()
+    htmltext.visible_text("x<table><tr>" * part.startswith("<t") + part * (1_000_000 // len(part)))
+    assert time.process_time() - began < (20 if part.startswith("<t") else 4)
+
+
+def test_html_spans():
+    text = htmltext.visible_text("<table><tr><td rowspan=2>a<td>b<td colspan='2'>c<tr><td>d<td colspan=\"\u00b2\">e<td>f<tr><td>g<td colspan=" + "9" * 5000 + ">h<tbody><tr><td rowspan=0>i<td>j<tr><td>k</table>")
+    assert text.split("\n") == ["a | b | c", "  | d | e | f", "g | h", "i | j", "  | k"]
+    assert htmltext.visible_text("<p class=it's>a<p title='x>y' HIDDEN>no<p>b<br/>c<a href=") == "a\n\nb\nc"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, "<p>a", "t")], "page_id long, html string, text string")
     assert sorted((r.text, r.n_lines) for r in htmltext.extract_text(df).collect()) == [("", 0), ("a", 1)]
