@@ -15,6 +15,15 @@ def cell(v):
     return str(v)
 
 
+def whole(column):
+    """A column of whole numbers and gaps, which pandas may hold as floats, as whole numbers."""
+    known = column.dropna()
+    if len(known) < len(column) and column.dtype == float and (known % 1 == 0).all():
+        return column.astype("Int64")
+    return column
+
+
 def rows(frame):
     cols = sorted(frame.columns)
-    return cols, sorted((tuple(cell(v) for v in r) for r in frame[cols].astype(object).itertuples(index=False)), key=str)
+    frame = frame[cols].apply(whole)
+    return cols, sorted((tuple(cell(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=str)
