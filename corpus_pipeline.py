@@ -11,21 +11,22 @@ from tessera.llm.scratch import save
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger rejects (score 0.7 or more) go: with a doc_id all rows of it, without one the row itself."""
+    """Documents that the tagger rejects (score 0.7 or more) go. Each row is judged by its own text, whatever its doc_id, so rows
+    pass through one map and nothing is shuffled; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
-    known, other = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    bad = toxicity.tag(known, model).where("score >= 0.7").select("doc_id").distinct()
-    rows = toxicity.tag(other.select(F.struct(*docs.columns).alias("row"), "text"), model, "row").where("score < 0.7").select("row.*")
-    return known.join(bad, "doc_id", "left_anti").select(docs.columns).unionByName(rows)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return toxicity.tag(rows, model, "row").where("score < 0.7").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match earlier ones go; a document of which nothing is left goes with them. Rows of one doc_id count as one document, rows without one stay as they are."""
-    out = linededup.dedup_lines(docs)
+    """Lines that match earlier ones go; a document of which nothing is left goes with them, null and blank texts stay. Repeated rows
+    count as one document, rows without a doc_id stay as they are. n_chars, where there is such a column, follows the text."""
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
+    out = linededup.dedup_lines(docs.select("doc_id", "text", rest))
     out = out.where((F.col("n_removed") == 0) | F.coalesce(F.length(F.trim("text")) > 0, F.lit(True)))
-    kind = docs.schema["n_chars"].dataType
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(docs.columns)
+    n = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*(F.col("text") if c == "text" else n.alias(c) if c == "n_chars" else F.col(f"rest.{c}") for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
