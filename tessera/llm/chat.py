@@ -117,7 +117,7 @@ def assemble(pieces: DataFrame) -> DataFrame:
 
 def read_back(piece: str) -> tuple[str, str]:
     """Role and content of a piece, unescaped; placeholders stay as they stand."""
-    mark = piece.index(CLOSE + "\n")
+    mark = piece.index(CLOSE + "\n", len(OPEN))
     return unescape(piece[len(OPEN) : mark]), unescape(piece[mark + len(CLOSE) + 1 : -len(END)])
 
 
