@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, release, save
-from .shingles import SPACE, WIDTH, shingles, split_words
+from .shingles import SPACE, WIDTH, shingle_rows, shingles, split_words
 
 EIGHTHS, ROUNDS, BLOCK = 3, (1, 8, 64), 64
 #: Sides of so many lines at most, of two numbers each, go to all executors; larger ones are shuffled.
@@ -68,8 +68,7 @@ def _ruled_out(lines: DataFrame) -> DataFrame:
     w = lines.select(_key().alias("k"), split_words(F.col("line")).alias("w"))
     # a key carries how many tokens a match may miss, and LIMIT where that is not less
     budget = F.least(F.floor((F.greatest(F.size("w") - (WIDTH - 1), F.lit(1))) / 4), F.lit(LIMIT)).cast("long")
-    at = w.select((F.col("k") + budget).alias("k"), "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - WIDTH, F.lit(0)))).alias("i"))
-    rows = at.select("k", F.xxhash64(*(F.get("w", F.col("i") + j) for j in range(WIDTH))).alias("h")).where(F.col("h").bitwiseAND(7) < EIGHTHS)
+    rows = shingle_rows(w.select((F.col("k") + budget).alias("k"), "w")).where(F.col("h").bitwiseAND(7) < EIGHTHS)
     alone = rows.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("b")).where("k = b")
     many = alone.groupBy("k").agg(F.count("*").alias("u"))
     rest = F.col("k").bitwiseAND(LIMIT)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 5
@@ -25,3 +25,13 @@ def shingles(w: Column, width: int = WIDTH) -> Column:
     """Hashes of all runs of ``width`` words, in order; fewer words count as one run, no words as none."""
     n = F.size(w)
     return F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+
+def shingle_rows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """A row for each run of ``width`` words of the column w, with its hash h in place of w; fewer words count as one run.
+
+    ``w`` must hold a word. Runs become rows and not arrays, as compiled code hashes them without a copy of their words.
+    """
+    keep = [c for c in rows.columns if c != "w"]
+    at = rows.select(*keep, "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))).alias("__i"))
+    return at.select(*keep, F.xxhash64(*(F.get("w", F.col("__i") + j) for j in range(width))).alias("h"))

@@ -167,9 +167,23 @@ def test_containment(spark):
     assert {(x.item_id, x.doc_id, x.n_shared) for x in decontaminate.contained_items(a, b).collect()} == want
     assert {x.doc_id for x in decontaminate.decontaminate(a, b).collect()} == {d for d, _ in docs} - {d for _, d, _ in want}
     assert decontaminate.contained_items(a, b.limit(0)).count() == 0 and decontaminate.contained_items(a.limit(0), b).count() == 0
-    limit, decontaminate.BROADCAST_SHINGLES = decontaminate.BROADCAST_SHINGLES, 0
+    limit, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
     assert decontaminate.contained_items(a, b).count() == len(want)
-    decontaminate.BROADCAST_SHINGLES = limit
+    decontaminate.BROADCAST_ROWS = limit
+    # sketches hold less than all shingles, lose no pair, and leave few pairs to verify
+    sketches = decontaminate.item_sketches(b, "item_id", "text", 75)
+    pairs = {(x.item, x.doc) for x in decontaminate.candidate_pairs(a, sketches).collect()}
+    assert {x[:2] for x in want} <= pairs and len(pairs) < 0.2 * len(items) * len(docs)
+    assert sketches.where("in_sketch").count() < 0.6 * sketches.count()
+
+
+def test_containment_of_odd_rows(spark):
+    item, half = "a b c d e f g h i j k l", "a b c d e f g h"
+    docs = spark.createDataFrame([(1, half, "x"), (1, "e f g h i j k l", "x"), (2, item, "y"), (2, item, "y"), (3, half, "z"), (None, item, "n"), (4, "q " * 50_000 + item, "l")], "doc_id long, text string, n_shared string")
+    items = spark.createDataFrame([(7, item), (7, item), (8, "a b"), (8, "k l")], "item_id long, text string")
+    got = sorted((x.item_id, x.doc_id, x.n_shingles, x.n_shared) for x in decontaminate.contained_items(docs, items).collect())
+    assert got == [(7, 1, 8, 8), (7, 2, 8, 8), (7, 4, 8, 8), (8, 1, 2, 2), (8, 2, 2, 2), (8, 4, 2, 2)]
+    assert sorted((x.doc_id or -1, x.n_shared) for x in decontaminate.decontaminate(docs, items).collect()) == [(-1, "n"), (3, "z")]
 
 
 def repeat_rows():
