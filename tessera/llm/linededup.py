@@ -76,20 +76,20 @@ def _ruled_out(lines: DataFrame) -> DataFrame:
 
 
 def _sets(own: DataFrame, classes: DataFrame) -> DataFrame:
-    """(at, n, t) of the first lines of ``classes``: t holds the sorted distinct tokens."""
+    """(at, n, t) of the first lines of ``classes``: t holds the sorted distinct tokens. Rows repeat as those of ``own`` do."""
     inner = F.pmod("at", F.lit(_PLACES).cast("decimal(38,0)"))
     place = classes.select("at", inner.cast("long").alias("inner"), ((F.col("at") - inner) / F.lit(_PLACES).cast("decimal(19,0)")).cast("long").alias("doc"))
     want = place.groupBy("doc", F.shiftright("inner", 31).alias("th")).agg(F.collect_list(F.struct("at", F.col("inner").bitwiseAND(0x7FFFFFFF).cast("int").alias("i"))).alias("want"))
     both = own.where("text is not null").withColumn("th", _text_hash()).join(_small(save(want), "want"), ["doc", "th"])
     picked = both.select(F.split("text", "\n").alias("ls"), "want").select("ls", F.explode("want").alias("x"))
     w = picked.select("x.at", split_words(F.get("ls", F.col("x.i"))).alias("w"))
-    return w.select("at", F.sort_array(F.array_distinct(shingles(F.col("w")))).alias("t")).select("at", F.size("t").alias("n"), "t").dropDuplicates(["at"])
+    return w.select("at", F.sort_array(F.array_distinct(shingles(F.col("w")))).alias("t")).select("at", F.size("t").alias("n"), "t")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
     """(h, at, n, u, i): the prefix of each set in the order of rarity; i is a token's place, behind the u that no other set has."""
     df = sets.select(F.explode("t").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    near = sets.select("at", "n", F.explode("t").alias("h")).join(df, "h").groupBy("at", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+    near = sets.select("at", "n", F.explode("t").alias("h")).join(df, "h").groupBy("at", "n").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("o"))
     unique = F.col("n") - F.size("o")
     length = F.col("n") - _needed(F.col("n")) + 1 - unique  # of the prefix, less its unique tokens, which come first
     near = near.where(length > 0).select("at", "n", unique.alias("u"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "x"))
@@ -157,8 +157,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     drop(some)
     release(spark)
     # most of what is left drops out once the tokens that a set alone has are counted, before any token is joined
-    lone = sets.select("at", F.explode("t").alias("h")).groupBy("h").agg(F.min("at").alias("at"), F.max("at").alias("b")).where("at = b").groupBy("at").agg(F.count("*").alias("lone"))
-    few = save(sets.join(lone, "at", "left").where(F.coalesce("lone", F.lit(0)) <= F.col("n") - _needed(F.col("n"))).drop("lone"))
+    own = F.xxhash64("at").alias("own")  # a short stand-in
+    lone = sets.select(own, F.explode("t").alias("h")).groupBy("h").agg(F.min("own").alias("own"), F.max("own").alias("b")).where("own = b").groupBy("own").agg(F.count("*").alias("lone"))
+    few = sets.select("*", own).join(lone, "own", "left").where(F.coalesce("lone", F.lit(0)) <= F.col("n") - _needed(F.col("n")))
+    few = save(few.select("at", "n", "t"))
     drop(sets)
     release(spark)
     hit = _near(few)
@@ -183,8 +185,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = save(gone.groupBy("doc", "th").agg(F.collect_list("line_no").alias("gone")))
     row = docs.select(F.struct(*(c for c in docs.columns if c not in (text_col, "n_lines", "n_removed"))).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     out = row.withColumn("th", _text_hash()).join(_small(gone, "gone"), ["doc", "th"], "left")
-    lines, n = F.split("text", "\n"), F.size(F.split("text", "\n"))
+    n = F.size("lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "gone"), lambda i: F.get("lines", i))
-    out = out.select("row", "text", "gone", F.when(F.col("gone").isNotNull(), lines).alias("lines"), F.when(F.col("text").isNotNull(), n).otherwise(0).cast("long").alias("n_lines"))
-    out = out.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    out = out.select("row", "text", "gone", F.split("text", "\n").alias("lines"))
+    out = out.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
     return out.select(*(F.col("text").alias(text_col) if c == text_col else F.col(f"row.{c}") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
