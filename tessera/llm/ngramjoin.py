@@ -6,16 +6,17 @@ Documents are sets of five-word shingles; two link at a distance of r = 0.25 or
 2. A set can only have a partner if at most n/4 of its shingles occur in no other class. A fixed
    part of the space of hashes is enough to rule out most documents without loss.
 3. What is left is dealt to cells by its rarest shingles, so that two documents that link share a
-   cell (all but its n - ceil(0.75 n) + 1 rarest shingles may differ).
-4. In each cell one document is the pivot and its distance to each member is computed. The ball of
-   radius r around the pivot is linked by that. By the triangle inequality a document that links
-   with the ball lies within 2r of the pivot, so documents between r and 2r, the boundary, go to both
-   regions: with the ball, and with all documents outside it, which is the next level's cell. Levels
-   go on with new pivots; what few are left after the last one are compared with each other.
-   A pair that shares several cells is looked at in one of them.
-5. Pairs that the windows leave, and that are not in one component yet, are verified exactly.
-
-Work at each level follows the number of rows in cells, not pairs in them; components come from stars.
+   cell (all but its n - ceil(0.75 n) + 1 rarest shingles may differ). Far more than all distances
+   between texts are 1, so pivots of the whole corpus would part nothing; those of a cell do.
+4. In each cell some documents are pivots, the more the larger it is, and the distance of each document to
+   each pivot is computed. Documents of one pivot's ball of radius r are linked by it. Each document belongs to the
+   Voronoi region of its nearest pivot q, and visits the region of a pivot p if d(x, p) <= d(x, q) + 2r: by the
+   triangle inequality two documents that link meet in the region of one of them.
+5. Regions are cells again, with pivots of their own, until they are small or until the windows no longer part them.
+6. In what is left, documents of different components are compared where their distances to the pivot
+   differ by r at most, and exactly. Documents that a common pivot links need no look at each other.
+
+Components come from stars. Neither pairs of a cell nor of a region are written, but for those of step 6.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from . import wordsets
 from .components import connected_components
 from .scratch import drop, release, save
 
-EIGHTHS, LEVELS = 3, 6
+#: Share of hashes that step 2 looks at; size of a small region; members for each pivot, and most pivots of a region;
+#: share of a region's size from which the windows count as not parting it; most documents of a block.
+EIGHTHS, SMALL, MEMBERS, PIVOTS, PARTED, BLOCK = 3, 16, 32, 16, 0.75, 256
+RADIUS = 0.25 + 1e-9
 
 
 def _needed(n):
@@ -60,43 +64,59 @@ def _may_link(x: str, y: str):
     return (nx * 4 >= ny * 3) & (ny * 4 >= nx * 3) & (F.least(nx - ix, ny - iy) + F.least(ix - ux, iy - uy) >= F.ceil((nx + ny) * 3 / F.lit(7)))
 
 
+def _with_size(regions: DataFrame) -> DataFrame:
+    return regions.join(regions.groupBy("region").agg(F.count("*").alias("m")).where("m > 1"), "region")
+
+
+def _parted(regions: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``regions`` (region, cell, rep, n, u, i, mask, m) -> links (a, b), leaves and regions of the next level.
+
+    Bit k of ``mask`` tells that a row visits its region of level k; of two rows that are compared, one must be at home at every level.
+    """
+    share = F.pmod(F.xxhash64("rep"), F.least(F.ceil(F.col("m") / MEMBERS), F.lit(PIVOTS)))
+    pivots = regions.groupBy("region", share.alias("k")).agg(F.min("rep").alias("p")).select("region", "p")
+    met = regions.join(pivots, "region")
+    dist = save(_measured(met.where("rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), sets))
+    # a pivot's pairs are all measured now, so it goes no further
+    own = met.join(pivots.withColumnsRenamed({"p": "rep"}), ["region", "rep"], "left_anti")
+    own = own.join(dist.withColumnsRenamed({"a": "rep", "b": "p"}), ["rep", "p"])
+    near = own.groupBy("region", "rep").agg(F.min("d").alias("least"), F.min_by("p", F.struct("d", "p")).alias("q"))
+    at = own.join(near, ["region", "rep"]).where((F.col("p") == F.col("q")) | ((F.col("p") < F.col("q")) & (F.col("d") <= F.col("least") + 2 * RADIUS)))
+    visit = F.when(F.col("p") != F.col("q"), F.lit(1 << level)).otherwise(F.lit(0)).cast("long")
+    new = at.select(F.xxhash64("region", "p", F.lit(level)).alias("region"), "cell", "rep", "n", "u", "i", F.col("mask").bitwiseOR(visit).alias("mask"), "d", "link", F.col("m").alias("of"))
+    sizes = new.groupBy("region").agg(F.count("*").alias("m"), F.min(F.col("link").cast("int")).alias("linked"), F.bit_and("mask").alias("away"))
+    new = save(new.join(sizes.where("m > 1 and linked = 0 and away = 0").select("region", "m"), "region"))
+    leaf = (F.col("m") <= SMALL) | (F.col("m") > F.col("of") * PARTED)
+    return dist.where("link").select("a", "b"), new.where(leaf), new.where(~leaf).drop("d", "link", "of")
+
+
 def set_links(sets: DataFrame) -> DataFrame:
     """``sets`` (rep, n, s), all different -> edges (a, b) that leave the components of all linked pairs."""
-    every = cells = save(_cells(sets))
-    links, shells = None, None
-    for level in range(LEVELS):
-        pivots = cells.groupBy("cell").agg(F.min("rep").alias("p"), F.count("*").alias("m")).where("m > 1")
-        members = cells.join(pivots, "cell").where("rep <> p")
-        dist = save(_measured(members.select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), sets))
-        near = dist.where("link").select("a", "b")
-        links = near if links is None else links.union(near)
-        at = members.join(dist.withColumnsRenamed({"a": "rep", "b": "p"}), ["rep", "p"])
-        shell = save(at.where("d <= 0.5").select("cell", F.lit(level).alias("level"), "rep", "p", "n", "u", "i", "d", "link"))
-        shells = shell if shells is None else shells.union(shell)
-        nxt = save(at.where("not link").select("cell", "rep", "n", "u", "i"))
-        if cells is not every:
-            drop(cells)
-        cells = nxt
+    every = save(_cells(sets))
+    regions = save(_with_size(every.select(F.col("cell").alias("region"), "cell", "rep", "n", "u", "i", F.lit(0).cast("long").alias("mask"))))
+    links, leaves, level = None, None, 0
+    while level == 0 or not regions.isEmpty():
+        found, small, regions = _parted(regions, sets, level)
+        links = found if links is None else links.union(found)
+        leaves = small if leaves is None else leaves.union(small)
+        level += 1
         release(sets.sparkSession)
-        if cells.isEmpty():
-            break
     comp = save(connected_components(links))
-    of = lambda t, c="rep", n="component": t.join(comp.withColumnsRenamed({"id": c, "component": n}), c, "left").withColumn(n, F.coalesce(n, c))
+    rows = leaves.select("region", "cell", "rep", "n", "u", "i", "mask", "d").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # only pairs of different components are open, and one of them is outside of the region's largest
+    sizes = rows.groupBy("region", "component").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    rows = save(rows.join(main.select("region", "main", F.ceil(F.col("all") / BLOCK).alias("nb")), "region"))
+    prefixes = every.join(rows.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.collect_list("cell").alias("cells"))
+    rows = rows.join(prefixes, "rep")
+    few = rows.where("component <> main").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    x, y = few.alias("x"), rows.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb"))).alias("y")
+    open_ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+    window = (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS) & (F.col("x.mask").bitwiseAND(F.col("y.mask")) == 0) & _may_link("x", "y")
     # a pair may share many cells; it is looked at in the first of them
-    first = lambda t: t.join(prefixes, "rep")
-    prefixes = every.groupBy("rep").agg(F.collect_list("cell").alias("all"))
-    here = F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.cell")
-    same = lambda *c: [F.col(f"x.{k}") == F.col(f"y.{k}") for k in c]
-    shell = of(shells, "p", "ball")
-    window = save(of(shell.where("not link")).where("component <> ball"))
-    ball = shell.where("link").join(window.select("cell", "level").distinct(), ["cell", "level"], "left_semi")
-    one = first(ball).alias("x").join(first(window).alias("y"), same("cell", "level")).where((F.col("y.d") - F.col("x.d") <= 0.25 + 1e-9) & _may_link("x", "y") & here)
-    rest = save(of(cells))
-    mixed = rest.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cell")
-    rest = first(rest.join(mixed, "cell", "left_semi"))
-    two = rest.alias("x").join(rest.alias("y"), same("cell")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y") & here)
-    ends = lambda t: t.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    pairs = save(ends(one).union(ends(two)).distinct())
+    here = F.array_min(F.array_intersect("x.cells", "y.cells")) == F.col("x.cell")
+    both = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.b") == F.col("y.b")) & open_ & window & here)
+    pairs = save(both.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
     return save(links.union(_measured(pairs, sets).where("link").select("a", "b")))
 
 
@@ -104,18 +124,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id) for every row of ``docs``: component_id is the smallest id reached by links.
 
     Texts without words (null, empty, blank) have no shingles and link with nothing, and so do rows
-    without an id. Repeated rows are one class and give a row each. Other columns are ignored.
+    without an id. Repeated rows are one class and give a row each; rows of one id with different texts are
+    documents of their own, which only share their id. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    keyed = save(own.mapInArrow(wordsets.keys, "doc bigint, n bigint, k1 bigint, k2 bigint"))
-    classes = keyed.where("n > 0 and doc is not null").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
-    seen = own.where("doc is not null").select("text").mapInArrow(wordsets.sampled_rows(EIGHTHS), "h bigint, k1 bigint")
+    read = save(own.mapInArrow(wordsets.keys(EIGHTHS), "doc bigint, n bigint, k1 bigint, k2 bigint, part array<bigint>"))
+    known = F.expr("n > 0 and doc is not null")
+    seen = read.where(known).select(F.explode("part").alias("h"), "k1")
     unique = seen.groupBy("h").agg(F.min("k1").alias("k1"), F.max("k1").alias("b")).where("k1 = b").groupBy("k1").agg(F.count("*").alias("u"))
-    maybe = save(classes.join(unique, "k1", "left").where(F.coalesce("u", F.lit(0)) <= F.col("n") - _needed(F.col("n"))).select("rep"))
+    unique = save(unique)
+    keyed = save(read.drop("part"))
+    drop(read)
     release(docs.sparkSession)
-    sets = save(own.join(maybe, own.doc == maybe.rep, "left_semi").select("doc", "text").mapInArrow(wordsets.sets, "rep bigint, n bigint, s array<bigint>").dropDuplicates(["rep"]))
+    # a class is known by 64 bits of its set's hash
+    classes = save(keyed.where(known).groupBy("k1", "k2", "n").agg(F.min("doc").alias("first")))
+    maybe = save(classes.join(unique, "k1", "left").where(F.coalesce("u", F.lit(0)) <= F.col("n") - _needed(F.col("n"))).select("first", "k1"))
+    drop(unique)
+    got = own.join(maybe.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select("doc", "text").mapInArrow(wordsets.sets, "first bigint, rep bigint, n bigint, s array<bigint>")
+    sets = save(got.join(maybe.withColumnRenamed("k1", "rep"), ["first", "rep"], "left_semi").select("rep", "n", "s").dropDuplicates(["rep"]))
+    drop(maybe)
     release(docs.sparkSession)
-    comp = connected_components(set_links(sets))
-    reps = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
+    comp = save(connected_components(set_links(sets)).withColumnRenamed("id", "k1"))
+    drop(sets)
+    least = classes.join(comp, "k1").groupBy("component").agg(F.min("first").alias("least"))
+    reps = classes.join(comp.join(least, "component").select("k1", "least"), "k1", "left").select("k1", "k2", "n", F.coalesce("least", "first").alias("component"))
     out = keyed.join(reps, ["k1", "k2", "n"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("component", "doc")).alias("component_id"))

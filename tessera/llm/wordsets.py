@@ -46,41 +46,26 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> id, n, k1, k2."""
-    hashes = WordHashes()
-    for b in batches:
-        rows = []
-        for t in b.column(1):
-            s = shingle_set(t.as_py(), hashes)
-            rows.append((len(s), *set_key(s)))
-        c = list(zip(*rows)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in c)], names=list("abcd"))
-
-
-def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> id, n, s array<bigint>."""
-    hashes = WordHashes()
-    for b in batches:
-        got = [shingle_set(t.as_py(), hashes).view(np.int64) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=list("abc"))
-
-
-def sampled_rows(eighths: int):
-    """(text) -> a row (h, k1) for each shingle whose hash falls into ``eighths`` eighths of all hashes."""
+def keys(eighths: int):
+    """(id, text) -> id, n, k1, k2, part: the set's size and key, and those of its hashes that fall into ``eighths`` eighths of all."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            hs, ks, size = [], [], 0
-            for i, t in enumerate(b.column(0)):
+            rows, parts = [], []
+            for t in b.column(1):
                 s = shingle_set(t.as_py(), hashes)
-                u = s[(s & np.uint64(7)) < eighths].view(np.int64)
-                hs.append(u)
-                ks.append(np.full(len(u), set_key(s)[0], np.int64))
-                size += len(u)
-                if size > 200_000 or i + 1 == len(b.column(0)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ks))], names=["h", "k1"])
-                    hs, ks, size = [], [], 0
+                rows.append((len(s), *set_key(s)))
+                parts.append(s[(s & np.uint64(7)) < eighths].view(np.int64))
+            c = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in c), pa.array(parts, pa.list_(pa.int64()))], names=list("abcde"))
 
     return work
+
+
+def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> id, k1, n, s array<bigint>."""
+    hashes = WordHashes()
+    for b in batches:
+        got = [shingle_set(t.as_py(), hashes) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s)[0] for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=list("abcd"))
