@@ -11,11 +11,15 @@ first:
 2. Anchors whose k-gram occurs once are dropped. The others bring the strings of K bytes whose
    anchor they are, as one piece of text; equal pieces collapse into one row with its first and
    last place before the shuffle.
-3. The suffixes from the anchors of a group are sorted, the prefixes to their left likewise
-   from right to left, and common lengths of neighbours are taken. A start s bytes before the anchor has
-   a match of K bytes where both orders keep two rows together for s and for K - s bytes. Rows go by place
-   inside such a run, so the previous smaller place in suffix order tells whether there is an earlier match.
-4. The positions found go back to their documents as ranges.
+3. The suffixes from the anchors of a group are sorted, the prefixes to their left likewise from right to left, and
+   common lengths of neighbours are taken. For starts s bytes before the anchor, rows in the order of (what stands
+   between start and anchor, suffix from the anchor) are in suffix order, and in a run of it all common lengths are K or
+   more. The longest previous factor of a start has K bytes where its previous or its next smaller place in suffix
+   order lies in its run, the longest next factor likewise by greater places. Nobody needs lengths
+   beyond K, so the arrays hold only whether they are reached.
+4. A group of very many different texts would be one task's. There the order is cut at K bytes, where all that is left of
+   it is which strings are equal: these meet by a hash of 128 bits, spread over all tasks.
+5. The positions found go back to their documents as ranges.
 """
 
 from __future__ import annotations
@@ -91,6 +95,27 @@ def common(parts: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.concatenate([[-1], lcp])
 
 
+def nearest_smaller(x: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each place the last one before it, in its run, that holds a smaller value; -1 where there is none.
+
+    What lies between a place and its pointer is greater than its own value, so a pointer to a greater value
+    may be replaced by that one's own; pointers double at each step.
+    """
+    at = np.arange(len(x)) - 1
+    at[np.concatenate([[True], run[1:] != run[:-1]])] = -1
+    while True:
+        bad = np.flatnonzero((at >= 0) & (x[at] > x))
+        if not len(bad):
+            return at
+        at[bad] = at[at[bad]]
+
+
+def reached(place: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the longest previous and next factors of starts, given in suffix order, reach the length that runs stand for."""
+    previous, following = ((nearest_smaller(x, run) >= 0) | (nearest_smaller(x[::-1], run[::-1])[::-1] >= 0) for x in (place, -place))
+    return previous, following
+
+
 def repeats(rows: list[tuple], length: int) -> list[tuple[int, list[list[int]]]]:
     """Rows (group, left, text, first_doc, first_at, last_doc, last_at) -> (row, [[low, high, first]]): starts, counted
     from the anchor, from ``low`` to before ``high`` have a match elsewhere; ``first`` tells that the row's first place has no earlier one.
@@ -116,20 +141,18 @@ def repeats(rows: list[tuple], length: int) -> list[tuple[int, list[list[int]]]]
     low = -int(left.max())
     hit = np.zeros((m, int((right - length).max()) - low + 1), bool)
     lead = np.zeros_like(hit)
-    classes = np.empty((2, m), np.int64)
+    classes, rank = np.empty((2, m), np.int64), np.empty(m, np.int64)
+    rank[fore] = np.arange(m)
     for s in range(low, low + hit.shape[1]):
         v = np.flatnonzero(live & (left >= -s) & (right >= length + s))
         if not len(v):
             continue
         classes[0, fore] = np.cumsum(fore_lcp < length + s)
         classes[1, back] = np.cumsum(back_lcp < -s)
-        key = classes[0, v] * (m + 1) + classes[1, v]
-        order = np.argsort(key, kind="stable")  # rows come in the order of place
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        alone = new & np.append(new[1:], True)
-        got = v[order]
-        hit[got, s - low] = ~alone | twice[got]
-        lead[got, s - low] = new
+        got = v[np.argsort(classes[1, v] * (m + 1) + rank[v], kind="stable")]  # in suffix order
+        earlier, later = reached(got, classes[0, got] * (m + 1) + classes[1, got])  # rows come in the order of place
+        hit[got, s - low] = earlier | later | twice[got]
+        lead[got, s - low] = ~earlier
     out = []
     for i in np.flatnonzero(hit.any(1)):
         x = np.where(hit[i], 1 + lead[i], 0)
@@ -161,9 +184,20 @@ def _large_groups(flat: DataFrame, length: int) -> DataFrame:
     return hit.groupBy("h", "c1", "c2", F.col("d0").alias("fd"), F.col("a0").alias("fa")).agg(F.collect_list(one).alias("spans"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` as (id, text, doc): doc is the id, or a hash of id and text where an id has several texts."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    th = F.xxhash64("text")
+    several = own.groupBy("doc").agg(F.min(th).alias("a"), F.max(th).alias("b")).where("doc is not null and a <> b").select("doc", F.lit(True).alias("several"))
+    several = save(several)
+    if several.isEmpty():
+        return own
+    return own.join(several, "doc", "left").select("id", F.when(F.col("several"), F.xxhash64("doc", "text")).otherwise(F.col("doc")).alias("doc"), "text")
+
+
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, keep_first: bool = False) -> DataFrame:
     """(id, ranges array<struct<start,end>>): bytes covered by a string of ``length`` bytes that also starts
-    elsewhere (with ``keep_first``: at an earlier place, in the order of id and place)."""
+    elsewhere (with ``keep_first``: at an earlier place, in the order of id and place). The id must tell texts apart."""
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc is not null")
 
     def find(batches):
@@ -199,9 +233,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(places)
     release(docs.sparkSession)
     rows = save(spots.groupBy("h", "c1", "c2", "l").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("context").alias("context")))
-    sizes = rows.groupBy("h").agg(F.count("*").alias("g"), F.max(F.col("first") != F.col("last")).alias("twice"))
+    # written, so that both sides of the join are plain shuffles, of which a hot anchor can be split
+    sizes = save(rows.groupBy("h").agg(F.count("*").alias("g"), F.max(F.col("first") != F.col("last")).alias("twice")).where("g > 1 or twice").select("h", "g"))
     release(docs.sparkSession)
-    rows = rows.join(sizes, "h").where("g > 1 or twice")
+    rows = rows.join(sizes, "h")
 
     def suffixes(batches):
         held: list[tuple] = []
@@ -242,11 +277,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row: ``kept`` is what is left of the text's bytes.
 
     Null texts count as empty; texts shorter than ``length`` stay whole; rows without an id stay whole
-    and match nothing. The id is the key: repeated rows with one id are one document. Other columns are ignored.
+    and match nothing. Rows that repeat an id and a text are one document and give a row each; rows of one id with different
+    texts are documents of their own, for ``keep_first`` in any order. Other columns are ignored.
     """
-    ranges = save(repeated_ranges(docs, id_col, text_col, length, k, keep_first))
+    own = _keyed(docs, id_col, text_col)
+    ranges = save(repeated_ranges(own, "doc", "text", length, k, keep_first))
     release(docs.sparkSession)
-    both = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(ranges.withColumnRenamed(id_col, "doc"), "doc", "left")
+    both = own.join(ranges, "doc", "left").select("id", "text", "ranges")
 
     def cut(batches):
         for b in batches:
