@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import capjoin, components, decontaminate, linededup, ngramjoin, suffixdedup
 
@@ -71,6 +72,36 @@ def test_ngram_join_of_nothing(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got if r.doc_id) == [(5, 2, 5), (5, 2, 5)]
 
 
+def test_ngram_join_of_large_regions(spark):
+    """Variants that chains link and no ball holds: several pivots, windows and levels, and blocks at the end."""
+    r = random.Random(4)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for i in range(150):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 2, 2, 3])):
+                w[r.randrange(60)] = f"x{r.randint(0, 30)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: shingles(x) for i, x in rows}
+    want = link(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    names = ("SMALL", "MEMBERS", "PIVOTS", "PARTED", "BLOCK")
+    saved = {n: getattr(ngramjoin, n) for n in names}
+    for values in (saved.values(), (2, 8, 8, 0.99, 16)):
+        for n, v in zip(names, values):
+            setattr(ngramjoin, n, v)
+        got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {x.doc_id: x.component_id for x in got} == want
+    for n, v in saved.items():
+        setattr(ngramjoin, n, v)
+
+
+def test_ngram_join_of_ids_with_several_texts(spark):
+    one, other = "a b c d e f g h", "p q r s t u v w"
+    got = ngramjoin.near_duplicates(spark.createDataFrame([(1, one), (2, one), (2, other), (3, other), (4, "solo")], "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_line_dedup(spark, seed):
     lines = families(seed, (2, 5, 9, 30))
@@ -230,6 +261,27 @@ def test_repeats(spark, group, keep_first, monkeypatch):
         assert x.kept_sha256 == hashlib.sha256(left).hexdigest()
 
 
+def test_repeats_of_ids_with_several_texts(spark):
+    r = random.Random(6)
+    x, y = ("".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    rows = [(1, x, 0), (2, x, 0), (2, y, 0), (2, y, 0), (3, x[:250], 0), (None, x, 0)]
+    got = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_removed int")).collect()
+    assert sorted((g.doc_id or 0, g.n_bytes, g.n_removed) for g in got) == [(0, 400, 0), (1, 400, 400), (2, 400, 0), (2, 400, 0), (2, 400, 400), (3, 250, 250)]
+    got = suffixdedup.remove_repeats(spark.createDataFrame([(1, "ab" * 50_000), (2, "q" * 3000 + x)], "doc_id long, text string"))
+    assert sorted((g.doc_id, g.n_removed) for g in got.collect()) == [(1, 100_000), (2, 3000)]
+
+
+def test_longest_factors():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(r.integers(1, 60))
+        place, run = r.permutation(n), np.sort(r.integers(0, 8, n))
+        earlier, later = suffixdedup.reached(place, run)
+        for i in range(n):
+            other = place[run == run[i]]
+            assert (earlier[i], later[i]) == ((other < place[i]).any(), (other > place[i]).any())
+
+
 def test_repeats_of_nothing(spark):
     assert suffixdedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -271,6 +323,44 @@ def test_recall_at_the_threshold(spark):
         cos = r.uniform(0.931, 0.96)
         rows += [(2 * i, a.tolist(), 0), (2 * i + 1, (cos * a + np.sqrt(1 - cos * cos) * b).tolist(), 0)]
         want.add((2 * i, 2 * i + 1))
-    reps = spark.createDataFrame(rows, "rep long, v array<double>, label int").select("rep", "label", "v")
-    got = {(x.a, x.b) for x in capjoin.linked_pairs(reps).collect()}
+    reps = spark.createDataFrame(rows, "rep long, v array<double>, label int").select("rep", "label", "v", F.lit(1).cast("long").alias("copies"))
+    counts, edges = capjoin.compared(reps)
+    got = {(min(x.a, x.b), max(x.a, x.b)) for x in edges.collect()}
     assert got <= want and len(got) >= 0.995 * len(want)
+    assert {x.rep: x.n for x in counts.groupBy("rep").agg(F.sum("n").alias("n")).collect()} == {i: 1 for p in got for i in p}
+
+
+def test_vectors_of_a_large_group(spark):
+    """Links are counted once, rows follow the group's size and not its square, and blocks meet each other."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=24)
+    v = np.float32(base / np.linalg.norm(base) + r.normal(size=(700, 24)) * 0.05)
+    v[650:] = v[:50]  # exact copies
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & ~np.eye(700, dtype=bool)
+    assert near.sum() > 100_000
+    df = spark.createDataFrame([(i, a.tolist(), "x", i) for i, a in enumerate(v)], "vec_id long, embedding array<float>, label string, n_links int")
+    block, capjoin.BLOCK = capjoin.BLOCK, 128
+    got = {g.vec_id: (g.n_links, g.component_id) for g in capjoin.near_vectors(df).collect()}
+    capjoin.BLOCK = block
+    comp = link(range(700), zip(*np.nonzero(np.triu(near))))
+    assert got == {i: (int(near[i].sum()), comp[i]) for i in range(700)}
+
+
+def test_vectors_of_odd_rows(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 1), (1, b, 1), (2, b, 1), (3, a, 2), (1, a, 2), (3, a, None), (None, a, 1), (4, [1.0, 0.0], 1), (5, a, 1), (5, a, 1)]
+    got = sorted((g.vec_id or 0, g.n_links, g.component_id or 0, g.kept) for g in capjoin.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    want = [(0, 0, 0, None), (1, 1, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 1, 1, False), (4, 0, 4, True), (5, 2, 1, False), (5, 2, 1, False)]
+    assert got == sorted(want, key=lambda x: tuple(str(y) for y in x)) or sorted(map(str, got)) == sorted(map(str, want))
+    assert capjoin.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_decode_gives_all_filters_above_the_threshold():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        s1, s2 = r.normal(size=30), r.normal(size=40)
+        f = capjoin.decode(s1, s2, 2.0)
+        assert f.tolist() == np.flatnonzero((s1[:, None] + s2 >= 2.0).ravel()).tolist()
+        f = capjoin.decode(s1, s2, 9.0)
+        assert set(f) == set(np.argsort(-(s1[:, None] + s2).ravel(), kind="stable")[: capjoin.LEAST])
