@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import drop, release, save
 from .shingles import SPACE, WIDTH, shingle_rows, shingles, split_words
 
-EIGHTHS, ROUNDS, BLOCK = 3, (1, 8, 64), 64
+EIGHTHS, ROUNDS, BLOCK = 3, (1, 16), 64
 #: Sides of so many lines at most, of two numbers each, go to all executors; larger ones are shuffled.
 BROADCAST_LINES = 1_000_000
 LIMIT = 4095  # of the budget of unique tokens that a key has room for
@@ -76,14 +76,14 @@ def _ruled_out(lines: DataFrame) -> DataFrame:
 
 
 def _sets(own: DataFrame, classes: DataFrame) -> DataFrame:
-    """(at, n, t) of the first lines of ``classes``: t holds the sorted distinct tokens. Rows repeat as those of ``own`` do."""
+    """(at, n, t) of the first lines of ``classes``: t holds the distinct tokens. Rows repeat as those of ``own`` do."""
     inner = F.pmod("at", F.lit(_PLACES).cast("decimal(38,0)"))
     place = classes.select("at", inner.cast("long").alias("inner"), ((F.col("at") - inner) / F.lit(_PLACES).cast("decimal(19,0)")).cast("long").alias("doc"))
     want = place.groupBy("doc", F.shiftright("inner", 31).alias("th")).agg(F.collect_list(F.struct("at", F.col("inner").bitwiseAND(0x7FFFFFFF).cast("int").alias("i"))).alias("want"))
     both = own.where("text is not null").withColumn("th", _text_hash()).join(_small(save(want), "want"), ["doc", "th"])
     picked = both.select(F.split("text", "\n").alias("ls"), "want").select("ls", F.explode("want").alias("x"))
     w = picked.select("x.at", split_words(F.get("ls", F.col("x.i"))).alias("w"))
-    return w.select("at", F.sort_array(F.array_distinct(shingles(F.col("w")))).alias("t")).select("at", F.size("t").alias("n"), "t")
+    return w.select("at", F.array_distinct(shingles(F.col("w"))).alias("t")).select("at", F.size("t").alias("n"), "t")
 
 
 def _postings(sets: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def split_words(text: Column) -> Column:
 
 def shingles(w: Column, width: int = WIDTH) -> Column:
     """Hashes of all runs of ``width`` words, in order; fewer words count as one run, no words as none."""
-    n = F.size(w)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(width))))
+    return F.when(F.size(w) > 0, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingle_rows(rows: DataFrame, width: int = WIDTH) -> DataFrame:

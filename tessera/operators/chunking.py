@@ -241,19 +241,45 @@ def text_elements(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "seq", label.alias("label"), level.alias("level"), F.when(label == "heading", F.regexp_replace(line, r"^#+\s+", "")).when(label == "list_item", F.regexp_replace(line, r"^\s*([-*•]|\d+[.)])\s+", "")).otherwise(line).alias("text"))
 
 
-#: Block tags that become elements, and their labels.
-HTML_LABELS = {"p": "text", "li": "list_item", "pre": "code", "figcaption": "caption", "td": "text", "th": "text"}
+#: Tags that begin and end pieces of text, and those whose content is never text.
+HTML_BLOCKS = "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul"
+HTML_UNSEEN = "head script style template noscript textarea title svg"
+_CUT, _NAME, _CELL = "\x01", "\x02", "\x03"
+
+
+def html_pieces(html: Column) -> Column:
+    """Texts between block tags, each behind the name of the tag that begins it; a page's beginning has no name."""
+    for name in HTML_UNSEEN.split():
+        html = F.regexp_replace(html, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", " ")
+    html = F.regexp_replace(F.regexp_replace(html, r"[\x01-\x03]", " "), r"(?s)<!--.*?-->", " ")
+    cut = F.regexp_replace(html, rf"(?i)<(/?(?:{'|'.join(HTML_BLOCKS.split())}))(?:[\s/][^>]*)?>", f"{_CUT}$1{_NAME}")
+    return F.split(F.concat(F.lit(_NAME), cut), _CUT)
 
 
 def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Block elements of HTML in document order: h1..h6 are headings; tags inside are dropped."""
-    tag = r"(?is)<(?:h[1-6]|p|li|pre|figcaption|td|th)(?:\s[^>]*)?>.*?</(?:h[1-6]|p|li|pre|figcaption|td|th)>"
-    t = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(tag), F.lit(0))).alias("seq", "raw"))
-    name = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z0-9]+)", 1))
-    labels = F.create_map(*(F.lit(x) for kv in HTML_LABELS.items() for x in kv))
-    text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
-    head = name.rlike("^h[1-6]$")
-    return t.select("doc_id", "seq", F.when(head, "heading").otherwise(labels[name]).alias("label"), F.when(head, F.substring(name, 2, 1).cast("int")).alias("level"), text.alias("text")).where("text <> ''")
+    """Elements of HTML in document order: every text between two block tags belongs to one.
+
+    h1..h6 are headings, text in a list item is a list_item until the next item or the list's end, pre is code, captions
+    are captions, a table from its first tag to the next table end is one table, of lines of cells, all else is text.
+    Tags that are not closed do no harm; tags within a line are dropped.
+    """
+    t = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(html_pieces(F.col(html_col))).alias("seq", "raw"))
+    name = F.lower(F.substring_index("raw", _NAME, 1))
+    text = F.regexp_replace(F.substring_index("raw", _NAME, -1), r"<[^>]*>", " ")
+    t = t.select("doc_id", "seq", name.alias("tag"), F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")).alias("text"))
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    last = lambda *tags: F.coalesce(F.last(F.when(F.col("tag").isin(*tags), F.col("tag")), True).over(w), F.lit(""))
+    t = t.withColumns({"item": last("li", "/li", "ul", "/ul", "ol", "/ol", "menu", "/menu", "dir", "/dir") == "li", "code": last("pre", "/pre") == "pre", "in_table": last("table", "/table") == "table", "no": F.sum(F.col("tag").isin("table", "/table").cast("int")).over(w)})
+    label = F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag").isin("caption", "figcaption"), "caption").when(F.col("code"), "code").when(F.col("item"), "list_item").otherwise("text")
+    level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
+    table = F.col("in_table") & (F.col("tag") != "caption")
+    lines = t.where(~table & (F.col("text") != "")).select("doc_id", "seq", label.alias("label"), level.alias("level"), "text")
+    mark = F.when(F.col("tag") == "tr", "\n").when(F.col("tag").isin("td", "th"), _CELL).otherwise(" ")
+    cells = t.where(table).groupBy("doc_id", "no").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat(mark, "text").alias("x")))).alias("x"), F.min("seq").alias("seq"))
+    whole = F.regexp_replace(F.array_join(F.transform("x", lambda r: r["x"]), ""), rf"[ \n]*\n[ {_CELL}]*", "\n")
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r" +", " "), rf" ?{_CELL} ?", " | "), r"^[\s|]+|\s+$", "")
+    tables = cells.select("doc_id", "seq", F.lit("table").alias("label"), F.lit(None).cast("int").alias("level"), whole.alias("text"))
+    return lines.unionByName(tables.where("text <> ''"))
 
 
 def quality_gate(chunks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.answers import answer_text, sub_questions
 from ..functions.text import strip, word_count
 from ..operators import chunking, language, quality
 from .catalog import register
+from .chunk_queries import chunk_sql, section_sql
 from .search_queries import table
 
 _PAGES = "pages_ as (select doc_id, unnest(range(1, len(l) + 1)) as page, unnest(l) as text from (select doc_id, string_split(text, chr(10)) as l from documents))"
@@ -95,9 +96,20 @@ def table_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("table_id").alias("p_partkey"), "role", "n_rows", "n_cols", (F.size("headers") > 0).alias("has_headers"))
 
 
-_HTML_SQL = r"""raw as (select page_id as doc_id, unnest(range(len(l))) as seq, unnest(l) as r from (select page_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li|pre|figcaption|td|th)(?:\s[^>]*)?>.*?</(?:h[1-6]|p|li|pre|figcaption|td|th)>') as l from pages)),
-el as (select doc_id, seq, lower(regexp_extract(r, '^<([a-zA-Z0-9]+)', 1)) as tag, trim(regexp_replace(regexp_replace(r, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from raw),
-els as (select doc_id, seq, case when tag like 'h_' then 'heading' when tag = 'li' then 'list_item' when tag = 'pre' then 'code' when tag = 'figcaption' then 'caption' else 'text' end as label, case when tag like 'h_' then right(tag, 1)::int end as level, text from el where text <> '')"""
+_UNSEEN = "html"
+for _name in chunking.HTML_UNSEEN.split():
+    _UNSEEN = rf"regexp_replace({_UNSEEN}, '(?is)<{_name}(?:\s[^>]*)?>.*?</{_name}\s*>', ' ', 'g')"
+_LAST = "coalesce(last_value(case when tag in ({}) then tag end ignore nulls) over (partition by doc_id order by seq rows unbounded preceding), '') = {}"
+_HTML_SQL = rf"""ht as (select page_id as doc_id, string_split(regexp_replace(regexp_replace(regexp_replace({_UNSEEN}, '[\x01-\x03]', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(/?(?:{'|'.join(chunking.HTML_BLOCKS.split())}))(?:[\s/][^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) as l from pages),
+pc as (select doc_id, unnest(range(len(l))) as seq, unnest(l) as r from ht),
+tg as (select doc_id, seq, case when contains(r, chr(2)) then lower(split_part(r, chr(2), 1)) else '' end as tag, trim(regexp_replace(regexp_replace(case when contains(r, chr(2)) then split_part(r, chr(2), 2) else r end, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from pc),
+ev as (select *, {_LAST.format("'li', '/li', 'ul', '/ul', 'ol', '/ol', 'menu', '/menu', 'dir', '/dir'", "'li'")} as item, {_LAST.format("'pre', '/pre'", "'pre'")} as code, {_LAST.format("'table', '/table'", "'table'")} as in_table, count_if(tag in ('table', '/table')) over (partition by doc_id order by seq rows unbounded preceding) as no from tg),
+rw as (select doc_id, no, seq, tag, text, count_if(tag = 'tr') over (partition by doc_id, no order by seq) as line, count_if(tag in ('td', 'th')) over (partition by doc_id, no order by seq) as cell from ev where in_table and tag <> 'caption'),
+ce as (select doc_id, no, line, cell, min(seq) as seq, trim(regexp_replace(string_agg(text, ' ' order by seq), ' +', ' ', 'g')) as text, bool_or(tag in ('td', 'th')) as real from rw group by all),
+tl as (select doc_id, no, line, min(seq) as seq, regexp_replace(string_agg(text, ' | ' order by cell) filter (real or text <> ''), '^[\s|]+|\s+$', '', 'g') as text from ce group by all),
+tb as (select doc_id, min(seq) as seq, regexp_replace(string_agg(text, chr(10) order by line) filter (text <> ''), '^[\s|]+|\s+$', '', 'g') as text from tl group by doc_id, no),
+els as (select doc_id, seq, case when regexp_matches(tag, '^h[1-6]$') then 'heading' when tag in ('caption', 'figcaption') then 'caption' when code then 'code' when item then 'list_item' else 'text' end as label, case when regexp_matches(tag, '^h[1-6]$') then right(tag, 1)::int end as level, text from ev where not (in_table and tag <> 'caption') and text <> ''
+ union all select doc_id, seq, 'table', null, text from tb where text <> '')"""
 
 
 @register(f"with {_HTML_SQL} select * from els")
@@ -151,19 +163,21 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chunks(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         source = chunking.html_elements(table(spark, sf_dir, "pages")) if kind in ("default", "list") else chunking.text_elements(_marked(spark, sf_dir))
-        return chunking.chunk(source, kind).select("doc_id", "chunk_index", "chunk_type", "is_leaf", "text", "context_text", "parent_seq")
+        return chunking.chunk(source, kind).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_type", "is_leaf", "text", "context_text", F.col("parent_seq").cast("long").alias("parent_seq"))
 
     query.__name__ = f"chunk_{kind}"
-    return register()(query)
+    source = f"{_HTML_SQL}, el as (select * from els)" if kind in ("default", "list") else f"{_TEXT_SQL}, el as (select * from te)"
+    return register(chunk_sql(kind, source, hashed=False))(query)
 
 
 for _kind in chunking.CHUNKERS:
     _chunks(_kind)
 
 
-@register()
+@register(section_sql(f"{_TEXT_SQL}, el as (select * from te)", hashed=False))
 def chunk_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.section_chunks(chunking.text_elements(_marked(spark, sf_dir)))
+    out = chunking.section_chunks(chunking.text_elements(_marked(spark, sf_dir)))
+    return out.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @register("""with b as (select conv_id as doc_id, turn as seq, case when role = 'user' then 'From: user' || chr(10) || 'Subject: turn ' || turn::varchar || chr(10) || text else text end as text, role = 'user' as head from conversations),

@@ -234,3 +234,11 @@ def test_rate_limit_of_shuffled_files(spark, tmp_path):
         want.add((e, u, h, n[u, h], n[u, h] <= 2))
     got = [tuple(r) for r in catalog.queries()["stream_rate_limit"](spark, str(tmp_path)).collect()]
     assert len(got) == len(rows) and set(got) == want
+
+
+def test_html_elements_lose_no_text(spark):
+    page = "<html><head><title>t</title></head>top<div>a <b>b</b></div>tail<ul><li>one<li>two<p>more</p>rest</ul>after<dl><dt>k<dd>v</dl><pre>x = 1</pre><h2 class='q'>H<br>I</h2><table><caption>Cap</caption><tr><th>N<th>V<tr><td><p>p</p>q<td>2</table>end<script>no</script><!-- no --><blockquote>said"
+    rows = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "plain")], "page_id int, html string")
+    got = [(r.doc_id, r.label, r.level, r.text) for r in chunking.html_elements(rows).orderBy("doc_id", "seq").collect()]
+    want = [("text", None, "top"), ("text", None, "a b"), ("text", None, "tail"), ("list_item", None, "one"), ("list_item", None, "two"), ("list_item", None, "more"), ("list_item", None, "rest"), ("text", None, "after"), ("text", None, "k"), ("text", None, "v"), ("code", None, "x = 1"), ("heading", 2, "H"), ("text", None, "I"), ("table", None, "N | V\np q | 2"), ("caption", None, "Cap"), ("text", None, "end"), ("text", None, "said")]
+    assert got == [(1, *x) for x in want] + [(4, "text", None, "plain")]
