@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from ..sources.scratch import stored
 
 
 def latest_shares(log: DataFrame) -> DataFrame:
@@ -68,10 +69,41 @@ def replaced(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return existing.join(batch.select(key).distinct(), key, "left_anti").select(existing.columns).unionByName(batch.distinct())
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, per: list[str] | None = None) -> DataFrame:
+    """Adds ``name``, numbers from 0 in the order of ``order``, in each group of ``per`` where it is given.
+
+    Rows are dealt to ranges of the order and numbered in each; a few running counts of ranges and groups go to
+    all tasks, and no group passes through one task.
+    """
+    keys = per or []
+    t = stored(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    n = t.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = n.select(*keys, "__part", before.alias("__before"))  # a row for each range, and one for each group that begins in it
+    out = t.join(starts, [*keys, "__part"])
+    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)) - 1
+    return out.withColumn(name, F.col("__before") + inside).select(*rows.columns, name)
+
+
 def next_codes(codes: DataFrame, new: DataFrame, code: str, order: str) -> DataFrame:
     """Numbers for new rows, going on from the largest numeric code; codes that are no numbers do not count."""
     top = codes.agg(F.coalesce(F.max(F.expr(f"try_cast({code} as bigint)")), F.lit(0)).alias("top"))
-    return new.crossJoin(F.broadcast(top)).withColumn("code", F.col("top") + F.row_number().over(Window.orderBy(order))).drop("top")
+    return numbered(new, [order], "code").crossJoin(F.broadcast(top)).withColumn("code", F.col("top") + F.col("code") + 1).drop("top")
+
+
+def visible_types(users: DataFrame, types: DataFrame) -> DataFrame:
+    """(user_id, doc_type): the active types for each user; all of them where ``allowed`` is null, else those in it.
+
+    ``types`` (doc_type, active) is a dimension; a user of no visible type has no row.
+    """
+    active = types.where("active").agg(F.sort_array(F.collect_set("doc_type")).alias("__all"))
+    own = F.when(F.col("allowed").isNull(), F.col("__all")).otherwise(F.array_intersect("__all", "allowed"))
+    return users.crossJoin(F.broadcast(active)).select("user_id", F.explode(own).alias("doc_type"))
+
+
+def roles_with_permissions(roles: DataFrame, grants: DataFrame) -> DataFrame:
+    """Every role with its permissions, roles without any with an empty list."""
+    return roles.join(permissions(grants), "role", "left").withColumn("permissions", F.coalesce("permissions", F.array().cast("array<string>")))
 
 
 def permissions(grants: DataFrame) -> DataFrame:

@@ -34,6 +34,43 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def sub_question_rows(queries: DataFrame) -> DataFrame:
+    """(query_id, pass_no, question): each part of a question in its order, from 1; without parts the question itself."""
+    parts = F.when(F.size(F.coalesce("sub_questions", F.array().cast("array<string>"))) > 0, F.col("sub_questions")).otherwise(F.array("question"))
+    return queries.select("query_id", F.posexplode(parts).alias("p", "question")).select("query_id", (F.col("p") + 1).alias("pass_no"), "question")
+
+
+def translated_rows(queries: DataFrame, translations: DataFrame) -> DataFrame:
+    """(query_id, lang, pass_no, question): translations (query_id, lang, text) that differ from the first part, as passes behind
+    those of the parts, in the order of the language."""
+    parts = sub_question_rows(queries)
+    ends = parts.groupBy("query_id").agg(F.max("pass_no").alias("last"), F.min_by("question", "pass_no").alias("first"))
+    t = translations.join(ends, "query_id").where(F.col("text") != F.col("first"))
+    no = F.col("last") + F.row_number().over(Window.partitionBy("query_id").orderBy("lang"))
+    return t.select("query_id", "lang", no.alias("pass_no"), F.col("text").alias("question"))
+
+
+def passes(queries: DataFrame, translations: DataFrame, search: Callable[[DataFrame, int], DataFrame], k: int = POOL) -> DataFrame:
+    """(query_id, id, pass_no, rank, score) of all passes: ``k`` hits for each part, half of it for each translation.
+
+    ``search`` takes (list_id, lang, question) for many lists at once and k, and gives (list_id, id, rank, score); lang
+    is null where all languages are asked.
+    """
+    own = sub_question_rows(queries).select("query_id", "pass_no", F.lit(None).cast("string").alias("lang"), "question")
+    rows = own.withColumn("k", F.lit(k)).unionByName(translated_rows(queries, translations).withColumn("k", F.lit(k // 2)))
+    rows = rows.withColumn("list_id", F.concat_ws("|", F.col("query_id").cast("string"), F.col("pass_no").cast("string")))
+    hits = search(rows.select("list_id", "lang", "question"), k)
+    return hits.join(rows.select("list_id", "query_id", "pass_no", "k"), "list_id").where("rank <= k").select("query_id", "id", "pass_no", "rank", "score")
+
+
+def history_block(turns: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """(conv_id, history): ``label: text`` lines of the turns in order; roles without a label are left out."""
+    names = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
+    rows = turns.withColumn("label", names[F.col("role")]).where("label is not null")
+    got = F.array_sort(F.collect_list(F.struct("turn", F.concat("label", F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(got, lambda x: x["line"]), "\n").alias("history"))
+
+
 def first_pass_wins(hits: DataFrame) -> DataFrame:
     """A chunk found in several passes keeps the hit of the first (query_id, id, pass_no, rank, score)."""
     w = Window.partitionBy("query_id", "id").orderBy("pass_no", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,11 @@ def latest(log: DataFrame, key: str = "doc_id", version: str = "version_ts") ->
     return log.withColumn("__v", F.max(version).over(w)).where(F.col(version) == F.col("__v")).drop("__v")
 
 
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The current rows of a store; files of old ones are not read."""
+    return spark.read.parquet(path).where(F.col("is_current").cast("boolean"))
+
+
 def write_current(df: DataFrame, path: str) -> None:
     """Write the store, partitioned so that current rows of a language are read alone; partitions in ``df`` are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("is_current", "lang").parquet(path)

@@ -24,7 +24,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import chunk_queries, governance_queries, ingest_queries, search_queries, source_queries  # noqa: F401
+    from . import chunk_queries, governance_queries, ingest_queries, record_queries, search_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -66,10 +66,10 @@ def _sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 def _dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    return dense.dense_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
+    return dense.dense_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
 
 
-_DENSE_SQL = "dn as (select q.vec_id as query_id, e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id < 20), dr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from dn)"
+_DENSE_SQL = "dn as (select q.vec_id as query_id, e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0), dr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from dn)"
 
 
 @register(f"select doc_id, len(t)::bigint as n_tokens, len(list_distinct(t))::bigint as n_terms from (select doc_id, list_filter(list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x)), lambda x: x not in {_list(STOP['en'])} and length(x) >= 2) as t from documents where lang <> 'de')")
@@ -113,10 +113,27 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.vocabulary_ids(_counts(spark, sf_dir))
 
 
-@register()
+def _embed_sql(text: str, source: str, key: str) -> str:
+    return f"""with w as (select {key} as id, unnest(list_transform(regexp_extract_all({text}, '{TOKEN}'), lambda x: lower(x))) as w from {source}),
+h as (select id, ('0x' || substr(md5(w), 1, 12))::bigint as h from w), b as (select id, h % 64 as b, sum(case when (h >> 40) % 2 = 0 then 1.0 else -1.0 end)::double as x from h group by all),
+n as (select id, sqrt(sum(x * x)) as norm from b group by id)
+select d.{key}, 64 as dim, case when n.id is null or norm = 0 then 0.0::double else 1.0::double end as norm, coalesce(round(max(abs(x / nullif(norm, 0))), 6), 0.0) as largest, coalesce(round(sum(x / nullif(norm, 0) * (b + 1)), 4), 0.0) as checksum from {source} d left join n on n.id = d.{key} left join b on b.id = d.{key} group by d.{key}, n.id, norm"""
+
+
+def _embedded(e: DataFrame, key: str) -> DataFrame:
+    size = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6)
+    check = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return e.select(key, F.size("embedding").alias("dim"), size.alias("norm"), F.round(F.array_max(F.transform("embedding", F.abs)), 6).alias("largest"), F.round(check, 4).alias("checksum"))
+
+
+@register(_embed_sql(f"'{dense.QUERY_PREFIX}' || text", "benchmark", "item_id"))
+def query_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedded(dense.hash_embeddings(table(spark, sf_dir, "benchmark"), prefix=dense.QUERY_PREFIX, id_col="item_id"), "item_id")
+
+
+@register(_embed_sql("text", "documents", "doc_id"))
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = dense.hash_embeddings(table(spark, sf_dir, "documents"))
-    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return _embedded(dense.hash_embeddings(table(spark, sf_dir, "documents")), "doc_id")
 
 
 @register(f"with {_DENSE_SQL} select query_id, id as vec_id, rank, round(score, 6) as score from dr where rank <= 10")
@@ -131,13 +148,13 @@ def _acl(q: str):
     return F.when(F.col(q) % 4 == 0, None).when(F.col(q) % 4 == 1, F.array().cast("array<int>")).when(F.col(q) % 4 == 2, F.array(F.lit(1), F.lit(3), F.lit(5))).otherwise(F.array(F.lit(2)))
 
 
-@register(f"""with p as (select q.vec_id as query_id, e.vec_id as id, e.label, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id < 20),
+@register(f"""with p as (select q.vec_id as query_id, e.vec_id as id, e.label, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0),
 f as (select * from p where {_ACL_SQL} is null or list_contains({_ACL_SQL}, label)),
 r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) select query_id, id as vec_id, label, rank from r where rank <= 10""")
 def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
     v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("acl", _acl("query_id"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("acl", _acl("query_id"))
     hits = dense.dense_top_k(v, q, 10, retrieval.allowed("acl", "label"))
     return hits.join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("query_id", F.col("id").alias("vec_id"), "label", "rank")
 
@@ -152,12 +169,12 @@ def acl_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("c_custkey", F.array_join(F.transform(retrieval.effective_filter("choice", "permitted"), lambda x: x.cast("string")), ",").alias("effective"))
 
 
-_HYBRID_SQL = _POST_SQL + ", " + _DENSE_SQL + """, lists as (select query_id, id, rank from sp where rank <= 50 and query_id < 20 union all select query_id, id, rank from dr where rank <= 50),
+_HYBRID_SQL = _POST_SQL + ", " + _DENSE_SQL + """, lists as (select query_id, id, rank from sp where rank <= 50 union all select query_id, id, rank from dr where rank <= 50),
 fu as (select query_id, id, sum(1.0::double / (60 + rank)) as score from lists group by all), fr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from fu)"""
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse_hits(spark, sf_dir, 50).where("query_id < 20").select("query_id", "id", "rank").union(_dense_hits(spark, sf_dir, 50).select("query_id", "id", "rank"))
+    return _sparse_hits(spark, sf_dir, 50).select("query_id", "id", "rank").union(_dense_hits(spark, sf_dir, 50).select("query_id", "id", "rank"))
 
 
 @register(f"with {_HYBRID_SQL} select query_id, id, rank, round(score, 6) as score from fr where rank <= 50")
@@ -171,12 +188,12 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source"), "id").select("query_id", "id", "rank", F.round("score", 6).alias("score"), "lang", "source")
 
 
-_PASSES_SQL = _POST_SQL + ", " + _DENSE_SQL + ", hits as (select query_id, id, 1 as pass_no, rank, score from dr where rank <= 50 union all select query_id, id, 2, rank, score from sp where rank <= 25 and query_id < 20), firsts as (select *, row_number() over (partition by query_id, id order by pass_no, rank) as rn from hits)"
+_PASSES_SQL = _POST_SQL + ", " + _DENSE_SQL + ", hits as (select query_id, id, 1 as pass_no, rank, score from dr where rank <= 50 union all select query_id, id, 2, rank, score from sp where rank <= 25), firsts as (select *, row_number() over (partition by query_id, id order by pass_no, rank) as rn from hits)"
 
 
 def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _dense_hits(spark, sf_dir, 50).select("query_id", "id", F.lit(1).alias("pass_no"), "rank", "score")
-    return a.union(_sparse_hits(spark, sf_dir, 25).where("query_id < 20").select("query_id", "id", F.lit(2).alias("pass_no"), "rank", "score"))
+    return a.union(_sparse_hits(spark, sf_dir, 25).select("query_id", "id", F.lit(2).alias("pass_no"), "rank", "score"))
 
 
 @register(f"with {_PASSES_SQL} select query_id, id, pass_no, rank, round(score, 6) as score from firsts where rn = 1")

@@ -40,13 +40,14 @@ def svg_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     clean = F.regexp_replace("text", "[&<]", "")
     svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><title>Item '), F.col("item_id").cast("string"), F.lit('</title><rect/><text x="1">'), clean, F.lit("</text></svg>"))
-    return files.read_svg(_file(b, F.concat(F.lit("d"), F.col("item_id").cast("string"), F.lit(".svg")), svg))
+    return files.read_svg(_file(b, F.concat(F.lit("d"), F.col("item_id").cast("string"), F.lit(".svg")), svg)).select("path", "text")
 
 
-@register("select doc_id, case when doc_id % 2 = 0 then 'utf-8' when regexp_matches(text, '[^\\x00-\\x7F]') then 'latin-1' else 'utf-8' end as encoding, length(text) as n_chars from documents where not regexp_matches(text, '[^\\x00-\\xFF]')")
+@register("select doc_id, case when doc_id % 2 = 0 or regexp_matches(text, '[^\\x00-\\xFF]') then 'utf-8' when regexp_matches(text, '[^\\x00-\\x7F]') then 'latin-1' else 'utf-8' end as encoding, length(text) as n_chars from documents")
 def encoding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\xFF]"))
-    f = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1")).alias("content"))
+    d = table(spark, sf_dir, "documents")
+    wide = F.col("text").rlike(r"[^\x00-\xFF]")  # no Latin-1 text
+    f = d.select("doc_id", F.when((F.col("doc_id") % 2 == 0) | wide, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1")).alias("content"))
     text, name = files.decoded("content")
     return f.select("doc_id", name.alias("encoding"), F.length(text).cast("long").alias("n_chars"))
 

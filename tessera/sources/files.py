@@ -11,6 +11,7 @@ import email
 import email.policy
 import io
 import re
+import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ MAX_BYTES = 100 * 1024 * 1024
 #: Formats and MIME types by extension.
 FORMATS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "odt": "odt", "ods": "ods", "csv": "csv", "txt": "text", "md": "markdown", "html": "html", "eml": "eml", "mbox": "mbox", "svg": "svg"}
 MIME = {"text": "text/plain", "markdown": "text/markdown", "html": "text/html", "csv": "text/csv", "eml": "message/rfc822", "mbox": "application/mbox", "svg": "image/svg+xml"}
-SVG_TEXT = "//*[local-name()='text']/text()|//*[local-name()='tspan']/text()|//*[local-name()='title']/text()|//*[local-name()='desc']/text()"
+SVG_TEXT = ("text", "tspan", "title", "desc")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -59,32 +60,55 @@ def read_text(files: DataFrame) -> DataFrame:
 
 
 def read_delimited(files: DataFrame) -> DataFrame:
-    """(path, text, encoding, rows, cols, data): ragged rows and empty cells stay; cells join with `` | ``."""
+    """(path, text, encoding, rows, cols, data, warnings): ragged rows and empty cells of any length stay; cells join with `` | ``.
+    A file that cannot be parsed keeps its row, without data and with a warning; null content counts as such."""
     text, name = decoded("content")
 
     def parse(batches):
+        csv.field_size_limit(1 << 31)
         for b in batches:
             out = []
             for path, t, enc in zip(b["path"], b["text"], b["encoding"]):
-                data = [r for r in csv.reader(io.StringIO(t, newline=""))]
-                out.append((path, "\n".join(" | ".join(r) for r in data), enc, len(data), max(map(len, data), default=0), data))
-            yield pd.DataFrame(out, columns=["path", "text", "encoding", "rows", "cols", "data"])
+                try:
+                    if t is None:
+                        raise TypeError("no content")
+                    data, faults = list(csv.reader(io.StringIO(t, newline=""))), []
+                except (csv.Error, TypeError) as e:
+                    data, faults = [], [f"{type(e).__name__}: {e}"]
+                out.append((path, "\n".join(" | ".join(r) for r in data), enc, len(data), max(map(len, data), default=0), data, faults))
+            yield pd.DataFrame(out, columns=["path", "text", "encoding", "rows", "cols", "data", "warnings"])
 
-    return files.select("path", text.alias("text"), name.alias("encoding")).mapInPandas(parse, "path string, text string, encoding string, rows int, cols int, data array<array<string>>")
+    return files.select("path", text.alias("text"), name.alias("encoding")).mapInPandas(parse, "path string, text string, encoding string, rows int, cols int, data array<array<string>>, warnings array<string>")
 
 
-def _message(raw: bytes) -> dict:
-    m = email.message_from_bytes(raw, policy=email.policy.default)
-    body, attached = [], 0
+def _leaves(m: email.message.EmailMessage) -> list[tuple[str, str]]:
+    """Type and text of each part that is text and no attachment; an unknown charset is read as UTF-8."""
+    out = []
     for part in m.walk():
-        if part.get_content_disposition() == "attachment":
-            attached += 1
-        elif part.get_content_type() == "text/plain":
-            body.append(part.get_payload(decode=True).decode(part.get_content_charset() or "utf-8", "replace"))
-    return {"from": str(m["from"] or ""), "to": str(m["to"] or ""), "subject": str(m["subject"] or ""), "date": str(m["date"] or ""), "body": "\n".join(body), "attachments": attached}
+        if part.get_content_maintype() == "text" and part.get_content_disposition() != "attachment":
+            raw, charset = part.get_payload(decode=True) or b"", part.get_content_charset() or "utf-8"
+            try:
+                out.append((part.get_content_type(), raw.decode(charset, "replace")))
+            except LookupError:
+                out.append((part.get_content_type(), raw.decode("utf-8", "replace")))
+    return out
 
 
-_MAIL = "path string, message int, `from` string, `to` string, subject string, date string, body string, attachments int"
+def _message(raw: bytes | None) -> dict:
+    """Headers and plain text of a message; what cannot be parsed keeps empty fields and a warning."""
+    out = {"from": "", "to": "", "subject": "", "date": "", "body": "", "attachments": 0, "warnings": []}
+    try:
+        m = email.message_from_bytes(bytes(raw), policy=email.policy.default)
+        out |= {k: str(m[k] or "") for k in ("from", "to", "subject", "date")}
+        out["body"] = "\n".join(text for kind, text in _leaves(m) if kind == "text/plain")
+        out["attachments"] = sum(p.get_content_disposition() == "attachment" for p in m.walk())
+    except Exception as e:  # the parser of headers raises errors of many kinds
+        out["warnings"] = [f"{type(e).__name__}: {e}"]
+    return out
+
+
+_MAIL = "path string, message int, `from` string, `to` string, subject string, date string, body string, attachments int, warnings array<string>"
+_MAIL_COLUMNS = ["path", "message", "from", "to", "subject", "date", "body", "attachments", "warnings"]
 
 
 def read_mail(files: DataFrame) -> DataFrame:
@@ -92,11 +116,28 @@ def read_mail(files: DataFrame) -> DataFrame:
 
     def parse(batches):
         for b in batches:
-            yield pd.DataFrame([{"path": p, "message": 0} | _message(bytes(c)) for p, c in zip(b["path"], b["content"])], columns=["path", "message", "from", "to", "subject", "date", "body", "attachments"])
+            yield pd.DataFrame([{"path": p, "message": 0} | _message(c) for p, c in zip(b["path"], b["content"])], columns=_MAIL_COLUMNS)
 
     return files.select("path", "content").mapInPandas(parse, _MAIL)
 
 
+def mail_leaves(files: DataFrame) -> DataFrame:
+    """(path, part, content_type, text): a row for each text part of a message that holds more than white space."""
+
+    def parse(batches):
+        for b in batches:
+            out = []
+            for path, raw in zip(b["path"], b["content"]):
+                try:
+                    got = _leaves(email.message_from_bytes(bytes(raw), policy=email.policy.default))
+                except Exception:  # as in _message; read_mail has the warning
+                    got = []
+                out += [(path, i, *x) for i, x in enumerate(x for x in got if x[1].strip())]
+            yield pd.DataFrame(out, columns=["path", "part", "content_type", "text"])
+
+    return files.select("path", "content").mapInPandas(parse, "path string, part int, content_type string, text string")
+
+
 def rendered_mail(mail: DataFrame) -> DataFrame:
     head = [F.concat(F.lit(f"{k}: "), F.col(c)) for k, c in (("From", "from"), ("To", "to"), ("Subject", "subject"), ("Date", "date"))]
     return mail.select("path", "message", F.concat(F.concat_ws("\n", *head), F.lit("\n\n"), F.col("body")).alias("text"))
@@ -110,7 +151,7 @@ def read_mailbox(files: DataFrame) -> DataFrame:
 
     def parse(batches):
         for b in batches:
-            yield pd.DataFrame([{"path": p, "message": m} | _message(QUOTED.sub(r"\1", r.split("\n", 1)[-1]).encode()) for p, m, r in zip(b["path"], b["message"], b["raw"])], columns=["path", "message", "from", "to", "subject", "date", "body", "attachments"])
+            yield pd.DataFrame([{"path": p, "message": m} | _message(QUOTED.sub(r"\1", r.split("\n", 1)[-1]).encode()) for p, m, r in zip(b["path"], b["message"], b["raw"])], columns=_MAIL_COLUMNS)
 
     return each.mapInPandas(parse, _MAIL)
 
@@ -121,9 +162,22 @@ def mailbox_text(messages: DataFrame) -> DataFrame:
 
 
 def read_svg(files: DataFrame) -> DataFrame:
-    """Text of drawings in document order."""
+    """(path, text, warnings): text of drawings in document order; what is no XML has none and a warning."""
     text, _ = decoded("content")
-    return files.select("path", F.array_join(F.filter(F.xpath(text, F.lit(SVG_TEXT)), lambda x: strip(x) != ""), "\n").alias("text"))
+
+    def parse(batches):
+        for b in batches:
+            out = []
+            for path, t in zip(b["path"], b["text"]):
+                try:
+                    root, faults = ET.fromstring(t or ""), []
+                except (ET.ParseError, ValueError) as e:
+                    root, faults = ET.Element("none"), [f"{type(e).__name__}: {e}"]
+                own = [x for e in root.iter() if e.tag.rpartition("}")[2] in SVG_TEXT for x in (e.text, *(c.tail for c in e))]
+                out.append((path, "\n".join(x for x in own if x and x.strip()), faults))
+            yield pd.DataFrame(out, columns=["path", "text", "warnings"])
+
+    return files.select("path", text.alias("text")).mapInPandas(parse, "path string, text string, warnings array<string>")
 
 
 def table_text(data: str, title: Column | None = None) -> Column:
