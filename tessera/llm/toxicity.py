@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COUNT_ROWS, FIT_ROWS, EPOCHS, BITS, CACHE, BLOCK = 2500, 250, 50, 20, 400_000, 1_000_000
+COUNT_ROWS, FIT_ROWS, EPOCHS, BITS, CACHE, BLOCK = 2500, 250, 50, 20, 300_000, 250_000
 WORD = re.compile(r"\w+")
 
 
@@ -195,6 +195,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     return learn(rows["text"].tolist(), rows["y"].astype(int).tolist())
 
 
+class Evidence(dict):
+    """Evidence of words; forgets all of it when it is full."""
+
+    def __init__(self, model: dict):
+        self.theta, self.bias = model["theta"], model["bias"]
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = e = float(self.theta[hashed(word)].sum()) + self.bias
+        return e
+
+
+def document_scores(p: np.ndarray, at: np.ndarray, model: dict) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(summaries(p, at) @ model["doc"], -500, 500)))
+
+
+def below(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose text scores less than ``threshold``, with all columns as they are. Each row is judged by its own
+    text in one map; null and empty texts score as texts without words."""
+    kept, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def work(batches):
+        m = kept.value
+        get = Evidence(m).__getitem__
+        for b in batches:
+            scores: list[float] = []
+            words, n = [], 0
+            for k, t in enumerate(b.column(place)):
+                words.append(WORD.findall(t.as_py() or ""))
+                n += len(words[-1])
+                if n >= BLOCK or k + 1 == b.num_rows:
+                    scores += document_scores(*scored(words, get, m), m).tolist()
+                    words, n = [], 0
+            yield b.filter(pa.array(np.array(scores) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def tag(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, score, n_words, spans): spans are maximal runs of words with marginal >= threshold, as code points
     [start, end) of the text with the run's highest marginal. Null texts count as empty and score as a text without words."""
@@ -203,20 +242,11 @@ def tag(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
     def work(batches):
         m = kept.value
-        theta, bias = m["theta"], m["bias"]
-
-        class Evidence(dict):
-            def __missing__(self, word):
-                if len(self) >= CACHE:
-                    self.clear()
-                self[word] = e = float(theta[hashed(word)].sum()) + bias
-                return e
-
-        get = Evidence().__getitem__
+        get = Evidence(m).__getitem__
 
         def block(texts: list[str], words: list[list[str]]) -> tuple[list, list, list]:
             p, at = scored(words, get, m)
-            score = 1 / (1 + np.exp(-np.clip(summaries(p, at) @ m["doc"], -500, 500)))
+            score = document_scores(p, at, m)
             spans = []
             hot = np.concatenate([[0], np.cumsum(p >= threshold)])
             for i, text in enumerate(texts):

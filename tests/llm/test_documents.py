@@ -207,7 +207,7 @@ def test_pipeline_rows_without_id_and_repeated_rows(spark, sf_dir, monkeypatch):
     none = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
     for score in (None, F.when(F.crc32("text") % 2 == 0, 0.9).otherwise(0.1)):
         if score is not None:
-            monkeypatch.setattr(cp.toxicity, "tag", lambda d, model, id_col="doc_id", score=score: d.select(id_col, score.alias("score")))
+            monkeypatch.setattr(cp.toxicity, "below", lambda d, model, threshold, score=score: d.where(score < threshold))
         left = cp.toxicity_stage(spark, docs.unionByName(none), sf_dir).select("doc_id", "text").collect()
         known = sorted(r.text for r in left if r.doc_id is not None)
         assert known and sorted(r.text for r in left if r.doc_id is None) == known
