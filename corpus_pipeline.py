@@ -15,8 +15,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     pass through one map and nothing is shuffled; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.tag(rows, model, "row").where("score < 0.7").select("row.*")
+    return toxicity.below(docs, model, threshold=0.7)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The first and the last stage are beyond SQL; tests hold the whole against brute force.
+#: The first and the last stage are beyond SQL; tests/llm/test_brute.py holds the rows of run() against plain loops.
 ORACLE_SQL = None
