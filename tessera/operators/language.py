@@ -19,9 +19,18 @@ def grams(text: Column, chars: int | None = None) -> Column:
     return F.when(F.length(t) >= 3, F.filter(three, lambda x: x.isNotNull())).otherwise(F.array(t))
 
 
+def gram_rows(docs: DataFrame, *keep: str, chars: int | None = None) -> DataFrame:
+    """A row for each of ``grams``: rows and not arrays, as compiled code joins characters without a copy of the rest."""
+    t = F.lower(F.substring("text", 1, chars) if chars else F.col("text"))
+    c = docs.where("text is not null").select(*keep, t.alias("__t"), F.split(t, "").alias("__c"))
+    c = c.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("__c") - 3, F.lit(0)))).alias("__i"))
+    three = F.concat(*(F.get("__c", F.col("__i") + j) for j in range(3)))
+    return c.select(*keep, F.coalesce(three, "__t").alias("gram"))
+
+
 def profiles(labelled: DataFrame, chars: int | None = None, most: int | None = None) -> DataFrame:
     """(lang, gram, logp) with add-one smoothing, and the same of unseen grams under an empty gram. All grams of a language, or its ``most`` frequent ones."""
-    c = labelled.select("lang", F.explode(grams(F.col("text"), chars)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
+    c = gram_rows(labelled, "lang", chars=chars).groupBy("lang", "gram").agg(F.count("*").alias("c"))
     n = c.groupBy("lang").agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     w = Window.partitionBy("lang").orderBy(F.col("c").desc(), "gram")
     top = (c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most) if most else c).join(F.broadcast(n), "lang")
@@ -34,7 +43,7 @@ def language_scores(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id",
 
     A profile of ``most`` grams a language goes to all executors; one of all grams is left to Spark's size estimate.
     """
-    c = docs.select(F.col(id_col).alias("id"), F.explode(grams(F.col("text"), chars)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
+    c = gram_rows(docs.select(F.col(id_col).alias("id"), "text"), "id", chars=chars).groupBy("id", "gram").agg(F.count("*").alias("c"))
     base = F.broadcast(profile.where("gram = ''").select("lang", F.col("logp").alias("rest")))
     seen = profile.where("gram <> ''").join(base, "lang").select("lang", "gram", (F.col("logp") - F.col("rest")).alias("gain"))
     seen = F.broadcast(seen) if most else seen

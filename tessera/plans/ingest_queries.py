@@ -223,21 +223,21 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.enriched(t, d).select("doc_id", "page", F.sha2("context_text", 256).alias("context_hash"))
 
 
-_GRAMS = "lower(left(text, 400))"
-_LANG_SQL = f"""gr as (select doc_id, lang, unnest(list_transform(range(1, greatest(length({_GRAMS}) - 2, 1) + 1), lambda i: substr({_GRAMS}, i, 3))) as gram from documents),
-c as (select lang, gram, count(*) as c from gr where doc_id % 2 = 0 group by all), n as (select lang, sum(c) as n, count(*) as v from c group by lang),
-top as (select *, row_number() over (partition by lang order by c desc, gram) as rn from c), pr as (select top.lang, gram, ln((c + 1) / (n + v + 1)) as logp, ln(1 / (n + v + 1)) as rest from top join n using (lang) where rn <= 2000),
-dc as (select doc_id as id, gram, count(*) as c from gr where doc_id % 2 = 1 group by all), tot as (select id, sum(c) as t from dc group by id),
-ga as (select id, lang, sum(c * (logp - rest)) as gain from dc join pr using (gram) group by all),
+_LANG_SQL = """ch as (select doc_id, lang, lower(text) as t, string_split(lower(text), '') as l from documents where text is not null),
+gr as (select doc_id, lang, unnest(case when len(l) >= 3 then list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2]) else [t] end) as gram from ch),
+dc as (select doc_id as id, lang as own, gram, count(*) as c from gr group by all), c as (select own as lang, gram, sum(c) as c from dc where own is not null group by all), n as (select lang, sum(c) as n, count(*) as v from c group by lang),
+pr as (select c.lang, gram, ln((c + 1) / (n + v + 1)) as logp, ln(1 / (n + v + 1)) as rest from c join n using (lang)),
+tot as (select id, sum(c) as t from dc group by id),
+ga as (select id, pr.lang, sum(c * (logp - rest)) as gain from dc join pr using (gram) where gram <> '' group by all),
 sc as (select tot.id, n.lang, t * ln(1 / (n + v + 1)) + coalesce(gain, 0) as score from tot cross join n left join ga on ga.id = tot.id and ga.lang = n.lang),
 pb as (select *, exp(score - max(score) over (partition by id)) as e, row_number() over (partition by id order by round(score, 6) desc, lang) as rn from sc),
 dl as (select id, lang, e / sum(e) over (partition by id) as prob, rn from pb), det as (select id, lang, prob from dl where rn = 1)"""
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of all labelled documents, and every document scored by them."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    limits = {"chars": 400, "most": 2000}  # those of the SQL
-    return language.detected(language.language_scores(d.where("doc_id % 2 = 1"), language.profiles(d.where("doc_id % 2 = 0"), **limits), **limits))
+    return language.detected(language.language_scores(d, language.profiles(d.where("lang is not null"))))
 
 
 @register(f"with {_LANG_SQL} select id as doc_id, case when lang in ('de', 'en', 'fr', 'es') then lang else 'de' end as lang from det")

@@ -268,10 +268,10 @@ def answer_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("cited", F.lit(0)).alias("cited"), "answer")
 
 
-@register(f"with {_RERANK_SQL} select query_id, string_agg('[' || rank || '] ' || left(text, 80), chr(10) || chr(10) order by rank) as sources from top group by query_id")
+@register(f"with {_RERANK_SQL} select query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) order by rank) as sources from top group by query_id")
 def source_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, hits = _claims(spark, sf_dir)
-    return retrieval.source_block(hits.withColumn("context", F.substring("text", 1, 80)))
+    return retrieval.source_block(hits.withColumn("context", F.col("text")))
 
 
 @register("select conv_id, turn, length(text) - length(replace(text, '?', '')) > 1 or contains(lower(text), ' und ') or contains(lower(text), ' and ') or contains(lower(text), ' sowie ') or contains(lower(text), ' compare ') or contains(lower(text), ' vergleich') or contains(lower(text), ' both ') as multi from conversations where role = 'user'")
