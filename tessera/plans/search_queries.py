@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stems import stem_vocab
 from ..functions.text import LINKERS, TOKEN, compound_parts, tokens
 from ..operators import dense, retrieval, sparse
 from ..sources.scratch import stored
@@ -108,6 +109,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse_hits(spark, sf_dir, 5).select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
+@register()
+def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms with stems and Spark's full lists of stop words, and what they weigh; held against a plain version in the tests."""
+    stop = {"de": sparse.default_stop_words(spark, "german"), "en": sparse.default_stop_words(spark, "english")}
+    counts = stored(sparse.term_counts(table(spark, sf_dir, "documents"), stop, stem_vocab), "stems")
+    idf = sparse.inverse_frequencies(counts, _sizes(spark, sf_dir))
+    return idf.select("lang", "term", "df", F.round("idf", 6).alias("idf"))
+
+
 @register(f"with {_COUNTS_SQL} select lang, term, row_number() over (partition by lang order by term collate C) - 1 as term_id from (select distinct lang, term from counts)".replace(" collate C", ""))
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.vocabulary_ids(_counts(spark, sf_dir))

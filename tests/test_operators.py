@@ -6,8 +6,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tessera.functions import stems
 from tessera.functions.text import compound_parts, squeezed
-from tessera.operators import chunking, dense, governance, language, retrieval, windows
+from tessera.operators import chunking, dense, governance, language, retrieval, sparse, windows
 from tessera.plans import catalog
 from tessera.sources import files
 
@@ -242,3 +243,50 @@ def test_html_elements_lose_no_text(spark):
     got = [(r.doc_id, r.label, r.level, r.text) for r in chunking.html_elements(rows).orderBy("doc_id", "seq").collect()]
     want = [("text", None, "top"), ("text", None, "a b"), ("text", None, "tail"), ("list_item", None, "one"), ("list_item", None, "two"), ("list_item", None, "more"), ("list_item", None, "rest"), ("text", None, "after"), ("text", None, "k"), ("text", None, "v"), ("code", None, "x = 1"), ("heading", 2, "H"), ("text", None, "I"), ("table", None, "N | V\np q | 2"), ("caption", None, "Cap"), ("text", None, "end"), ("text", None, "said")]
     assert got == [(1, *x) for x in want] + [(4, "text", None, "plain")]
+
+
+ENGLISH = "consigned consign consistently consist knocking knock kindly kind generously generous communication communic running run happiness happi hopping hop hoped hope relational relat ties tie cries cri gas gas kiwis kiwi cry cri say say conspicuous conspicu traditional tradit agreed agre possibly possibl analogies analog bed bed dying die news news".split()
+GERMAN = "häuser haus katzen katz kategorischen kategor kaufleute kaufleut käufer kauf aufgeregten aufgeregt kümmern kumm kürzlich kurzlich auffällig auffall arbeitslosigkeit arbeitslos geheimnisse geheimnis schönheit schonheit bauen bau königin konigin straße strass".split()
+
+
+def test_stems(spark):
+    assert [stems.english(w) for w in ENGLISH[::2]] == ENGLISH[1::2]
+    assert [stems.german(w) for w in GERMAN[::2]] == GERMAN[1::2]
+    rows = spark.createDataFrame([("de", "katzen"), ("en", "ties"), ("en", None)], "lang string, word string")
+    assert {(r.lang, r.stem) for r in stems.stem_vocab(rows).collect()} == {("de", "katz"), ("en", "tie"), ("en", None)}
+
+
+def test_stemmed_counts(spark):
+    """Against a loop over words in the order of the reference: stop words, parts, stems, stop words and short stems."""
+    stop = {"de": ["der", "und", "haus"], "en": ["the"]}
+    docs = [(1, "de", "Der Hausbau und die Häuser"), (2, "en", "The running ties a tie"), (3, "fr", "le")]
+    got = {(r.id, r.term): r.tf for r in sparse.term_counts(spark.createDataFrame(docs, "doc_id int, lang string, text string"), stop, stems.stem_vocab).collect()}
+    parts = {r.w: r.p for r in spark.createDataFrame([(w,) for w in ("hausbau", "die", "häuser")], "w string").select("w", compound_parts(F.col("w")).alias("p")).collect()}
+    want = {}
+    for d, lang, text in docs[:2]:
+        for w in text.lower().split():
+            if w in stop[lang] or (lang == "en" and len(w) < 2):
+                continue
+            for x in map(stems.german, parts[w]) if lang == "de" else [stems.english(w)]:
+                if lang == "en" or (len(x) >= 2 and x not in stop["de"]):
+                    want[d, x] = want.get((d, x), 0) + 1
+    assert got == want
+
+
+def test_numbers_by_ranges(spark):
+    rows = [(i * 7919 % 503, "ab"[i % 2]) for i in range(503)] + [(1000, "c")]
+    got = governance.numbered(spark.createDataFrame(rows, "x int, g string"), ["x"], "no", ["g"]).collect()
+    for g in "abc":
+        assert [r.no for r in sorted((r for r in got if r.g == g), key=lambda r: r.x)] == list(range(sum(r[1] == g for r in rows)))
+    assert governance.numbered(spark.createDataFrame([], "x int"), ["x"], "no").count() == 0
+
+
+def test_files_that_cannot_be_read(spark):
+    rows = spark.createDataFrame([("a.csv", b"1,2\n3"), ("b.csv", None), ("c.csv", b"x" * 200_000)], "path string, content binary")
+    got = {r.path: (r.rows, r.cols, len(r.warnings)) for r in files.read_delimited(rows).collect()}
+    assert got == {"a.csv": (2, 2, 0), "b.csv": (0, 0, 1), "c.csv": (1, 1, 0)}
+    rows = spark.createDataFrame([("a", b"Subject: s\nContent-Type: text/plain; charset=nope\n\nhi"), ("b", None)], "path string, content binary")
+    assert {r.path: (r.body, len(r.warnings)) for r in files.read_mail(rows).collect()} == {"a": ("hi", 0), "b": ("", 1)}
+    assert [(r.path, r.content_type, r.text) for r in files.mail_leaves(rows).collect()] == [("a", "text/plain", "hi")]
+    rows = spark.createDataFrame([("a", b"<svg><text>x<tspan>y</tspan>z</text></svg>"), ("b", b"<svg>"), ("c", None)], "path string, content binary")
+    assert {r.path: (r.text, len(r.warnings)) for r in files.read_svg(rows).collect()} == {"a": ("x\nz\ny", 0), "b": ("", 1), "c": ("", 1)}
