@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+QUERY_BLOCK = 4096
 QUERY_PREFIX = "Instruct: find the passage that answers the question\nQuery: "
 
 
@@ -34,14 +37,54 @@ def hash_embeddings(texts: DataFrame, dim: int = 64, prefix: str = "", id_col: s
     return m.select(F.col("id").alias(id_col), normalised(v).alias("embedding"))
 
 
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, rounded to nine digits; ties go to the smaller id."""
+    s = np.round(scores, 9)
+    if len(s) > k:
+        some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+        return some[np.lexsort((ids[some], -s[some]))[:k]]
+    return np.lexsort((ids, -s))
+
+
+def _block_hits(vectors: DataFrame, block: list, k: int) -> DataFrame:
+    """(query_id, id, score): the k best of each task for each query of a block, by products of matrices."""
+    kept = vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in block]), np.array([r.q for r in block], float)))
+
+    def work(batches):
+        names, q = kept.value
+        top = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            for i, s in enumerate(q @ x.T):
+                s, n = np.concatenate([top[i][0], s]), np.concatenate([top[i][1], ids])
+                at = best(s, n, k)
+                top[i] = s[at], n[at]
+        n = [len(s) for s, _ in top]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.concatenate([x for _, x in top])), pa.array(np.concatenate([s for s, _ in top]))], names=["query_id", "id", "score"])
+
+    return vectors.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(work, "query_id bigint, id bigint, score double")
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k nearest by cosine of unit vectors; ties go to the smaller id.
 
-    ``vectors`` (id, v, ...), ``queries`` (query_id, q, ...). ``allowed`` is a predicate over both
-    sides that goes before the ranking. Every query meets every vector in a nested-loop join, the
-    queries broadcast where Spark's size estimate allows it; each task keeps its own k best.
+    ``vectors`` (id, v, ...), ``queries`` (query_id, q, ...); null vectors have no place in either. Queries go to all executors
+    in blocks of ``QUERY_BLOCK``, of which each meets all vectors in one pass, and each task keeps its own k best.
+    ``allowed`` is a predicate over both sides that goes before the ranking; with it queries and vectors meet in a
+    nested-loop join, of which each task keeps its own k best.
     """
-    pairs = vectors.join(queries, allowed if allowed is not None else F.lit(True))
-    scored = pairs.select("query_id", "id", dot("v", "q").alias("score"))
+    if allowed is None:
+        queries = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), "q")
+        n = max(1, -(-queries.count() // QUERY_BLOCK))
+        scored = None
+        for i in range(n):
+            block = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).collect()
+            hits = _block_hits(vectors.where("v is not null"), block, k) if block else vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
+            scored = hits if scored is None else scored.union(hits)
+    else:
+        scored = vectors.join(queries, allowed).select("query_id", "id", dot("v", "q").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

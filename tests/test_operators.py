@@ -290,3 +290,15 @@ def test_files_that_cannot_be_read(spark):
     assert [(r.path, r.content_type, r.text) for r in files.mail_leaves(rows).collect()] == [("a", "text/plain", "hi")]
     rows = spark.createDataFrame([("a", b"<svg><text>x<tspan>y</tspan>z</text></svg>"), ("b", b"<svg>"), ("c", None)], "path string, content binary")
     assert {r.path: (r.text, len(r.warnings)) for r in files.read_svg(rows).collect()} == {"a": ("x\nz\ny", 0), "b": ("", 1), "c": ("", 1)}
+
+
+def test_dense_blocks(spark, monkeypatch):
+    r = random.Random(2)
+    v = [(i, [float(r.choice([0, 1, 2])) for _ in range(3)]) for i in range(300)] + [(900, None)]
+    q = [(i, x) for i, x in v[:20]] + [(77, None)]
+    want = {(i, n + 1, j) for i, x in q[:20] for n, (_, j) in enumerate(sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in v[:300])[:7])}
+    for block in (4096, 6):
+        monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+        got = dense.dense_top_k(spark.createDataFrame(v, "id int, v array<double>").repartition(5), spark.createDataFrame(q, "query_id int, q array<double>"), 7)
+        assert {(x.query_id, x.rank, x.id) for x in got.collect()} == want
+    assert dense.dense_top_k(spark.createDataFrame(v, "id int, v array<double>").limit(0), spark.createDataFrame(q, "query_id int, q array<double>"), 7).count() == 0
