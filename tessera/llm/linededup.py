@@ -10,9 +10,9 @@ has a Jaccard similarity of 0.75 or more with it. DataFrame functions only.
    all classes without loss, and no other token leaves the row that it comes from.
 3. The classes left get whole sets. Tokens are ordered by rarity; sets of which more than a quarter
    is unique drop out; prefixes of rare tokens are joined under the length and positional filters.
-4. Pairs are verified by their sets. A line meets first the earliest one of each token, then the earliest of
-   each of ``ROUNDS`` shares of a token's lines, and all others only where it has found no match
-   yet, so a large group of variants is not paired up; the lines of a common token are dealt to blocks.
+4. Pairs are verified by their sets. A line meets first the earliest ones of ``ROUNDS`` shares of each token's
+   lines, and all others only where it has found no match yet, so a large group of variants is not paired
+   up; the lines of a common token are dealt to blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import drop, release, save
 from .shingles import SPACE, WIDTH, shingle_rows, shingles, split_words
 
-EIGHTHS, ROUNDS, BLOCK = 3, (1, 16), 64
+EIGHTHS, ROUNDS, BLOCK = 3, (4,), 64
 #: Sides of so many lines at most, of two numbers each, go to all executors; larger ones are shuffled.
 BROADCAST_LINES = 1_000_000
 LIMIT = 4095  # of the budget of unique tokens that a key has room for
@@ -151,10 +151,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     out = save(_ruled_out(every))
     release(spark)
     classes = save(lines.groupBy("k", "k2").agg(F.min(_place()).alias("at"), F.max(_place()).alias("last")))
-    some = save(classes.join(out, "k", "left_anti").select("at"))
+    some = save(classes.join(out, "k", "left_anti").select("k", "k2", "at"))
     drop(out)
     sets = save(_sets(docs, some))
-    drop(some)
     release(spark)
     # most of what is left drops out once the tokens that a set alone has are counted, before any token is joined
     own = F.xxhash64("at").alias("own")  # a short stand-in
@@ -165,10 +164,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     release(spark)
     hit = _near(few)
     drop(few)
-    gone = classes.join(hit.withColumn("near", F.lit(True)), "at", "left").where(F.col("near") | (F.col("last") > F.col("at")))
-    gone = lines.join(gone.select("k", "k2", F.when(F.col("near"), None).otherwise(F.col("at")).alias("kept")), ["k", "k2"])
-    gone = save(gone.where(~F.coalesce(F.col("kept") == _place(), F.lit(False))).select("doc", "th", "line_no").distinct())
-    for x in (hit, classes, lines):
+    near = some.join(hit, "at", "left_semi").select("k", "k2", F.lit(True).alias("near"))
+    rule = classes.where("last > at").select("k", "k2", "at").join(near, ["k", "k2"], "full")
+    rule = save(rule.select("k", "k2", F.when(F.col("near"), None).otherwise(F.col("at")).alias("kept")))
+    gone = lines.join(rule, ["k", "k2"]).where(~F.coalesce(F.col("kept") == _place(), F.lit(False)))
+    gone = save(gone.select("doc", "th", "line_no").distinct())
+    for x in (hit, some, classes, lines, rule):
         drop(x)
     release(spark)
     return gone

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rowkeys import with_key
 from .scratch import drop, release, save
 
 LENGTH, GRAM, BLOCK, GROUP, CHUNK = 200, 88, 1 << 18, 3000, 1500
@@ -184,17 +185,6 @@ def _large_groups(flat: DataFrame, length: int) -> DataFrame:
     return hit.groupBy("h", "c1", "c2", F.col("d0").alias("fd"), F.col("a0").alias("fa")).agg(F.collect_list(one).alias("spans"))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` as (id, text, doc): doc is the id, or a hash of id and text where an id has several texts."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    th = F.xxhash64("text")
-    several = own.groupBy("doc").agg(F.min(th).alias("a"), F.max(th).alias("b")).where("doc is not null and a <> b").select("doc", F.lit(True).alias("several"))
-    several = save(several)
-    if several.isEmpty():
-        return own
-    return own.join(several, "doc", "left").select("id", F.when(F.col("several"), F.xxhash64("doc", "text")).otherwise(F.col("doc")).alias("doc"), "text")
-
-
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, keep_first: bool = False) -> DataFrame:
     """(id, ranges array<struct<start,end>>): bytes covered by a string of ``length`` bytes that also starts
     elsewhere (with ``keep_first``: at an earlier place, in the order of id and place). The id must tell texts apart."""
@@ -280,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and match nothing. Rows that repeat an id and a text are one document and give a row each; rows of one id with different
     texts are documents of their own, for ``keep_first`` in any order. Other columns are ignored.
     """
-    own = _keyed(docs, id_col, text_col)
+    own = with_key(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id", "text", "doc")
     ranges = save(repeated_ranges(own, "doc", "text", length, k, keep_first))
     release(docs.sparkSession)
     both = own.join(ranges, "doc", "left").select("id", "text", "ranges")

@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import docstats, quality, toxicity
+from tessera.llm import docstats, htmltext, quality, toxicity
 
 
 def recursion(u, trans, start):
@@ -146,13 +148,52 @@ def test_stages_of_odd_rows(spark, sf_dir):
     """Nulls, empty texts, repeats, clashing names and empty tables in each stage."""
     import corpus_pipeline as cp
 
-    rows = [(None, "same words in a line here", "a"), (1, "same words in a line here", "b"), (2, "same words in a line here", "c"), (2, "same words in a line here", "c"), (3, None, "d"), (4, "", "e"), (4, "other text under the id of four", "f"), (5, "x " * 30_000, "g")]
+    rows = [(None, "same words in a line here", "a"), (6, "same words in a line here", "h"), (6, "a text that is like no other", "i"), (1, "same words in a line here", "b"), (2, "same words in a line here", "c"), (2, "same words in a line here", "c"), (3, None, "d"), (4, "", "e"), (4, "other text under the id of four", "f"), (5, "x " * 30_000, "g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumns({"n_removed": F.lit(1), "component_id": F.lit("c"), "item_id": F.lit("i"), "row": F.lit(2)})
     for empty in (docs.limit(0), docs):
         for name, stage in cp.STAGES[:-1]:
             out = cp.save(stage(spark, empty, sf_dir))
             assert sorted(out.columns) == sorted(docs.columns), name
             kept = sorted((r.doc_id or 0, r.score) for r in out.select("doc_id", "score").collect())
-            want = {"line dedup": [(0, "a"), (1, "b"), (3, "d"), (4, "e"), (4, "f"), (5, "g")], "n-gram Jaccard join": [(0, "a"), (1, "b"), (3, "d"), (4, "e"), (4, "f"), (5, "g")]}.get(name, [(r[0] or 0, r[2]) for r in rows])
+            want = {"line dedup": [(0, "a"), (1, "b"), (3, "d"), (4, "e"), (4, "f"), (5, "g"), (6, "i")], "n-gram Jaccard join": [(0, "a"), (1, "b"), (3, "d"), (4, "e"), (4, "f"), (5, "g"), (6, "i")]}.get(name, [(r[0] or 0, r[2]) for r in rows])
             assert kept == (sorted(want) if empty is docs else []), name
     assert cp.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)
+
+
+class Plain(HTMLParser):
+    """All text outside of hidden elements, in order, without any layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.text = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        hidden = tag in htmltext.UNSEEN or "hidden" in a or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or "", re.I)
+        if tag not in htmltext.VOID:
+            self.stack.append((tag, bool(hidden)))
+        elif tag == "img" and a.get("alt") and not any(h for _, h in self.stack):
+            self.text.append(a["alt"])
+
+    def handle_endtag(self, tag):
+        for i in reversed(range(len(self.stack))):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                return
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.stack):
+            self.text.append(data)
+
+
+def test_html_text_is_whole(spark, sf_dir):
+    """Every page's text against another parser's, layout aside."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    sources = {r.page_id: r.html for r in pages.collect()}
+    squeezed = lambda x: re.sub(r"[\s|]+", "", x)
+    for r in htmltext.extract_text(pages).collect():
+        plain = Plain()
+        plain.feed(sources[r.page_id] or "")
+        plain.close()
+        bare = "\n".join(re.sub(r"^(?:- |\d+\. |> )+", "", x.strip()) for x in r.text.split("\n"))
+        assert squeezed(bare) == squeezed("".join(plain.text)), r.page_id
