@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, linededup, ngramjoin, toxicity
 from tessera.llm.docstats import fold
+from tessera.llm.rowkeys import with_key
 from tessera.llm.scratch import save
 
 
@@ -30,20 +31,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id. Rows of one doc_id and text are copies, of which
-    one stays (the smallest by its other columns); rows without a doc_id all stay."""
-    groups = ngramjoin.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.where("doc_id is not null").join(groups, "doc_id", "left_anti")
-    one = left.groupBy("doc_id", "text").agg(F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("x")).select("doc_id", "text", "x.*")
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    one stays (the smallest by its columns); rows of one doc_id with different texts are documents of their own; rows
+    without a doc_id all stay. Texts are shuffled a second time only for repeated rows."""
+    keyed = with_key(docs, "doc_id", "text", "__key")
+    groups = ngramjoin.near_duplicates(keyed, "__key").where("__key <> component_id").select("__key").distinct()
+    left = keyed.join(groups, "__key", "left_anti")
+    twice = save(left.groupBy("__key").agg(F.count("*").alias("n")).where("__key is not null and n > 1").select("__key"))
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    one = left.join(twice, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return left.join(twice, "__key", "left_anti").select(docs.columns).unionByName(one)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; rows of one doc_id are one document here, and rows without one stay. Null and
+    empty texts contain nothing."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, ids' digests and round trips of what is left."""
+    """A row for each row: token counts, ids' digests and round trips; null texts count as empty."""
     import public_tokenizers
 
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
