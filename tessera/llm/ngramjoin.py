@@ -30,7 +30,7 @@ from .scratch import drop, release, save
 
 #: Share of hashes that step 2 looks at; size of a small region; members for each pivot, and most pivots of a region;
 #: share of a region's size from which the windows count as not parting it; most documents of a block.
-EIGHTHS, SMALL, MEMBERS, PIVOTS, PARTED, BLOCK = 3, 16, 32, 16, 0.75, 256
+EIGHTHS, SMALL, MEMBERS, PIVOTS, PARTED, BLOCK = 3, 16, 32, 4, 0.75, 256
 RADIUS = 0.25 + 1e-9
 
 
