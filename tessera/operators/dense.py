@@ -30,7 +30,7 @@ def hash_embeddings(texts: DataFrame, dim: int = 64, prefix: str = "", id_col: s
     tokens gets zeros.
     """
     t = texts.select(F.col(id_col).alias("id"), tokens(F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))).alias("t"))
-    h = t.select("id", F.explode_outer("t").alias("w")).select("id", F.conv(F.substring(F.md5("w"), 1, 12), 16, 10).cast("long").alias("h"), "w")
+    h = t.select("id", F.explode_outer("t").alias("w")).select("id", F.conv(F.substring(F.md5(F.coalesce("w", F.lit(""))), 1, 12), 16, 10).cast("long").alias("h"), "w")
     sums = h.groupBy("id", F.pmod("h", F.lit(dim)).alias("b")).agg(F.sum(F.when(F.col("w").isNull(), 0.0).otherwise(F.when(F.col("h").bitwiseAND(1 << 40) == 0, 1.0).otherwise(-1.0))).alias("x"))
     m = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"))
     v = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
