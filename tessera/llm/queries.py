@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capjoin, chat, decontaminate, htmltext, linededup, ngramjoin, quality, suffixdedup, toxicity
+from . import bpe, capjoin, chat, decontaminate, htmltext, linededup, ngramjoin, quality, suffixdedup, tokenfile, toxicity
 from .docstats import fold
+from .scratch import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,12 @@ def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "ids"))
+
+
 WORDS_SQL = r"""list_filter(string_split_regex(lower(coalesce({0}, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"""
 SHINGLES_SQL = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
 
@@ -87,4 +94,4 @@ dh as (select distinct doc_id, unnest({SHINGLES_SQL}) as h from d),
 c as (select item_id, doc_id, count(*) as c from s join dh using (h) group by all)
 select item_id, doc_id, n as n_shingles, c as n_shared, round(c / n, 6) as containment from c join n using (item_id) where 100 * c >= 75 * n""",
 }
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_html_text, op3_cap_filters, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_html_text, op3_cap_filters, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts, op11_huffman_ids)}

@@ -22,9 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str = "tessera") -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs a read and not a rerun."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
