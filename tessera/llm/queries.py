@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capjoin, chat, decontaminate, htmltext, linededup, ngramjoin, quality, suffixdedup, tokenfile, toxicity
+from . import bpe, capjoin, chat, decontaminate, htmltext, lexindex, linededup, ngramjoin, prefixtrie, quality, suffixdedup, tokenfile, toxicity
 from .docstats import fold
 from .scratch import new_path
 
@@ -66,8 +66,20 @@ def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "ids"))
 
 
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexindex.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("visited")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_of(table(spark, sf_dir, "conversations"))
+
+
 WORDS_SQL = r"""list_filter(string_split_regex(lower(coalesce({0}, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"""
 SHINGLES_SQL = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
+TERMS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\\x{80}-\\x{10FFFF}]+')"
+#: crc32 of the decimal conv_id, bit by bit
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::bigint)), lambda y, z: xor(y >> 1, 3988292384::bigint * (y & 1)))), 4294967295::bigint)"
+
 
 ORACLES: dict[str, str] = {
     "op3_cap_filters": """
@@ -93,5 +105,23 @@ s as (select distinct item_id, unnest({SHINGLES_SQL}) as h from i), n as (select
 dh as (select distinct doc_id, unnest({SHINGLES_SQL}) as h from d),
 c as (select item_id, doc_id, count(*) as c from s join dh using (h) group by all)
 select item_id, doc_id, n as n_shingles, c as n_shared, round(c / n, 6) as containment from c join n using (item_id) where 100 * c >= 75 * n""",
+    "op12_stratified_search": f"""
+with d as (select doc_id, {TERMS_SQL} as t from documents), g as (select count(*) as n, sum(len(t))::bigint as l from d where len(t) > 0),
+p as (select doc_id, term, count(*) as tf, any_value(n) as n from (select doc_id, len(t) as n, unnest(t) as term from d) group by doc_id, term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({TERMS_SQL}) as term from benchmark) group by all),
+f as (select term, count(*) as df from p where term in (select term from q) group by term),
+w as (select term, floor(1000 * ln((2 * g.n + 2)::double / (2 * df + 1)))::bigint as w from f, g),
+s as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * g.n) // g.l))))::bigint as score from q join w using (term) join p using (term), g group by all),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10""",
+    "op13_prefix_trie": rf"""
+with own as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from conversations),
+c as (select distinct conv_id, conv_id - conv_id % 20 as base, {CRC_SQL} % 4 as h from own),
+r as (select c.conv_id, 0 as own, pos, role, text from c join own on own.conv_id = base and pos <= h union all select c.conv_id, 1, pos, role, text from c join own on own.conv_id = c.conv_id and pos > h),
+l as (select c.conv_id, coalesce(list(struct_pack(role, text) order by own, pos) filter (own is not null), []) as t from c left join r using (conv_id) group by c.conv_id),
+p as (select conv_id, unnest(range(len(t) + 1)) as depth, t from l),
+n as (select t[1:depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id, ',' order by conv_id) filter (len(t) = depth), '') as ends, case when depth > 0 then (count(*) - 1) * len(regexp_extract_all(any_value(t[depth].text), '[^\x20\x09-\x0D]+')) else 0 end as saved from p group by path, depth),
+k as (select path, depth, conv_id, n_convs, ends, saved, (select count(*) from n c where c.depth = n.depth + 1 and c.path[1:n.depth] = n.path) as n_children from n)
+select k.conv_id, k.depth, (select u.conv_id from n u where u.depth = k.depth - 1 and u.path = k.path[1:k.depth - 1]) as parent_conv_id, k.n_convs, k.n_children, (select count(*) from k s where s.n_children = 0 and s.depth >= k.depth and s.path[1:k.depth] = k.path) as n_leaves, (select sum(saved) from n s where s.depth >= k.depth and s.path[1:k.depth] = k.path)::bigint as saved_tokens, sha256(k.ends) as ends_sha256 from k""",
 }
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_html_text, op3_cap_filters, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts, op11_huffman_ids)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_html_text, op3_cap_filters, op4_line_dedup, op5_suffix_dedup, op6_jaccard_join, op7_bpe_codec, op8_quality_rff, op9_benchmark_containment, op10_chat_parts, op11_huffman_ids, op12_stratified_search, op13_prefix_trie)}
