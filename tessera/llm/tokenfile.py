@@ -15,10 +15,12 @@ bit of a byte first.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from .scratch import drop, release, save
 MAGIC = b"TESSIDS1"
 BLOCK, CHECK = 1 << 20, 256
 SHARD_IDS = 1 << 23
-CACHE_ENTRIES, CACHE_LETTERS = 400_000, 40
-UNSAFE = re.compile(r"\s |^ ")
+CACHE_ENTRIES, CACHE_LETTERS, GROUP = 400_000, 40, 1 << 20
+TAIL = ".,;:!?"
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -221,21 +223,125 @@ class Reader:
 # ---- jobs
 
 
-def pieces(text: str) -> list[str]:
-    """``text`` cut before spaces that follow a non-space. A byte-level pattern begins a word there in any case, and no added
-    token holds a space, so pieces encode as they do inside the text."""
-    if UNSAFE.search(text):
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
+class Encoder:
+    """Whole texts to ids by the ``tokenizers`` library, with a memory of words; one for each Python worker and model.
+
+    A text is cut at single blanks and line ends between other characters, and a word before the marks of ``TAIL``. A
+    byte-level pattern ends a word at each of these places whatever stands around it, and no added token holds such a place, so
+    the parts encode as they do inside the text. Words not seen before go to the library side by side in one text, and
+    bytes of ids tell whose an id is. Texts with other white space are cut before blanks that follow a non-blank only.
+    """
+
+    def __init__(self, spec: str, wide: int):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_str(spec)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.kind = f"<u{wide}"
+        added = {i: len(t.content.encode()) for i, t in self.tok.get_added_tokens_decoder().items()}
+        vocab = self.tok.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for t, i in vocab.items():
+            self.size[i] = added.get(i, len(t))
+        self.line = len(self.library("\n").tobytes())
+        # words behind a blank, and with their line end words behind one; those of the last and of the time before
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of new words, side by side in one text."""
+        tails = {}
+        for w in words:
+            if w in self.older:
+                self.known[w] = self.older[w]
+                continue
+            core = w.rstrip(TAIL)
+            if core != w and core and core[-1].isalnum():
+                tails[w] = core
+        new = list(words.difference(tails, self.known).union(tails.values(), {"\n" + w[len(c) :] for w, c in tails.items()}).difference(self.known))
+        for i in range(0, len(new), 20_000):
+            some = [w if w[:1] == "\n" else " " + w for w in new[i : i + 20_000]]
+            ids = self.library("".join(some))
+            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in some])
+            cuts = (np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1) * ids.itemsize
+            data, at = ids.tobytes(), 0
+            for w, cut in zip(new[i : i + 20_000], cuts.tolist()):
+                self.known[w] = data[at:cut]
+                at = cut
+        for w, core in tails.items():
+            self.known[w] = self.known[core] + self.known["\n" + w[len(core) :]][self.line :]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.older = {}, self.known
+        get, cut, missing = self.known.get, [], set()
+        for t in texts:
+            if not plain(t):
+                cut.append(None)
+                continue
+            words = ("\n" + t.replace("\n", " \n")).split(" ")
+            got = list(map(get, words))
+            if None in got:
+                missing.update([w for w, g in zip(words, got) if g is None])
+                cut.append((words, got))
+            else:
+                cut.append((None, got))
+        if missing:
+            self.learn(missing)
+        out = []
+        for t, x in zip(texts, cut):
+            if not x:
+                out.append(b"".join([self.library(p).tobytes() for p in grouped(CUT.split(t))]))
+                continue
+            words, got = x
+            if words:
+                got = [get(w) if g is None else g for w, g in zip(words, got)]
+            out.append(b"".join(got)[self.line :])
+        for w in missing:
+            if len(w) > CACHE_LETTERS:
+                self.known.pop(w, None)
+        return out
+
+
+def plain(text: str) -> bool:
+    """Whether all white space is single blanks and line ends between other characters."""
+    return bool(text) and " ".join(text.split()) == text.replace("\n", " ")
+
+
+def grouped(parts: list[str], letters: int = 1 << 16) -> Iterator[str]:
+    """Parts that follow each other, joined up to some length, so that the library holds a bounded text at a time."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p)
+        if n >= letters:
+            yield "".join(held)
+            held, n = [], 0
+    if held:
+        yield "".join(held)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(spec: str, wide: int) -> Encoder:
+    """This worker's encoder for a model, kept from task to task."""
+    key = (hashlib.sha256(spec.encode()).hexdigest(), wide)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(spec, wide)
+    return _ENCODERS[key]
 
 
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> DataFrame:
     """(doc_id, part, row, ids binary): ids of every whole text by the ``tokenizers`` library, ``end_id`` behind them, as
     little-endian numbers of ``id_width`` bytes, in ascending order of (id, hash of the text); part and row number that order.
 
-    Texts go to the library in pieces between spaces, and what a short piece gave is kept, so that a word is looked up and not
-    encoded again. Null texts count as empty. Rows without an id come first; repeated rows are documents of their own.
+    See ``Encoder`` for how texts reach the library. Null texts count as empty. Rows without an id come first; repeated rows are documents of their own.
     """
     from pyspark import TaskContext
 
@@ -244,39 +350,23 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batches):
-        from tokenizers import Tokenizer
+        from tessera.llm import tokenfile
 
-        tok = Tokenizer.from_str(spec.value)
-        tok.no_truncation()
-        tok.no_padding()
-        kind = f"<u{wide}"
-        kept: dict[str, bytes] = {}
-        end = b"" if end_id is None else np.array([end_id], kind).tobytes()
+        enc = tokenfile.encoder(spec.value, wide)
+        end = b"" if end_id is None else np.array([end_id], enc.kind).tobytes()
         part, row = TaskContext.get().partitionId(), 0
-
-        def ids(new: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-
         for b in batches:
-            out = []
-            for text in b.column(1):
-                words = pieces(text.as_py() or "")
-                new = [w for w in {w for w in words if w not in kept}]
-                long = {w: None for w in new if len(w) > CACHE_LETTERS}
-                short = [w for w in new if w not in long] if long else new
-                if len(kept) + len(short) > CACHE_ENTRIES:
-                    kept.clear()
-                    short = list({w for w in words if len(w) <= CACHE_LETTERS})
-                kept.update(zip(short, ids(short)))
-                if long:
-                    for w in long:
-                        long[w] = ids([w])[0]
-                    out.append(b"".join([long[w] if w in long else kept[w] for w in words]) + end)
-                else:
-                    out.append(b"".join(map(kept.__getitem__, words)) + end)
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(row, row + n, dtype=np.int64)), pa.array(out, pa.binary())], names=list("abcd"))
-            row += n
+            at = 0
+            while at < b.num_rows:
+                texts, size, first = [], 0, at
+                while at < b.num_rows and size < GROUP:
+                    texts.append(b.column(1)[at].as_py() or "")
+                    size += len(texts[-1])
+                    at += 1
+                n = len(texts)
+                out = pa.array([x + end for x in enc.encode(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(row, row + n, dtype=np.int64)), out], names=list("abcd"))
+                row += n
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     key = F.xxhash64("text")
