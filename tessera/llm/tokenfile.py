@@ -32,8 +32,11 @@ from .scratch import drop, release, save
 MAGIC = b"TESSIDS1"
 BLOCK, CHECK = 1 << 20, 256
 SHARD_IDS = 1 << 23
-CACHE_ENTRIES, CACHE_LETTERS, GROUP = 400_000, 40, 1 << 20
+CACHE_ENTRIES, CACHE_LETTERS, GROUP = 200_000, 40, 1 << 20
 TAIL = ".,;:!?"
+#: Two blanks or line ends side by side, and any other white space, of ASCII and beyond it.
+PAIRS = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+RARE = tuple(c for c in map(chr, range(128, 0x3001)) if c.isspace())
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -309,7 +312,9 @@ class Encoder:
 
 def plain(text: str) -> bool:
     """Whether all white space is single blanks and line ends between other characters."""
-    return bool(text) and " ".join(text.split()) == text.replace("\n", " ")
+    if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in PAIRS):
+        return False
+    return text.isascii() or not any(x in text for x in RARE)
 
 
 def grouped(parts: list[str], letters: int = 1 << 16) -> Iterator[str]:
