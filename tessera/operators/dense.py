@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, PLACES = 4096, 500_000
 QUERY_PREFIX = "Instruct: find the passage that answers the question\nQuery: "
 
 
@@ -27,14 +31,30 @@ def hash_embeddings(texts: DataFrame, dim: int = 64, prefix: str = "", id_col: s
     """(id, embedding array<double>): signed feature hashing of all tokens, of length 1.
 
     The deterministic stand-in for an embedding model; ``prefix`` goes before queries. A text without
-    tokens gets zeros.
+    tokens gets zeros, a null text counts as empty. Each row is worked out where it lies, nothing is shuffled.
     """
-    t = texts.select(F.col(id_col).alias("id"), tokens(F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))).alias("t"))
-    h = t.select("id", F.explode_outer("t").alias("w")).select("id", F.conv(F.substring(F.md5(F.coalesce("w", F.lit(""))), 1, 12), 16, 10).cast("long").alias("h"), "w")
-    sums = h.groupBy("id", F.pmod("h", F.lit(dim)).alias("b")).agg(F.sum(F.when(F.col("w").isNull(), 0.0).otherwise(F.when(F.col("h").bitwiseAND(1 << 40) == 0, 1.0).otherwise(-1.0))).alias("x"))
-    m = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"))
-    v = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return m.select(F.col("id").alias(id_col), normalised(v).alias("embedding"))
+    find = re.compile(TOKEN).findall
+
+    def work(batches):
+        places: dict[str, tuple[int, int]] = {}
+        for b in batches:
+            out = np.zeros((b.num_rows, dim))
+            for v, text in zip(out, b.column(1)):
+                for word, n in Counter(find(prefix + (text.as_py() or ""))).items():
+                    if word not in places:
+                        if len(places) >= PLACES:
+                            places.clear()
+                        h = int(hashlib.md5(word.lower().encode()).hexdigest()[:12], 16)
+                        places[word] = h % dim, -1 if h >> 40 & 1 else 1
+                    at, sign = places[word]
+                    v[at] += sign * n
+            norm = np.sqrt((out * out).sum(1, keepdims=True))
+            np.divide(out, norm, out=out, where=norm > 0)
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], names=["id", "embedding"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, "text").mapInArrow(work, f"`{id_col}` {kind}, embedding array<double>")
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

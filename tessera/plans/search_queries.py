@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stems import stem_vocab
 from ..functions.text import LINKERS, TOKEN, compound_parts, tokens
 from ..operators import dense, retrieval, sparse
-from ..sources.scratch import stored
+from ..sources.scratch import dropped, stored
 from .catalog import register
 
 #: Function words that the queries leave out.
@@ -62,7 +62,10 @@ def _sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     counts = _counts(spark, sf_dir)
     idf = stored(sparse.inverse_frequencies(counts, _sizes(spark, sf_dir)), "idf")
     q = _queries(spark, sf_dir).select("lang", F.col("query_id").alias("doc_id"), F.col("question").alias("text"))
-    return sparse.sparse_top_k(sparse.weights(counts, idf), sparse.weights(sparse.term_counts(q, STOP), idf), k).select("query_id", "id", "score", "rank")
+    asked = sparse.weights(sparse.term_counts(q, STOP), idf)
+    hits = sparse.pruned_top_k(sparse.asked_postings(counts, idf, asked), asked, k)
+    dropped(counts, idf)
+    return hits.select("query_id", "id", "score", "rank")
 
 
 def _dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -70,6 +73,23 @@ def _dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return dense.dense_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
 
 
+def _text_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The dense side of the same questions: documents and questions embedded alike; texts without tokens have no vector."""
+    some = F.array_max(F.transform("embedding", F.abs)) > 0
+    d = dense.hash_embeddings(table(spark, sf_dir, "documents")).where(some)
+    q = dense.hash_embeddings(table(spark, sf_dir, "benchmark"), prefix=dense.QUERY_PREFIX, id_col="item_id").where(some)
+    return dense.dense_top_k(d.select(F.col("doc_id").alias("id"), F.col("embedding").alias("v")), q.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q")), k)
+
+
+def _vector_sql(name: str, text: str, source: str, key: str) -> str:
+    return f"""{name}h as (select id, ('0x' || substr(md5(w), 1, 12))::bigint as h from (select {key} as id, lower(unnest(regexp_extract_all({text}, '{TOKEN}'))) as w from {source})),
+{name}b as (select id, h % 64 as b, sum(case when (h >> 40) % 2 = 0 then 1 else -1 end)::double as x from {name}h group by all), {name}n as (select id, sqrt(sum(x * x)) as norm from {name}b group by id having sum(x * x) > 0),
+{name}v as (select n.id, list(coalesce(x, 0) / norm order by r.b) as v from {name}n n cross join (select unnest(range(64)) as b) r left join {name}b b on b.id = n.id and b.b = r.b group by n.id)"""
+
+
+_TEXT_DENSE_SQL = _vector_sql("t", "text", "documents", "doc_id") + ", " + _vector_sql("u", f"'{dense.QUERY_PREFIX}' || text", "benchmark", "item_id") + ", dn as (select q.id as query_id, d.id, list_dot_product(d.v, q.v) as score from tv d, uv q), dr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from dn)"
+
+
 _DENSE_SQL = "dn as (select q.vec_id as query_id, e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0), dr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from dn)"
 
 
@@ -179,12 +199,12 @@ def acl_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("c_custkey", F.array_join(F.transform(retrieval.effective_filter("choice", "permitted"), lambda x: x.cast("string")), ",").alias("effective"))
 
 
-_HYBRID_SQL = _POST_SQL + ", " + _DENSE_SQL + """, lists as (select query_id, id, rank from sp where rank <= 50 union all select query_id, id, rank from dr where rank <= 50),
+_HYBRID_SQL = _POST_SQL + ", " + _TEXT_DENSE_SQL + """, lists as (select query_id, id, rank from sp where rank <= 50 union all select query_id, id, rank from dr where rank <= 50),
 fu as (select query_id, id, sum(1.0::double / (60 + rank)) as score from lists group by all), fr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from fu)"""
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse_hits(spark, sf_dir, 50).select("query_id", "id", "rank").union(_dense_hits(spark, sf_dir, 50).select("query_id", "id", "rank"))
+    return _sparse_hits(spark, sf_dir, 50).select("query_id", "id", "rank").union(_text_hits(spark, sf_dir, 50).select("query_id", "id", "rank"))
 
 
 @register(f"with {_HYBRID_SQL} select query_id, id, rank, round(score, 6) as score from fr where rank <= 50")
@@ -198,11 +218,11 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source"), "id").select("query_id", "id", "rank", F.round("score", 6).alias("score"), "lang", "source")
 
 
-_PASSES_SQL = _POST_SQL + ", " + _DENSE_SQL + ", hits as (select query_id, id, 1 as pass_no, rank, score from dr where rank <= 50 union all select query_id, id, 2, rank, score from sp where rank <= 25), firsts as (select *, row_number() over (partition by query_id, id order by pass_no, rank) as rn from hits)"
+_PASSES_SQL = _POST_SQL + ", " + _TEXT_DENSE_SQL + ", hits as (select query_id, id, 1 as pass_no, rank, score from dr where rank <= 50 union all select query_id, id, 2, rank, score from sp where rank <= 25), firsts as (select *, row_number() over (partition by query_id, id order by pass_no, rank) as rn from hits)"
 
 
 def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _dense_hits(spark, sf_dir, 50).select("query_id", "id", F.lit(1).alias("pass_no"), "rank", "score")
+    a = _text_hits(spark, sf_dir, 50).select("query_id", "id", F.lit(1).alias("pass_no"), "rank", "score")
     return a.union(_sparse_hits(spark, sf_dir, 25).select("query_id", "id", F.lit(2).alias("pass_no"), "rank", "score"))
 
 

@@ -25,4 +25,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several steps read, and read it back, so that it is worked out once."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

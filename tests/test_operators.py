@@ -302,3 +302,38 @@ def test_dense_blocks(spark, monkeypatch):
         got = dense.dense_top_k(spark.createDataFrame(v, "id int, v array<double>").repartition(5), spark.createDataFrame(q, "query_id int, q array<double>"), 7)
         assert {(x.query_id, x.rank, x.id) for x in got.collect()} == want
     assert dense.dense_top_k(spark.createDataFrame(v, "id int, v array<double>").limit(0), spark.createDataFrame(q, "query_id int, q array<double>"), 7).count() == 0
+
+
+def test_pruned_top_k_reads_less_and_gives_the_same(spark):
+    rng = random.Random(11)
+    posts = {(f"t{t}", d): rng.random() ** 3 * (30 - t) for t in range(30) for d in rng.sample(range(2000), 20 + 40 * t)}
+    postings = spark.createDataFrame([("en", t, d, w) for (t, d), w in posts.items()], "lang string, term string, id long, weight double")
+    asked = spark.createDataFrame([("en", t, q, rng.random()) for q in range(12) for t in {f"t{rng.randint(0, 32)}" for _ in range(6)}] + [("fr", "t1", 1, 1.0)], "lang string, term string, id long, weight double")
+    for k in (1, 5, 50):
+        want = sparse.sparse_top_k(postings, asked, k).collect()
+        got = sparse.pruned_top_k(postings, asked, k).collect()
+        row = lambda r: (r.lang, r.query_id, r.rank, r.id, round(r.score, 9))
+        assert sorted(map(row, got)) == sorted(map(row, want))
+    read = sparse.pruned_top_k(postings, asked, 1, block_docs=16, report=True).agg(F.sum("read"), F.sum("postings")).first()
+    assert read[0] < 0.7 * read[1]
+    ties = spark.createDataFrame([("en", "a", d, 1.0) for d in range(500)], postings.schema)
+    one = spark.createDataFrame([("en", "a", 1, 1.0)], asked.schema)
+    assert [r.id for r in sparse.pruned_top_k(ties, one, 7).orderBy("rank").collect()] == list(range(7))
+    assert sparse.pruned_top_k(ties.limit(0), one, 7).count() == 0
+    assert sparse.pruned_top_k(ties, one.limit(0), 7).count() == 0
+
+
+def test_documents_found_by_words_and_by_vectors_move_up(spark, sf_dir):
+    from tessera.plans import search_queries as s
+
+    words, vectors = s._sparse_hits(spark, sf_dir, 50), s._text_hits(spark, sf_dir, 50)
+    both = words.select("query_id", "id", F.col("rank").alias("a")).join(vectors.select("query_id", "id", F.col("rank").alias("b")), ["query_id", "id"])
+    fused = retrieval.fuse(s._lists(spark, sf_dir), 50)
+    questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    shared = both.join(fused, ["query_id", "id"]).select("query_id", "a", "b", "rank").collect()
+    assert len({r.query_id for r in shared}) > questions // 2
+    # on the whole what both find stands higher than in the mean of its lists, and never behind more than both lists' better ones
+    assert sum(r.rank for r in shared) < sum((r.a + r.b) / 2 for r in shared)
+    assert all(r.rank <= r.a + r.b for r in shared)
+    first = fused.where("rank = 1").join(both, ["query_id", "id"]).count()
+    assert first > questions // 2
