@@ -83,13 +83,16 @@ def eval_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.eval_cases(spark, path).select("id", "query", "case_type", "expected_abstain")
 
 
-@register("with b as (select doc_id, lang, doc_id % 3 = 0 as again from documents) select lang, count(*) as n_current, count_if(again)::bigint as n_new, min(sha256(concat_ws('|', doc_id::varchar, case when again then '2' else '1' end))) as least_id from b group by lang")
+@register("with b as (select doc_id, lang, doc_id % 3 = 0 as again from documents where doc_id % 10 <> 4) select lang, count(*) as n_current, count_if(again)::bigint as n_new, min(sha256(concat_ws('|', doc_id::varchar, case when again then '2' else '1' end))) as least_id from b group by lang")
 def store_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store of one row a document, a third of them written again as a new version; read by its current partitions."""
+    """A store of one row a document: a third of them written again as a new version (twice, the second time without effect), a tenth
+    superseded by nothing; read by its current files."""
     path = shared_path(spark, "store")
     row = lambda version: table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(version).alias("version")).withColumn("chunk_id", versions.chunk_id("doc_id", "version"))
-    new = row(2).where("doc_id % 3 = 0")
-    versions.write_current(versions.supersede(row(1).withColumn("is_current", F.lit(True)), new.select("doc_id"), new), path)
+    first, new, gone = row(1), row(2).where("doc_id % 3 = 0"), row(3).where("doc_id % 10 = 4")
+    for number, (docs, batch) in enumerate([(first, first), (new, new), (gone, gone.limit(0))]):
+        versions.write_batch(docs, batch, path, number)
+    versions.write_batch(new, new, path, 1)
     now = versions.read_current(spark, path)
     return now.groupBy("lang").agg(F.count("*").alias("n_current"), F.count_if(F.col("version") == 2).alias("n_new"), F.min("chunk_id").alias("least_id"))
 
