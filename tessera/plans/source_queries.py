@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import word_count
 from ..operators import chunking
 from ..sources import files
-from ..streaming import events
+from ..sources.scratch import shared_path
+from ..streaming import events, upkeep
 from .catalog import register
-from .search_queries import table
+from .search_queries import _IDF_SQL, STOP, table
 
 
 def _file(df: DataFrame, path, content) -> DataFrame:
@@ -100,3 +101,20 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda b: b.select("doc_id", F.posexplode(chunking.token_windows(F.col("text"), 64)).alias("seg", "text"))
     out = events.ingest_stream(docs.select("doc_id", "text"), cut)
     return out.groupBy("doc_id").agg(F.lit(1).cast("long").alias("n_docs"), F.sum(word_count(F.col("text"))).alias("n_tokens"))
+
+
+_NOW_SQL = "now_ as (select doc_id, lang, case when doc_id % 4 = 1 then left(text, length(text) // 2) else text end as text from documents where doc_id % 9 <> 5)"
+
+
+@register(f"with {_NOW_SQL}, {_IDF_SQL.replace('from documents', 'from now_')} select lang, term, df, round(idf, 6) as idf from idf")
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come as a stream, a quarter once more with a shorter text and a ninth withdrawn; document frequencies follow batch by batch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.lit(1).alias("version"))
+    short = docs.where("doc_id % 4 = 1").withColumn("text", F.expr("left(text, length(text) div 2)")).withColumn("version", F.lit(2))
+    gone = docs.where("doc_id % 9 = 5").withColumn("text", F.lit(None).cast("string")).withColumn("version", F.lit(3))
+    arrived = shared_path(spark, "arrived")
+    path, offsets = upkeep.new_index(spark)
+    for part in (docs, short, gone):
+        part.write.mode("append").parquet(arrived)
+        upkeep.index_stream(spark.readStream.schema(docs.schema).parquet(arrived), path, offsets, STOP)
+    return upkeep.current_idf(spark, path).select("lang", "term", "df", F.round("idf", 6).alias("idf"))
