@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
@@ -177,15 +177,16 @@ tr as (select query_id, lang, text, last, first from (select item_id as query_id
 rows_ as (select query_id, pass_no, null as lang, question, 50 as k from sq union all select query_id, last + row_number() over (partition by query_id order by lang), lang, text, 25 from tr where text <> first),
 qt as (select query_id, pass_no, lang, k, unnest(list_distinct(list_transform(regexp_extract_all(question, '{TOKEN}'), lambda x: lower(x)))) as t from rows_),
 dt as (select doc_id as id, d.lang as dlang, unnest(list_distinct(list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x)))) as t from documents d),
-rare as (select t, ln(1 + (select count(*) from documents) / count(*)) as w from dt group by t),
-hit as (select query_id, pass_no, k, id, sum(w) as score from qt join dt using (t) join rare using (t) where qt.lang is null or qt.lang = dlang group by all),
+rare as (select t, ln(1 + (select count(*) from documents) / count(*)) as w, count(*) as df from dt group by t),
+ask as (select * from (select *, row_number() over (partition by query_id, pass_no order by df, t) as no from qt join rare using (t)) where no <= 8),
+hit as (select query_id, pass_no, k, id, sum(w) as score from ask join dt using (t) where ask.lang is null or ask.lang = dlang group by all),
 hr as (select *, row_number() over (partition by query_id, pass_no order by round(score, 9) desc, id) as rank from hit),
 kept as (select * from hr where rank <= k)"""
 
 
 @register(f"with {_PASS_SQL} select query_id, id as doc_id, pass_no::bigint as pass_no, rank::bigint as rank, round(score, 6) as score from (select *, row_number() over (partition by query_id, id order by pass_no, rank) as rn from kept) where rn = 1")
 def question_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits by shared words, rare ones for more, for each part of a question and each translation; the first pass that finds a document counts."""
+    """Hits by the eight rarest words of each part of a question and each translation; the first pass that finds a document counts."""
     b = table(spark, sf_dir, "benchmark")
     parts = F.when(F.col("item_id") % 3 == 0, F.filter(F.split("text", r"\. "), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
     q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), parts.alias("sub_questions"))
@@ -195,11 +196,14 @@ def question_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def search(rows: DataFrame, k: int) -> DataFrame:
         docs = table(spark, sf_dir, "documents")
         own = words(rows.withColumnRenamed("question", "text"), "list_id", F.coalesce("lang", F.lit("")).alias("lang"))
-        d = stored(words(docs, F.col("doc_id").alias("id"), F.col("lang").alias("dlang")), "words").join(own.select("t").distinct(), "t", "left_semi")
-        weight = d.groupBy("t").agg(F.log(1 + F.lit(docs.count()) / F.count("*")).alias("w"))
+        d = words(docs, F.col("doc_id").alias("id"), F.col("lang").alias("dlang"))
+        df = stored(d.join(own.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df")), "df")
+        no = F.row_number().over(Window.partitionBy("list_id").orderBy("df", "t"))
+        own = stored(own.join(df, "t").withColumn("no", no).where("no <= 8").withColumn("w", F.log(1 + F.lit(docs.count()) / F.col("df"))), "asked")
+        d = d.join(own.select("t").distinct(), "t", "left_semi")
         # a list asks all languages, under the empty name, or one
         postings = d.select(F.explode(F.array(F.lit(""), F.coalesce("dlang", F.lit("?")))).alias("lang"), F.col("t").alias("term"), "id", F.lit(1.0).alias("weight"))
-        asked = own.join(weight, "t").select("lang", F.col("t").alias("term"), F.col("list_id").alias("id"), F.col("w").alias("weight"))
+        asked = own.select("lang", F.col("t").alias("term"), F.col("list_id").alias("id"), F.col("w").alias("weight"))
         return sparse.pruned_top_k(postings, asked, k).select(F.col("query_id").alias("list_id"), "id", "rank", "score")
 
     out = retrieval.first_pass_wins(retrieval.passes(q, t, search))
