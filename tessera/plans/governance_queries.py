@@ -185,17 +185,23 @@ def rate_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.usage(table(spark, sf_dir, "events"), 10, "day").select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "used")
 
 
-@register("""with e as (select event_id, user_id % 20 as ip, ts, event_type <> 'error' and event_type <> 'view' as ok, time_bucket(interval '15 minutes', ts) as window_start from events),
+_THROTTLE_SQL = """with e as (select event_id, user_id % 20 as ip, ts, event_type <> 'error' and event_type <> 'view' as ok, time_bucket(interval '15 minutes', ts) as window_start from events),
 i as (select *, sum(ok::int) over (partition by ip, window_start order by ts, event_id rows unbounded preceding) as island, row_number() over (partition by ip, window_start order by ts, event_id) as rn from e),
 r as (select *, sum((not ok)::int) over (partition by ip, window_start, island order by ts, event_id rows unbounded preceding) as run from i),
 f as (select ip, window_start, min(rn) as full_at from r where not ok and run = 2 group by all)
-select event_id, ip, window_start, coalesce(rn > full_at, false) as blocked from r left join f using (ip, window_start)""")
+select event_id, ip, window_start, coalesce(rn > full_at, false) as blocked from r left join f using (ip, window_start)"""
+
+
+@register(_THROTTLE_SQL)
 def login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("ip"), "ts", (~F.col("event_type").isin("error", "view")).alias("ok"))
     return windows.login_throttle(e, failures=2).select("event_id", "ip", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "blocked")
 
 
-@register("select event_id as session_id, ts + interval 8 hour as expires_at, ts + interval 8 hour >= (select max(ts) - interval 12 hour from events) as live from events where event_type = 'signup'")
+_SESSION_SQL = "select event_id as session_id, ts + interval 8 hour as expires_at, ts + interval 8 hour >= (select max(ts) - interval 12 hour from events) as live from events where event_type = 'signup'"
+
+
+@register(_SESSION_SQL)
 def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     s = e.where("event_type = 'signup'").select(F.col("event_id").alias("session_id"), F.col("ts").alias("created_at"))
@@ -215,10 +221,13 @@ def cache_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.admitted(p)
 
 
-@register("""with recursive r as (select user_id as key, ts, event_id, floor(epoch(ts))::bigint as t from events),
+_HITS_SQL = """with recursive r as (select user_id as key, ts, event_id, floor(epoch(ts))::bigint as t from events),
 a as (select key, min(t) as t from r group by key union all select a.key, (select min(r.t) from r where r.key = a.key and r.t > a.t + 36000) from a where (select min(r.t) from r where r.key = a.key and r.t > a.t + 36000) is not null),
 j as (select r.*, (select max(a.t) from a where a.key = r.key and a.t <= r.t) as anchor from r)
-select key, event_id, make_timestamp(anchor * 1000000) as anchor, row_number() over (partition by key, anchor order by ts, event_id) > 1 as hit from j""")
+select key, event_id, make_timestamp(anchor * 1000000) as anchor, row_number() over (partition by key, anchor order by ts, event_id) > 1 as hit from j"""
+
+
+@register(_HITS_SQL)
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id")
     return windows.cache_hits(r, 36000).select("key", "event_id", F.col("anchor").cast("timestamp_ntz").alias("anchor"), "hit")

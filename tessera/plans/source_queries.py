@@ -9,8 +9,9 @@ from ..functions.text import word_count
 from ..operators import chunking
 from ..sources import files
 from ..sources.scratch import shared_path
-from ..streaming import events, upkeep
+from ..streaming import events, stateful, upkeep
 from .catalog import register
+from .governance_queries import _HITS_SQL, _SESSION_SQL, _THROTTLE_SQL
 from .search_queries import _IDF_SQL, STOP, table
 
 
@@ -90,8 +91,32 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("select event_id, user_id, date_trunc('hour', ts)::timestamp as window_start, n, n <= 2 as allowed from (select *, row_number() over (partition by user_id, date_trunc('hour', ts) order by ts, event_id) as n from events)")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
-    out = events.latest(events.run_once(events.rate_limit_stream(events.event_stream(spark, path), 2, events.span(spark.read.parquet(path))), "update"))
-    return out.select("event_id", "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "allowed")
+    out = events.run_once(stateful.rate_limit(events.event_stream(spark, path), 2, events.span(spark.read.parquet(path))), "update")
+    return events.settled(out, "event_id").select("event_id", F.col("owner").alias("user_id"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.col("passed").alias("allowed"))
+
+
+@register(_THROTTLE_SQL)
+def stream_login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    e = events.event_stream(spark, path).select("event_id", (F.col("user_id") % 20).alias("ip"), "ts", (~F.col("event_type").isin("error", "view")).alias("ok"))
+    out = events.run_once(stateful.login_throttle(e, 2, late=events.span(spark.read.parquet(path))), "update")
+    return events.settled(out, "event_id").select("event_id", F.col("owner").alias("ip"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), (~F.col("passed")).alias("blocked"))
+
+
+@register(_SESSION_SQL.replace("ts + interval 8 hour >= (select max(ts) - interval 12 hour", "date_trunc('millisecond', ts + interval 8 hour) >= (select date_trunc('millisecond', max(ts) - interval 12 hour)"))
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of eight hours; the watermark, twelve hours behind the newest event, ends them."""
+    e = events.event_stream(spark, f"{sf_dir}/events.parquet")
+    out = events.run_once(stateful.sessions(e, F.col("event_type") == "signup", 8, "12 hours"), "update")
+    return events.settled(out, "session_id").select("session_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), "live")
+
+
+@register(_HITS_SQL)
+def stream_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    r = events.event_stream(spark, path).select(F.col("user_id").alias("key"), "ts", "event_id")
+    out = events.run_once(stateful.cache_hits(r, 36000, events.span(spark.read.parquet(path))), "update")
+    return events.settled(out, "event_id").select("key", "event_id", F.col("anchor").cast("timestamp_ntz").alias("anchor"), "hit")
 
 
 @register("select doc_id, count(*) as n_chunks, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::bigint as n_tokens from documents group by doc_id".replace("count(*) as n_chunks", "greatest(count(*), 1) as n_docs"))

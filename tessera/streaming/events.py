@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.scratch import shared_path
 
-HOUR = 3_600_000_000  # microseconds
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def globbed(path: str) -> str:
@@ -37,53 +35,16 @@ def usage_stream(events: DataFrame, limit: int, window: str = "1 hour", late: st
     return g.select("user_id", F.col("w.start").alias("window_start"), "used")
 
 
-def rate_limit_stream(events: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
-    """(event_id, user_id, window_start, n, allowed) for update mode: the first ``limit`` events of a user in each hour pass.
+def settled(written: DataFrame, key: str) -> DataFrame:
+    """What holds in the end of all rows that ``run_once`` has written: each key's row of the last batch."""
+    rest = [c for c in written.columns if c not in (key, "batch_no", "batch")]
+    return written.groupBy(key).agg(F.max_by(F.struct(*rest), "batch_no").alias("x")).select(key, "x.*")
 
-    The order is that of (ts, event_id) and not that of arrival: an event that comes in late moves those after it, which are
-    written again. A row replaces earlier ones of its user, hour and n; ``latest`` does that for a stream that was run off.
-    Events that are ``late`` or more behind the newest are dropped by the watermark. State is the events of the
-    user's open hours; hours that the watermark has left behind are dropped when the user's timer fires, so state does not
-    grow with time.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = [(at, event, False) for at, event in zip(*state.get)] if state.exists else []
-        mark = state.getCurrentWatermarkMs() * 1000
-        out = []
-        if not state.hasTimedOut:
-            for f in frames:
-                seen += zip(map(int, f["at"]), map(int, f["event_id"]), [True] * len(f))
-            seen.sort()
-            hour = n = moved = None
-            for at, event, new in seen:
-                if at // HOUR != hour:
-                    hour, n, moved = at // HOUR, 0, False
-                n, moved = n + 1, moved or new
-                if moved:
-                    out.append((event, key[0], pd.Timestamp(hour * HOUR, unit="us"), n, n <= limit))
-        seen = [(at, event) for at, event, _ in seen if (at // HOUR + 1) * HOUR > mark]
-        if seen:
-            state.update(tuple(map(list, zip(*seen))))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (seen[0][0] // HOUR + 1) * HOUR // 1000))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "window_start", "n", "allowed"])
-
-    own = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    return own.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, window_start timestamp, n bigint, allowed boolean", "times array<bigint>, events array<bigint>", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def latest(written: DataFrame) -> DataFrame:
-    """What holds in the end of all rows that ``run_once`` has written for ``rate_limit_stream``."""
-    g = written.groupBy("user_id", "window_start", "n").agg(F.max_by(F.struct("event_id", "allowed"), "batch_no").alias("x"))
-    return g.select("x.event_id", "user_id", "window_start", "n", "x.allowed")
-
-
-def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, progress: list | None = None) -> DataFrame:
     """Work off what is there, batch by batch, and return what was written: all rows of all batches.
 
-    ``each`` goes over every batch instead of a plain write; it takes (batch, number) and the result is empty.
+    State lies in RocksDB, which the stateful rules need. ``progress`` takes what each batch reports. ``each`` goes over every batch instead of a plain write; it takes (batch, number) and the result is empty.
     """
     spark = stream.sparkSession
     out = shared_path(spark, "stream")
@@ -94,8 +55,15 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
         else:
             batch.withColumn("batch_no", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    kept = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, kept)
+    if progress is not None:
+        progress += q.recentProgress
     return spark.read.parquet(f"{out}/batch=*") if not each else spark.range(0)
 
 
