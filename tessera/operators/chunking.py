@@ -7,8 +7,10 @@ emitted it. Documents are bounded, so every window is partitioned by ``doc_id``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ TASK = (r"^\s*\d+[\.\)]\s+\S", r"^\s*\d+\.\d+[\.\)]?\s+\S", r"^\s*\([a-zA-Z]\)\s
 DATE = r"(?i)\b(?:\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}|\d{4}[.\-/]\d{2}[.\-/]\d{2}|Q[1-4]\s+\d{4}|KW\s*\d{1,2}|(?:Jan|Feb|Mar|Apr|Mai|May|Jun|Jul|Aug|Sep|Oct|Okt|Nov|Dez|Dec)\w*[\s,]+\d{4})\b"
 MILESTONE = r"(?i)\b(Milestone|Meilenstein|M\d+|Sprint\s+\d+|Phase\s+\d+|Go-?Live|Launch|Release)\b"
 NUMBERED = r"^\s*([A-Z]|\d+)(\.\d+)*\.?\s+\w"
+# Words and sentence ends as in ``word_count``; anything that is not Unicode white space is visible.
+WORD, SENTENCE_END = re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+")
+VISIBLE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Keys and fields of mails.
 MAIL_KEY = r"(?mi)^(Von|From|An|To|CC|BCC|Datum|Date|Gesendet|Sent|Betreff|Subject)\s*:"
 MAIL_FIELDS = {"from": r"(?i)(?:Von|From)\s*:\s*(.+)", "to": r"(?i)(?:An|To)\s*:\s*(.+)", "date": r"(?i)(?:Datum|Date|Gesendet|Sent)\s*:\s*(.+)", "subject": r"(?i)(?:Betreff|Subject)\s*:\s*(.+)"}
 
@@ -84,23 +90,35 @@ def context(path: Column, text: Column) -> Column:
     return F.when(F.size(path) > 0, strip(F.concat(F.array_join(path, " > "), F.lit("\n\n"), text))).otherwise(text)
 
 
+def windows_of(text: str, most: int) -> list[str]:
+    """Segments of one text, in a single walk over its lines."""
+    if sum(1 for _ in WORD.finditer(text)) <= most:
+        return [text]
+    out, held, n = [], [], 0
+    for line in text.split("\n"):
+        k = len(WORD.findall(line))
+        units = [(line, k, False)] if k <= most else [(s, len(WORD.findall(s)), i == 0) for i, s in enumerate(SENTENCE_END.split(line))]
+        for unit, k, cut in units:
+            if held and (cut or n + k > most):
+                out.append("\n".join(held))
+                held, n = [], 0
+            held.append(unit)
+            n += k
+    return [p for p in [*out, "\n".join(held)] if VISIBLE.search(p)]
+
+
 def token_windows(text: Column, most: int = MAX_TOKENS) -> Column:
     """Segments of at most ``most`` words, cut at lines, and at sentences where a line alone is longer.
 
-    A single longer sentence stays whole; blank segments are left out.
+    A single longer sentence stays whole; blank segments are left out; null gives null. Where a segment begins depends on
+    all before it, and Spark's folds copy their result at each step, so texts are walked in Arrow batches, in time that grows with their length.
     """
-    line = lambda p: F.array(F.struct(p.alias("t"), word_count(p).alias("n"), F.lit(False).alias("cut")))
-    sentences = lambda p: F.transform(F.split(p, r"(?<=[.!?])\s+"), lambda s, i: F.struct(s.alias("t"), word_count(s).alias("n"), (i == 0).alias("cut")))
-    units = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.when(word_count(p) > most, sentences(p)).otherwise(line(p))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        cut = s["cur"].isNotNull() & (x["cut"] | (s["n"] + x["n"] > most))
-        return F.when(cut, F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), x["t"].alias("cur"), x["n"].alias("n"))).otherwise(F.struct(s["done"].alias("done"), F.when(s["cur"].isNull(), x["t"]).otherwise(F.concat(s["cur"], F.lit("\n"), x["t"])).alias("cur"), (s["n"] + x["n"]).alias("n")))
-
-    parts = F.aggregate(units, start, step, lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
-    kept = F.filter(parts, lambda p: strip(p) != "")
-    return F.when(word_count(text) <= most, F.array(text)).otherwise(kept)
+
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else windows_of(t, most))
+
+    return walk(text)
 
 
 def _bullets(items: Column) -> Column:

@@ -63,16 +63,18 @@ def cache_hits(requests: DataFrame, ttl: int = CACHE_TTL) -> DataFrame:
     """Adds anchor (when the entry in force was made) and hit to (key, ts, event_id).
 
     A request hits while the entry is at most ``ttl`` seconds old; the first one after that makes it anew.
-    Requests of a key fold over their times in order.
+    A key's different seconds fold in order; what is copied on the way are its entries, one for each ``ttl`` at most.
     """
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
     own = requests.withColumn("__t", t)
     times = own.groupBy("key").agg(F.array_sort(F.collect_set("__t")).alias("ts"))
     anchors = F.aggregate("ts", F.array().cast("array<bigint>"), lambda s, x: F.when((F.size(s) > 0) & (x - F.try_element_at(s, F.lit(-1)) <= ttl), s).otherwise(F.concat(s, F.array(x))))
-    spans = times.select("key", F.posexplode(anchors).alias("i", "__a"), anchors.alias("all")).select("key", "__a", F.get("all", F.col("i") + 1).alias("__next"))
-    j = own.join(spans, "key").where((F.col("__t") >= F.col("__a")) & (F.col("__next").isNull() | (F.col("__t") < F.col("__next"))))
+    # an entry answers requests of its own ``ttl`` seconds alone, which two spans of that width hold, so requests meet one or two entries each
+    span = lambda c: F.floor(c / F.lit(ttl + 1))
+    spans = times.select("key", F.explode(anchors).alias("__a")).select("key", "__a", F.explode(F.array_distinct(F.array(span(F.col("__a")), span(F.col("__a") + ttl)))).alias("__s"))
+    j = own.withColumn("__s", span(F.col("__t"))).join(spans, ["key", "__s"]).where((F.col("__t") >= F.col("__a")) & (F.col("__t") <= F.col("__a") + ttl)).drop("__s")
     w = Window.partitionBy("key", "__a").orderBy("ts", "event_id")
-    return j.withColumn("hit", F.row_number().over(w) > 1).withColumn("anchor", F.timestamp_seconds("__a")).drop("__t", "__a", "__next")
+    return j.withColumn("hit", F.row_number().over(w) > 1).withColumn("anchor", F.timestamp_seconds("__a")).drop("__t", "__a")
 
 
 def evicted(entries: DataFrame, limit: int = CACHE_SIZE) -> DataFrame:

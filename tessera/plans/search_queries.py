@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stems import stem_vocab
 from ..functions.text import LINKERS, TOKEN, compound_parts, tokens
 from ..operators import dense, retrieval, sparse
-from ..sources.scratch import dropped, stored
+from ..sources.scratch import dropped, release, stored
 from .catalog import register
 
 #: Function words that the queries leave out.
@@ -63,8 +63,12 @@ def _sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     idf = stored(sparse.inverse_frequencies(counts, _sizes(spark, sf_dir)), "idf")
     q = _queries(spark, sf_dir).select("lang", F.col("query_id").alias("doc_id"), F.col("question").alias("text"))
     asked = sparse.weights(sparse.term_counts(q, STOP), idf)
-    hits = sparse.pruned_top_k(sparse.asked_postings(counts, idf, asked), asked, k)
+    asked = stored(asked, "questions")
+    postings = stored(sparse.asked_postings(counts, idf, asked), "postings")
     dropped(counts, idf)
+    release(spark)
+    hits = sparse.pruned_top_k(postings, asked, k)
+    dropped(postings, asked)
     return hits.select("query_id", "id", "score", "rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several steps read, and read it back, so that it is worked out once."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -37,3 +38,9 @@ def dropped(*tables: DataFrame) -> None:
         if path:
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing refers to any more, now and not at the next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()

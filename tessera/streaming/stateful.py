@@ -223,7 +223,8 @@ def login_throttle(attempts: DataFrame, failures: int = LOGIN_FAILURES, minutes:
 def sessions(events: DataFrame, began, hours: float, late: str, closed_at_expiry: bool = False) -> DataFrame:
     """(session_id, expires_at, live): sessions begin with the events for which ``began`` holds, and end a fixed time after by the
     watermark that all events move on. A session that begins twice counts from the first time."""
-    own = events.withWatermark("ts", late).where(began).select("ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("session_id"))
+    # a filter without the time of the event would move below the watermark, which all events move on
+    own = events.withWatermark("ts", late).where(F.when(F.unix_micros("ts") > NEVER, began)).select("ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("session_id"))
     return own.groupBy("session_id").transformWithStateInPandas(Sessions(int(hours * 3600), closed_at_expiry), Sessions.schema, "Update", "EventTime")
 
 

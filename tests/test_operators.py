@@ -337,3 +337,17 @@ def test_documents_found_by_words_and_by_vectors_move_up(spark, sf_dir):
     assert all(r.rank <= r.a + r.b for r in shared)
     first = fused.where("rank = 1").join(both, ["query_id", "id"]).count()
     assert first > questions // 2
+
+
+def test_token_windows_take_time_in_proportion():
+    import time
+
+    def took(lines):
+        text = "\n".join(["some words of a line"] * lines)
+        began = time.process_time()
+        out = chunking.windows_of(text, 40)
+        return time.process_time() - began, len(out)
+
+    (a, m), (b, n) = took(100_000), took(1_000_000)
+    assert (m, n) == (12_500, 125_000)
+    assert b < 30 * a
