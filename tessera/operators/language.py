@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
+PROFILE_ROWS, HELD, NONE = 2_000_000, 4_000_000, (1 << 21) - 1
 DEFAULT, REGISTRY, KNOWN, SURE = "de", ("de", "en"), ("de", "en", "fr", "es"), 0.80
 #: Instructions about the language of the answer, in the order in which they are looked for.
 INSTRUCTIONS = ((r"\banswer in english\b", "en"), (r"\banswer in german\b", "de"), (r"\bauf englisch\b", "en"), (r"\bauf deutsch\b", "de"), (r"\bin english\b", "en"), (r"\bauf deutsch antworten\b", "de"))
@@ -28,25 +33,103 @@ def gram_rows(docs: DataFrame, *keep: str, chars: int | None = None) -> DataFram
     return c.select(*keep, F.coalesce(three, "__t").alias("gram"))
 
 
+def codes(text: str) -> np.ndarray:
+    """The grams of a lower-cased text as numbers: three characters of 21 bits each, ``NONE`` where a short text has none."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        c = np.append(c, np.full(3 - len(c), NONE))
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def gram_of(code: int) -> str:
+    return "".join(chr(x) for x in (code >> 42, code >> 21 & NONE, code & NONE) if x != NONE)
+
+
+def _lowered(docs: DataFrame, keep: str, chars: int | None) -> DataFrame:
+    return docs.where("text is not null").select(keep, F.lower(F.substring("text", 1, chars) if chars else F.col("text")).alias("text"))
+
+
+def gram_counts(docs: DataFrame, keep: str = "lang", chars: int | None = None) -> DataFrame:
+    """(keep, gram, c): all grams of all texts, counted where the texts lie before they are shuffled."""
+
+    def work(batches):
+        for b in batches:
+            found: dict[object, list[np.ndarray]] = {}
+            held = 0
+
+            def out():
+                for name, parts in found.items():
+                    each, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(each), b.schema.field(0).type), pa.array(map(gram_of, each.tolist()), pa.string()), pa.array(n)], names=["k", "gram", "c"])
+
+            for name, text in zip(b.column(0).to_pylist(), b.column(1)):
+                found.setdefault(name, []).append(codes(text.as_py()))
+                held += len(found[name][-1])
+                if held > HELD:
+                    yield from out()
+                    found, held = {}, 0
+            yield from out()
+
+    kind = docs.schema[keep].dataType.simpleString()
+    return _lowered(docs, keep, chars).mapInArrow(work, f"{keep} {kind}, gram string, c bigint").groupBy(keep, "gram").agg(F.sum("c").alias("c"))
+
+
 def profiles(labelled: DataFrame, chars: int | None = None, most: int | None = None) -> DataFrame:
     """(lang, gram, logp) with add-one smoothing, and the same of unseen grams under an empty gram. All grams of a language, or its ``most`` frequent ones."""
-    c = gram_rows(labelled, "lang", chars=chars).groupBy("lang", "gram").agg(F.count("*").alias("c"))
+    c = gram_counts(labelled, chars=chars)
     n = c.groupBy("lang").agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     w = Window.partitionBy("lang").orderBy(F.col("c").desc(), "gram")
     top = (c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most) if most else c).join(F.broadcast(n), "lang")
-    seen = top.select("lang", "gram", F.log((F.col("c") + 1) / (F.col("n") + F.col("v") + 1)).alias("logp"))
+    seen = top.where("gram <> ''").select("lang", "gram", F.log((F.col("c") + 1) / (F.col("n") + F.col("v") + 1)).alias("logp"))
     return seen.union(n.select("lang", F.lit("").alias("gram"), F.log(1 / (F.col("n") + F.col("v") + 1)).alias("logp")))
 
 
-def language_scores(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id", chars: int | None = None, most: int | None = None) -> DataFrame:
+def language_scores(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id", chars: int | None = None) -> DataFrame:
     """(id, lang, score): log-likelihood of a document's grams under each language, with the limits of the profile.
 
-    A profile of ``most`` grams a language goes to all executors; one of all grams is left to Spark's size estimate.
+    A profile of at most ``PROFILE_ROWS`` rows goes to all executors as a table of numbers, and a document is scored where it lies; beyond
+    that bound grams and profile meet in a join, with the same scores. Null texts have no rows, rows of one id count together.
     """
+    profile = stored(profile, "profile")
+    if profile.count() > PROFILE_ROWS:
+        return _joined_scores(docs, profile, id_col, chars)
+    rows = profile.collect()
+    langs = sorted({r.lang for r in rows if r.lang is not None})
+    at = {x: i for i, x in enumerate(langs)}
+    rest = np.zeros(len(langs))
+    for r in rows:
+        if r.gram == "" and r.lang in at:
+            rest[at[r.lang]] = r.logp
+    known = [r for r in rows if r.gram and r.lang in at]
+    every = np.concatenate([codes(r.gram) for r in known]) if known else np.zeros(0, np.int64)
+    places, where = np.unique(every, return_inverse=True)
+    gain = np.zeros((len(places) + 1, len(langs)))  # the last row is that of grams that no language has
+    for i, r in zip(where, known):
+        gain[i, at[r.lang]] = r.logp - rest[at[r.lang]]
+    table = docs.sparkSession.sparkContext.broadcast((langs, rest, places, gain))
+
+    def work(batches):
+        langs, rest, places, gain = table.value
+        for b in batches:
+            out = np.zeros((b.num_rows, len(langs)))
+            for row, text in zip(out, b.column(1)):
+                each, n = np.unique(codes(text.as_py()), return_counts=True)
+                i = np.searchsorted(places, each)
+                i[i == len(places)] = 0
+                hit = places[i] == each if len(places) else np.zeros(len(each), bool)
+                row += n.sum() * rest + n[hit] @ gain[i[hit]]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), len(langs))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(langs * b.num_rows, pa.string()), pa.array(out.reshape(-1))], names=["id", "lang", "score"])
+
+    own = _lowered(docs.select(F.col(id_col).alias("id"), "text"), "id", chars)
+    kind = own.schema["id"].dataType.simpleString()
+    return own.mapInArrow(work, f"id {kind}, lang string, score double").groupBy("id", "lang").agg(F.sum("score").alias("score"))
+
+
+def _joined_scores(docs: DataFrame, profile: DataFrame, id_col: str, chars: int | None) -> DataFrame:
     c = gram_rows(docs.select(F.col(id_col).alias("id"), "text"), "id", chars=chars).groupBy("id", "gram").agg(F.count("*").alias("c"))
     base = F.broadcast(profile.where("gram = ''").select("lang", F.col("logp").alias("rest")))
     seen = profile.where("gram <> ''").join(base, "lang").select("lang", "gram", (F.col("logp") - F.col("rest")).alias("gain"))
-    seen = F.broadcast(seen) if most else seen
     total = c.groupBy("id").agg(F.sum("c").alias("n")).crossJoin(base)
     gain = c.join(seen, "gram").groupBy("id", "lang").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
     return total.join(gain, ["id", "lang"], "left").select("id", "lang", (F.col("n") * F.col("rest") + F.coalesce("gain", F.lit(0.0))).alias("score"))

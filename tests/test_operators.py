@@ -351,3 +351,14 @@ def test_token_windows_take_time_in_proportion():
     (a, m), (b, n) = took(100_000), took(1_000_000)
     assert (m, n) == (12_500, 125_000)
     assert b < 30 * a
+
+
+def test_language_scores_by_table_and_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "de", "der hund und die katze"), (2, "en", "the dog and the cat"), (3, None, "and the dog 𝄞x"), (4, "en", "ab"), (5, "de", ""), (6, "de", None), (1, "de", "noch ein hund")], "doc_id long, lang string, text string")
+    profile = language.profiles(docs.where("lang is not null"))
+    cell = lambda r: (r.id, r.lang, round(r.score, 9))
+    own = sorted(map(cell, language.language_scores(docs, profile).collect()))
+    monkeypatch.setattr(language, "PROFILE_ROWS", 1)
+    assert own == sorted(map(cell, language.language_scores(docs, profile).collect()))
+    assert {r[0] for r in own} == {1, 2, 3, 4, 5}
+    assert profile.where("gram = ''").count() == 2
