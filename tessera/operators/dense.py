@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
@@ -17,16 +17,6 @@ QUERY_BLOCK, PLACES = 4096, 500_000
 QUERY_PREFIX = "Instruct: find the passage that answers the question\nQuery: "
 
 
-def dot(a: str, b: str) -> Column:
-    """Inner product in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def normalised(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
 def hash_embeddings(texts: DataFrame, dim: int = 64, prefix: str = "", id_col: str = "doc_id") -> DataFrame:
     """(id, embedding array<double>): signed feature hashing of all tokens, of length 1.
 
@@ -67,44 +57,53 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _block_hits(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    """(query_id, id, score): the k best of each task for each query of a block, by products of matrices."""
-    kept = vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in block]), np.array([r.q for r in block], float)))
+    """(query_id, id, score): the k best of each task for each query of a block, by products of matrices. Where ``vectors`` have a
+    label, each query's list (null: all, else what it holds) masks the products before the ranking."""
+    masked = "label" in vectors.columns
+    lists = [None if not masked or r.acl is None else frozenset(r.acl) for r in block]
+    kept = vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in block]), np.array([r.q for r in block], float), lists))
 
     def work(batches):
-        names, q = kept.value
+        names, q, lists = kept.value
         top = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            if masked:
+                labels = b.column(2).to_pylist()
+                each = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+                may = np.array([[own is None or (x is not None and x in own) for x in each] for own in lists])[:, [each[x] for x in labels]]
             for i, s in enumerate(q @ x.T):
-                s, n = np.concatenate([top[i][0], s]), np.concatenate([top[i][1], ids])
+                here = ids
+                if masked:
+                    s, here = s[may[i]], ids[may[i]]
+                s, n = np.concatenate([top[i][0], s]), np.concatenate([top[i][1], here])
                 at = best(s, n, k)
                 top[i] = s[at], n[at]
         n = [len(s) for s, _ in top]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.concatenate([x for _, x in top])), pa.array(np.concatenate([s for s, _ in top]))], names=["query_id", "id", "score"])
 
-    return vectors.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(work, "query_id bigint, id bigint, score double")
+    return vectors.select(F.col("id").cast("long").alias("id"), "v", *(["label"] if masked else [])).mapInArrow(work, "query_id bigint, id bigint, score double")
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k nearest by cosine of unit vectors; ties go to the smaller id.
 
-    ``vectors`` (id, v, ...), ``queries`` (query_id, q, ...); null vectors have no place in either. Queries go to all executors
+    ``vectors`` (id, v), ``queries`` (query_id, q); null vectors have no place in either. Queries go to all executors
     in blocks of ``QUERY_BLOCK``, of which each meets all vectors in one pass, and each task keeps its own k best.
-    ``allowed`` is a predicate over both sides that goes before the ranking; with it queries and vectors meet in a
-    nested-loop join, of which each task keeps its own k best.
+    With a column ``label`` in ``vectors`` and an array ``acl`` in ``queries`` a query sees the labels of its list alone: a null list
+    does not restrict, an empty one allows nothing, and a null label is in no list.
     """
-    if allowed is None:
-        queries = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), "q")
-        n = max(1, -(-queries.count() // QUERY_BLOCK))
-        scored = None
-        for i in range(n):
-            block = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).collect()
-            hits = _block_hits(vectors.where("v is not null"), block, k) if block else vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
-            scored = hits if scored is None else scored.union(hits)
-    else:
-        scored = vectors.join(queries, allowed).select("query_id", "id", dot("v", "q").alias("score"))
+    masked = "acl" in queries.columns
+    queries = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), "q", *(["acl"] if masked else []))
+    vectors = vectors.where("v is not null").select("id", "v", *(["label"] if masked else []))
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    scored = None
+    for i in range(n):
+        block = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).collect()
+        hits = _block_hits(vectors, block, k) if block else vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
+        scored = hits if scored is None else scored.union(hits)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -362,3 +362,14 @@ def test_language_scores_by_table_and_by_join(spark, monkeypatch):
     assert own == sorted(map(cell, language.language_scores(docs, profile).collect()))
     assert {r[0] for r in own} == {1, 2, 3, 4, 5}
     assert profile.where("gram = ''").count() == 2
+
+
+def test_dense_lists_mask_labels(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0], None if i == 9 else i % 3) for i in range(10)], "id long, v array<double>, label int")
+    q = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [1.0, 0.0], []), (3, [1.0, 0.0], [0, 2]), (4, None, [0])], "query_id long, q array<double>, acl array<int>")
+    hits = dense.dense_top_k(v, q, 4)
+    assert "NestedLoop" not in hits._jdf.queryExecution().toString()
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {1: [9, 8, 7, 6], 3: [8, 6, 5, 3]}
