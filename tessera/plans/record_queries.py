@@ -83,20 +83,31 @@ def eval_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.eval_cases(spark, path).select("id", "query", "case_type", "expected_abstain")
 
 
-@register("with b as (select doc_id, lang, doc_id % 3 = 0 as again from documents where doc_id % 10 <> 4) select lang, count(*) as n_current, count_if(again)::bigint as n_new, min(sha256(concat_ws('|', doc_id::varchar, case when again then '2' else '1' end))) as least_id from b group by lang")
-def store_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _store(spark: SparkSession, sf_dir: str) -> str:
     """A store of one row a document: a third of them written again as a new version (twice, the second time without effect), a tenth
-    superseded by nothing; read by its current files."""
+    superseded by nothing."""
     path = shared_path(spark, "store")
     row = lambda version: table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(version).alias("version")).withColumn("chunk_id", versions.chunk_id("doc_id", "version"))
     first, new, gone = row(1), row(2).where("doc_id % 3 = 0"), row(3).where("doc_id % 10 = 4")
     for number, (docs, batch) in enumerate([(first, first), (new, new), (gone, gone.limit(0))]):
         versions.write_batch(docs, batch, path, number)
     versions.write_batch(new, new, path, 1)
-    now = versions.read_current(spark, path)
+    return path
+
+
+@register("with b as (select doc_id, lang, doc_id % 3 = 0 as again from documents where doc_id % 10 <> 4) select lang, count(*) as n_current, count_if(again)::bigint as n_new, min(sha256(concat_ws('|', doc_id::varchar, case when again then '2' else '1' end))) as least_id from b group by lang")
+def store_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store read by its current files alone."""
+    now = versions.read_current(spark, _store(spark, sf_dir))
     return now.groupBy("lang").agg(F.count("*").alias("n_current"), F.count_if(F.col("version") == 2).alias("n_new"), F.min("chunk_id").alias("least_id"))
 
 
+@register("with v as (select doc_id, lang, unnest(case when doc_id % 3 = 0 then [1, 2] else [1] end) as version from documents) select doc_id, lang, version, sha256(concat_ws('|', doc_id::varchar, version::varchar)) as chunk_id, doc_id % 10 <> 4 and version = case when doc_id % 3 = 0 then 2 else 1 end as is_current from v")
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the same store, old ones too."""
+    return versions.read_all(spark, _store(spark, sf_dir))
+
+
 @register("select c_custkey, case when c_custkey % 2 = 0 then 'old' else 'seed' end as origin from customer")
 def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey")
