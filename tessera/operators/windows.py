@@ -47,9 +47,11 @@ def live_sessions(sessions: DataFrame, as_of: Column, hours: float, closed_at_ex
 
 
 def request_key(question: str, conversation: str, user: str, languages: str, types: str) -> Column:
-    """Fingerprint of a request: case and outer blanks of the question, the order of lists and null against empty lists do not matter."""
-    lists = [F.array_join(F.array_sort(F.coalesce(F.col(c), F.array().cast("array<string>"))), ",") for c in (languages, types)]
-    return F.sha2(F.concat_ws("|", F.lower(F.trim(question)), F.col(conversation).cast("string"), F.col(user).cast("string"), *lists), 256)
+    """Fingerprint of a request: case and outer blanks of the question, the order of lists and null against empty
+    lists do not matter. Parts are told apart as JSON, so no text can stand for several of them."""
+    lists = [F.array_sort(F.coalesce(F.col(c), F.array().cast("array<string>"))).alias(x) for c, x in ((languages, "l"), (types, "t"))]
+    parts = F.struct(F.lower(F.trim(question)).alias("q"), F.col(conversation).cast("string").alias("c"), F.col(user).cast("string").alias("u"), *lists)
+    return F.sha2(F.to_json(parts), 256)
 
 
 def admitted(puts: DataFrame, least: float = CACHE_CONFIDENCE) -> DataFrame:

@@ -209,7 +209,7 @@ def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.live_sessions(s.crossJoin(F.broadcast(now)), F.col("as_of"), 8).select("session_id", "expires_at", "live")
 
 
-@register("with k as (select sha256(lower(trim(text)) || '|' || (conv_id % 3)::varchar || '|' || (conv_id % 5)::varchar || '|' || case when turn % 2 = 0 then 'de,en' else '' end || '|') as key from conversations where role = 'user') select key, count(*) as n from k group by key")
+@register("with k as (select sha256(to_json(struct_pack(q := lower(trim(text)), c := (conv_id % 3)::varchar, u := (conv_id % 5)::varchar, l := case when turn % 2 = 0 then ['de', 'en'] else [] end, t := []::varchar[]))::varchar) as key from conversations where role = 'user') select key, count(*) as n from k group by key")
 def request_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").where("role = 'user'").select("text", (F.col("conv_id") % 3).alias("c"), (F.col("conv_id") % 5).alias("u"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("en"), F.lit("de"))).alias("l"), F.lit(None).cast("array<string>").alias("t"))
     return t.select(windows.request_key("text", "c", "u", "l", "t").alias("key")).groupBy("key").agg(F.count("*").alias("n"))

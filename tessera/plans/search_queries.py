@@ -273,13 +273,16 @@ def route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQUEEZE = "regexp_replace(lower({0}), '\\s+', '', 'g')"
-_CLAIMS_SQL = _RERANK_SQL + f", cl as (select item_id as query_id, (item_id % 7) as source, text as quote from benchmark), vc as (select cl.*, coalesce(contains({_SQUEEZE.format('top.text')}, {_SQUEEZE.format('quote')}), false) as verified, id from cl left join top on top.query_id = cl.query_id and top.rank = source)"
+_CLAIMS_SQL = _RERANK_SQL + f", cl as (select item_id as query_id, item_id % 5 + 1 as source, coalesce(case when item_id % 2 = 0 then substr(top.text, 11, 40) end, b.text) as quote from benchmark b left join top on top.query_id = item_id and top.rank = item_id % 5 + 1), vc as (select cl.*, coalesce(contains({_SQUEEZE.format('top.text')}, {_SQUEEZE.format('quote')}), false) as verified, id from cl left join top on top.query_id = cl.query_id and top.rank = source)"
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     hits = stored(retrieval.rerank(_pool(spark, sf_dir)), "hits").join(docs, "id")
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("source"), F.col("text").alias("quote"))
+    # half of the questions quote the source that they cite, the others themselves
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5 + 1).alias("source"), F.col("text").alias("own"))
+    cited = hits.select("query_id", F.col("rank").alias("source"), F.when(F.col("query_id") % 2 == 0, F.substring("text", 11, 40)).alias("said"))
+    claims = b.join(cited, ["query_id", "source"], "left").select("query_id", "source", F.coalesce("said", "own").alias("quote"))
     return claims, hits
 
 

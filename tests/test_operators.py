@@ -373,3 +373,10 @@ def test_dense_lists_mask_labels(spark):
     for r in hits.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {1: [9, 8, 7, 6], 3: [8, 6, 5, 3]}
+
+
+def test_request_keys_tell_parts_apart(spark):
+    rows = [("a|1", "2", "u", None, None), ("a", "1|2", "u", None, None), (" A ", "1|2", "u", [], []), ("a", None, "u", None, None), ("a", "1|2", "u", ["de,en"], None), ("a", "1|2", "u", ["en", "de"], None), ("a", "1|2", "u", ["de", "en"], None), ('a","c":"', "2", "u", None, None)]
+    keys = [r.k for r in spark.createDataFrame(rows, "q string, c string, u string, l array<string>, t array<string>").select(windows.request_key("q", "c", "u", "l", "t").alias("k")).collect()]
+    assert keys[1] == keys[2] and keys[5] == keys[6]
+    assert len(set(keys)) == 6
