@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import compound_parts, tokens
 from ..operators import sparse, versions
-from ..sources.scratch import dropped, shared_path, stored
+from ..sources.scratch import dropped, release, shared_path, stored
 
 FOLD_EVERY = 16
 DELTA = "lang string, term string, change bigint"
@@ -27,10 +28,20 @@ def _changes(docs: DataFrame, sign: int) -> DataFrame:
 
 
 def document_terms(docs: DataFrame, stop: dict[str, Sequence[str]], stems=None) -> DataFrame:
-    """(doc_id, lang, terms): the different terms of each document of a registered language; documents without a term too."""
-    known = docs.where(F.col("lang").isin("de", "en")).select("doc_id", "lang")
-    t = sparse.term_counts(docs, stop, stems).groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    return known.join(t, "doc_id", "left")
+    """(doc_id, lang, terms): the different terms of each document of a registered language; documents without a term too.
+
+    Without stems each row is worked out where it lies; stems are worked out over a vocabulary, so their terms are shuffled.
+    """
+    known = docs.where(F.col("lang").isin("de", "en"))
+    if stems is not None:
+        t = sparse.term_counts(docs, stop, stems).groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        return known.select("doc_id", "lang").join(t, "doc_id", "left")
+    out = lambda lang: F.array(*map(F.lit, stop.get(lang, ()))).cast("array<string>")
+    words = F.array_distinct(tokens(F.col("text")))
+    english = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(out("en"), w))
+    parts = F.flatten(F.transform(F.filter(words, lambda w: ~F.array_contains(out("de"), w)), compound_parts))
+    german = F.array_distinct(F.filter(parts, lambda w: (F.length(w) >= 2) & ~F.array_contains(out("de"), w)))
+    return known.select("doc_id", "lang", F.when(F.col("lang") == "de", german).otherwise(english).alias("terms"))
 
 
 def newest(batch: DataFrame, version: str = "version") -> DataFrame:
@@ -46,8 +57,10 @@ def apply_batch(batch: DataFrame, path: str, number: int, stop: dict[str, Sequen
     withdraws a document. Every ``FOLD_EVERY`` batches the changes so far are folded into one table.
     """
     spark = batch.sparkSession
-    one = stored(newest(batch), "batch")
+    texts = one = stored(newest(batch), "batch")
     new = stored(document_terms(one.where("text is not null"), stop, stems), "terms")
+    one = one.select("doc_id")
+    release(spark)
 
     def before(old: DataFrame, state: dict) -> None:
         moved = _changes(new, 1).union(_changes(old, -1)).groupBy("lang", "term").agg(F.sum("change").alias("change")).where("change <> 0")
@@ -59,8 +72,8 @@ def apply_batch(batch: DataFrame, path: str, number: int, stop: dict[str, Sequen
             files = [fold]
         state["changes"] = files
 
-    state = versions.write_batch(one.select("doc_id"), new, path, number, source, before_commit=before)
-    dropped(one, new)
+    state = versions.write_batch(one, new, path, number, source, before_commit=before)
+    dropped(texts, new)
     return state
 
 
