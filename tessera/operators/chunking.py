@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_match, strip, word_count
@@ -300,9 +300,23 @@ def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return lines.unionByName(tables.where("text <> ''"))
 
 
-def quality_gate(chunks: DataFrame) -> DataFrame:
-    """Leaves with ten characters of text and a context that is not blank."""
-    return chunks.where("is_leaf").where((F.length(strip(F.col("text"))) >= 10) & (strip(F.col("context_text")) != ""))
+def passes_gate() -> Column:
+    """Ten characters of text and a context that is not blank; nulls do not pass."""
+    return F.coalesce((F.length(strip(F.col("text"))) >= 10) & (strip(F.col("context_text")) != ""), F.lit(False))
+
+
+def quality_gate(chunks: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """Leaves that pass the gate. ``counts`` is told how many were kept and dropped by the job that reads the result, so
+    that no second scan counts them."""
+    leaves = chunks.where("is_leaf").withColumn("__pass", passes_gate())
+    if counts is not None:
+        leaves = leaves.observe(counts, F.count_if("__pass").alias("kept"), F.count_if(~F.col("__pass")).alias("dropped"))
+    return leaves.where("__pass").drop("__pass")
+
+
+def gate_counts(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, kept, dropped): what the gate does to the leaves of each document, in one pass."""
+    return chunks.where("is_leaf").groupBy(key).agg(F.count_if(passes_gate()).alias("kept"), F.count_if(~passes_gate()).alias("dropped"))
 
 
 def stamped(chunks: DataFrame, doc_type: Column, doc_type_id: Column, strategy: Column, departments: Column, structural: Column) -> DataFrame:

@@ -194,9 +194,12 @@ def thread_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAVES = f"{_PAGES}, lv as (select doc_id, page, text from pages_ where length(trim(text)) >= 10)"
 
 
+def _page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("doc_id", "page", "text", F.lit(True).alias("is_leaf"), F.col("text").alias("context_text"))
+
+
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pages(spark, sf_dir).select("doc_id", "page", "text", F.lit(True).alias("is_leaf"), F.col("text").alias("context_text"))
-    return chunking.quality_gate(p)
+    return chunking.quality_gate(_page_chunks(spark, sf_dir))
 
 
 @register(f"with {_LEAVES} select doc_id, page, sha256(text) as text_hash from lv")

@@ -10,7 +10,7 @@ from ..operators import chunking, governance, quality, retrieval, sparse, versio
 from ..sources import files
 from ..sources.scratch import shared_path, stored
 from .catalog import register
-from .ingest_queries import _LEAVES, _TYPES, _leaves, _typed
+from .ingest_queries import _LEAVES, _TYPES, _page_chunks, _typed
 from .search_queries import table
 from .source_queries import _file
 
@@ -164,10 +164,7 @@ def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"with {_LEAVES.split(', lv as')[0]} select doc_id, count_if(length(trim(text)) >= 10)::bigint as kept, count_if(length(trim(text)) < 10)::bigint as dropped from pages_ group by doc_id")
 def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the quality gate keeps and drops of each document."""
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    kept = _leaves(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("kept"))
-    n = pages.groupBy("doc_id").agg(F.count("*").alias("n")).join(kept, "doc_id", "left")
-    return n.select("doc_id", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    return chunking.gate_counts(_page_chunks(spark, sf_dir))
 
 
 @register("select event_id, round(1 / (1 + exp(coalesce(value, 0) / 50 - 1)), 6) as p from events")

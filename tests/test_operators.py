@@ -380,3 +380,15 @@ def test_request_keys_tell_parts_apart(spark):
     keys = [r.k for r in spark.createDataFrame(rows, "q string, c string, u string, l array<string>, t array<string>").select(windows.request_key("q", "c", "u", "l", "t").alias("k")).collect()]
     assert keys[1] == keys[2] and keys[5] == keys[6]
     assert len(set(keys)) == 6
+
+
+def test_gate_is_counted_by_the_job_that_reads_it(spark):
+    from pyspark.sql import Observation
+
+    rows = [(1, "ten letters", "c", True), (1, "short", "c", True), (2, "ten letters", "  ", True), (2, None, None, True), (2, "ten letters", "c", False)]
+    chunks = spark.createDataFrame(rows, "doc_id int, text string, context_text string, is_leaf boolean")
+    seen = Observation("gate")
+    kept = chunking.quality_gate(chunks, seen)
+    assert kept.columns == chunks.columns and kept.count() == 1
+    assert seen.get == {"kept": 1, "dropped": 3}
+    assert sorted(map(tuple, chunking.gate_counts(chunks).collect())) == [(1, 1, 1), (2, 0, 2)]
