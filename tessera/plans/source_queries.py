@@ -60,6 +60,41 @@ def raw_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.exploded(d, "pages").select("doc_id", F.col("position").cast("long").alias("position"), F.col("number").cast("long").alias("number"), F.sha2("text", 256).alias("text_hash"))
 
 
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted content as JSON lines, written and read again: tables of parts, mails and sections of conversations; every fifth has none."""
+    path = shared_path(spark, "extracted")
+    c = table(spark, sf_dir, "conversations")
+    mail = F.struct(F.col("role").alias("from"), F.lit("all").alias("to"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("subject"), F.lit("2024-01-01").alias("date"), F.col("text").alias("body"))
+    section = F.struct((F.col("turn") % 3 + 1).cast("int").alias("level"), F.col("text").alias("text"), F.col("turn").cast("int").alias("position"))
+    grid = F.array(F.array("role", F.col("turn").cast("string")), F.array(F.lit(""), F.lit("")), F.array("text", F.lit("end")))
+    block = F.struct(F.size(grid).alias("rows"), F.lit(2).alias("cols"), grid.alias("data"))
+    in_order = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("turn", x.alias("x")))), lambda r: r["x"])
+    g = c.groupBy(F.col("conv_id").alias("doc_id")).agg(*(in_order(x).alias(n) for n, x in (("tables", block), ("emails", mail), ("sections", section))))
+    g.select(F.to_json(F.struct("doc_id", *(F.when(F.col("doc_id") % 5 != 0, F.col(n)).alias(n) for n in ("tables", "emails", "sections")))).alias("value")).write.text(path)
+    return files.extracted(spark, path)
+
+
+_ITEMS_SQL = "with t as (select *, row_number() over (partition by conv_id order by turn) - 1 as position from conversations where conv_id % 5 <> 0), none_ as (select distinct conv_id as doc_id from conversations where conv_id % 5 = 0) "
+
+
+@register(_ITEMS_SQL + "select conv_id as doc_id, position, 3 as n_rows, 2 as n_cols, sha256('--- Table ---' || chr(10) || role || ' | ' || turn::varchar || chr(10) || text || ' | end') as text_hash from t union all select doc_id, null, null, null, null from none_")
+def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = files.exploded(_extracted(spark, sf_dir), "tables")
+    return t.select("doc_id", F.col("position").cast("long").alias("position"), F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"), F.when(F.col("data").isNotNull(), F.sha2(files.table_text("data"), 256)).alias("text_hash"))
+
+
+@register(_ITEMS_SQL + "select conv_id as doc_id, position, role as sender, 'turn ' || turn::varchar as subject, sha256(text) as body_hash from t union all select doc_id, null, null, null, null from none_")
+def raw_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = files.exploded(_extracted(spark, sf_dir), "emails")
+    return e.select("doc_id", F.col("position").cast("long").alias("position"), F.col("from").alias("sender"), "subject", F.sha2("body", 256).alias("body_hash"))
+
+
+@register(_ITEMS_SQL + "select conv_id as doc_id, position, (turn % 3 + 1)::int as level, sha256(text) as text_hash from t union all select doc_id, null, null, null from none_")
+def raw_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _extracted(spark, sf_dir).select("doc_id", F.transform("sections", lambda r: F.struct(r["level"].alias("level"), r["text"].alias("text"))).alias("sections"))
+    return files.exploded(x, "sections").select("doc_id", F.col("position").cast("long").alias("position"), "level", F.sha2("text", 256).alias("text_hash"))
+
+
 @register("select doc_id, sha256(string_agg('--- Page ' || i || ' ---' || chr(10) || t, chr(10) order by i)) as text_hash from (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as t from (select doc_id, string_split(text, chr(10)) as l from documents)) group by doc_id")
 def paged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("number"), t.alias("text"))).alias("pages"))

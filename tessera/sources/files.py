@@ -192,6 +192,24 @@ def paged_text(pages: str, word: str = "Page") -> Column:
     return F.array_join(F.transform(F.array_sort(pages), lambda p: F.concat(F.lit(f"--- {word} "), p["number"].cast("string"), F.lit(" ---\n"), p["text"])), "\n")
 
 
+#: Parts of extracted content, as decoders hand them over.
+PARTS = {
+    "pages": "array<struct<number:int,text:string,tables:array<array<array<string>>>,width:double,height:double>>",
+    "tables": "array<struct<rows:int,cols:int,data:array<array<string>>>>",
+    "emails": "array<struct<from:string,to:string,subject:string,date:string,body:string>>",
+    "sections": "array<struct<level:int,text:string,position:int>>",
+}
+
+
+def extracted(spark: SparkSession, path: str) -> DataFrame:
+    """Extracted content from JSON lines: doc_id and the parts of ``PARTS``, null where a decoder found none; a line that is no
+    JSON keeps its row, with the line in ``fault``."""
+    schema = "doc_id bigint, " + ", ".join(f"{k} {v}" for k, v in PARTS.items())
+    rows = spark.read.text(path).select("value", F.from_json("value", schema).alias("r"))
+    # a line that cannot be read gives a struct of nulls
+    return rows.select("r.*", F.when(F.col("r.doc_id").isNull(), F.col("value")).alias("fault"))
+
+
 def exploded(raw: DataFrame, part: str) -> DataFrame:
     """One row for each page, table, email or section of extracted content; documents without any keep a row."""
     return raw.select("doc_id", F.posexplode_outer(part).alias("position", "item")).select("doc_id", "position", "item.*")

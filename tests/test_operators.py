@@ -392,3 +392,13 @@ def test_gate_is_counted_by_the_job_that_reads_it(spark):
     assert kept.columns == chunks.columns and kept.count() == 1
     assert seen.get == {"kept": 1, "dropped": 3}
     assert sorted(map(tuple, chunking.gate_counts(chunks).collect())) == [(1, 1, 1), (2, 0, 2)]
+
+
+def test_extracted_content_keeps_every_line(spark, tmp_path):
+    lines = ['{"doc_id": 1, "tables": [{"rows": 1, "cols": 2, "data": [["a", "b"]]}], "sections": []}', '{"doc_id": 2}', "no json", '{"doc_id": 3, "emails": [{"from": "x", "body": "hi"}, {"from": "y"}]}']
+    (tmp_path / "x.json").write_text("\n".join(lines))
+    raw = files.extracted(spark, f"file://{tmp_path}/x.json")
+    assert [r.fault for r in raw.where("doc_id is null").collect()] == ["no json"]
+    assert sorted((r.doc_id, r.position, r.data) for r in files.exploded(raw.where("doc_id is not null"), "tables").collect()) == [(1, 0, [["a", "b"]]), (2, None, None), (3, None, None)]
+    mails = files.exploded(raw.where("doc_id = 3"), "emails").orderBy("position").collect()
+    assert [(r["from"], r.body, r.to) for r in mails] == [("x", "hi", None), ("y", None, None)]
