@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import dropped, stored
 
 PROFILE_ROWS, HELD, NONE = 2_000_000, 4_000_000, (1 << 21) - 1
 DEFAULT, REGISTRY, KNOWN, SURE = "de", ("de", "en"), ("de", "en", "fr", "es"), 0.80
@@ -94,6 +94,7 @@ def language_scores(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id",
     if profile.count() > PROFILE_ROWS:
         return _joined_scores(docs, profile, id_col, chars)
     rows = profile.collect()
+    dropped(profile)
     langs = sorted({r.lang for r in rows if r.lang is not None})
     at = {x: i for i, x in enumerate(langs)}
     rest = np.zeros(len(langs))
