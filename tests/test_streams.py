@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,52 @@ def test_state_stays_small_and_results_right(spark):
     live = windows.live_sessions(own, F.lit(mark), 2)
     assert cells(got["sessions"].select("session_id", "live")) == cells(live.select("session_id", "live"))
     assert live.where("live").count() > 0
+
+
+class Calls:
+    """A handle that keeps lists in memory and counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.rows = 0, []
+
+    def getListState(self, *_):
+        return self
+
+    def exists(self):
+        self.n += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.n += 1
+        return iter(self.rows)
+
+    def appendList(self, x):
+        self.n += 1
+        self.rows = self.rows + x
+
+    def put(self, x):
+        self.n += 1
+        self.rows = x
+
+    def registerTimer(self, _):
+        self.n += 1
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_calls_to_the_state_do_not_grow_with_windows_or_sessions():
+    """Events of many owners, windows and sessions, one owner unknown, come as one group, with a few calls."""
+    n, hour = 500, 3600 * 10**6
+    at = [i * hour // 2 for i in range(n)]
+    limit, calls = stateful.RateLimit(1), Calls()
+    limit.init(calls)
+    owner = [i // 2 % 7 for i in range(n)]
+    f = pd.DataFrame({"at": at, "event_id": range(n), "ok": True, "owner": owner, "known": [o > 0 for o in owner], "start": [x - x % hour for x in at]})
+    got = next(limit.handleInputRows((0,), iter([f]), calls))
+    assert calls.n <= 4 and list(got.sort_values("event_id")["n"]) == [1, 2] * (n // 2)
+    assert set(got[got["owner"].isna()]["event_id"]) == {i for i in range(n) if owner[i] == 0}
+    own, calls = stateful.Sessions(3600, False), Calls()
+    own.init(calls)
+    f = pd.DataFrame({"at": at, "session_id": range(n), "known": True})
+    assert len(next(own.handleInputRows((0,), iter([f]), calls))) == n and calls.n <= 4
