@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stems import stem_vocab
+from ..functions.stems import stem
 from ..functions.text import LINKERS, TOKEN, compound_parts, tokens
 from ..operators import dense, retrieval, sparse
-from ..sources.scratch import dropped, release, stored
+from ..sources.scratch import dropped, stored
 from .catalog import register
 
 #: Function words that the queries leave out.
@@ -58,17 +58,17 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.lit("en").alias("lang"), F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def _idf(spark: SparkSession, sf_dir: str, docs: DataFrame, stop=STOP, stem=None) -> DataFrame:
+    return stored(sparse.idf_of(stored(sparse.term_frequencies(docs, stop, stem), "frequencies"), _sizes(spark, sf_dir)), "idf")
+
+
 def _sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    counts = _counts(spark, sf_dir)
-    idf = stored(sparse.inverse_frequencies(counts, _sizes(spark, sf_dir)), "idf")
+    docs = sparse.whole_documents(table(spark, sf_dir, "documents"))
+    idf = _idf(spark, sf_dir, docs)
     q = _queries(spark, sf_dir).select("lang", F.col("query_id").alias("doc_id"), F.col("question").alias("text"))
-    asked = sparse.weights(sparse.term_counts(q, STOP), idf)
-    asked = stored(asked, "questions")
-    postings = stored(sparse.asked_postings(counts, idf, asked), "postings")
-    dropped(counts, idf)
-    release(spark)
-    hits = sparse.pruned_top_k(postings, asked, k)
-    dropped(postings, asked)
+    asked = stored(sparse.weights(sparse.term_counts(q, STOP), idf), "questions")
+    hits = sparse.scanned_top_k(docs, STOP, idf, asked, k)
+    dropped(asked, idf)
     return hits.select("query_id", "id", "score", "rank")
 
 
@@ -137,8 +137,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms with stems and Spark's full lists of stop words, and what they weigh; held against a plain version in the tests."""
     stop = {"de": sparse.default_stop_words(spark, "german"), "en": sparse.default_stop_words(spark, "english")}
-    counts = stored(sparse.term_counts(table(spark, sf_dir, "documents"), stop, stem_vocab), "stems")
-    idf = sparse.inverse_frequencies(counts, _sizes(spark, sf_dir))
+    idf = _idf(spark, sf_dir, sparse.whole_documents(table(spark, sf_dir, "documents")), stop, stem)
     return idf.select("lang", "term", "df", F.round("idf", 6).alias("idf"))
 
 

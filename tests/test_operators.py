@@ -402,3 +402,25 @@ def test_extracted_content_keeps_every_line(spark, tmp_path):
     assert sorted((r.doc_id, r.position, r.data) for r in files.exploded(raw.where("doc_id is not null"), "tables").collect()) == [(1, 0, [["a", "b"]]), (2, None, None), (3, None, None)]
     mails = files.exploded(raw.where("doc_id = 3"), "emails").orderBy("position").collect()
     assert [(r["from"], r.body, r.to) for r in mails] == [("x", "hi", None), ("y", None, None)]
+
+
+def test_search_that_scans_texts_equals_postings(spark):
+    """Frequencies and hits read off the texts equal those of postings, also for a document in two rows, odd letters, null texts and two languages."""
+    random.seed(11)
+    words = ["Hauptbahnhof", "Lebensversicherung", "der", "zwei-fach", "the", "a", "Running", "runs", "İx", "K9", "größe", "x1"] + [f"w{i}" for i in range(25)]
+    docs = [(i, random.choice(["de", "en", "fr"]), " ".join(random.choices(words, k=random.randrange(40)))) for i in range(120)]
+    docs += [(3, docs[3][1], "the Hauptbahnhof w1 runs"), (200, "de", None), (201, "en", "")]
+    d = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    q = spark.createDataFrame([(i, random.choice(["de", "en"]), " ".join(random.choices(words, k=6))) for i in range(15)], "doc_id long, lang string, text string")
+    stop, sizes = {"de": ["der"], "en": ["the"]}, d.groupBy("lang").agg(F.count("*").alias("n"))
+    whole, counts = sparse.whole_documents(d), sparse.term_counts(d, stop)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(sparse.term_frequencies(whole, stop)) == rows(counts.groupBy("lang", "term").agg(F.count("*")))
+    stemmed = sparse.term_counts(d, stop, stems.stem_vocab).groupBy("lang", "term").agg(F.count("*"))
+    assert rows(sparse.term_frequencies(whole, stop, stems.stem)) == rows(stemmed)
+    idf = sparse.inverse_frequencies(counts, sizes)
+    asked = sparse.weights(sparse.term_counts(q, stop), idf)
+    want = sparse.sparse_top_k(sparse.weights(counts, idf), asked, 7)
+    for block in (4096, 4):
+        got = sparse.scanned_top_k(whole, stop, idf, asked, 7, block)
+        assert rows(got.select("lang", "query_id", "id", "rank", F.round("score", 9))) == rows(want.select("lang", "query_id", "id", "rank", F.round("score", 9)))
