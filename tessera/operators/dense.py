@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
+from ..functions.wordcounts import Numbers, lots
 
 QUERY_BLOCK, PLACES = 4096, 500_000
 QUERY_PREFIX = "Instruct: find the passage that answers the question\nQuery: "
@@ -26,22 +28,22 @@ def hash_embeddings(texts: DataFrame, dim: int = 64, prefix: str = "", id_col: s
     find = re.compile(TOKEN).findall
 
     def work(batches):
-        places: dict[str, tuple[int, int]] = {}
+        words, at, sign = Numbers(), array("q"), array("d")
         for b in batches:
-            out = np.zeros((b.num_rows, dim))
-            for v, text in zip(out, b.column(1)):
-                for word, n in Counter(find(prefix + (text.as_py() or ""))).items():
-                    if word not in places:
-                        if len(places) >= PLACES:
-                            places.clear()
-                        h = int(hashlib.md5(word.lower().encode()).hexdigest()[:12], 16)
-                        places[word] = h % dim, -1 if h >> 40 & 1 else 1
-                    at, sign = places[word]
-                    v[at] += sign * n
-            norm = np.sqrt((out * out).sum(1, keepdims=True))
-            np.divide(out, norm, out=out, where=norm > 0)
-            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], names=["id", "embedding"])
+            for rows in lots(b.column(1)):
+                some = pa.array(rows)
+                doc, word, n = words.counts([find(prefix + (x or "")) for x in b.column(1).take(some).to_pylist()])
+                for w in islice(words, len(at), None):
+                    h = int(hashlib.md5(w.lower().encode()).hexdigest()[:12], 16)
+                    at.append(h % dim)
+                    sign.append(-1 if h >> 40 & 1 else 1)
+                out = np.bincount(doc * dim + np.array(at, np.int64)[word], np.array(sign)[word] * n, len(rows) * dim).reshape(-1, dim).astype(float)
+                norm = np.sqrt((out * out).sum(1, keepdims=True))
+                np.divide(out, norm, out=out, where=norm > 0)
+                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], names=["id", "embedding"])
+                if len(words) >= PLACES:
+                    words, at, sign = Numbers(), array("q"), array("d")
 
     kind = texts.schema[id_col].dataType.simpleString()
     return texts.select(id_col, "text").mapInArrow(work, f"`{id_col}` {kind}, embedding array<double>")

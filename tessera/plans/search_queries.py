@@ -64,11 +64,8 @@ def _idf(spark: SparkSession, sf_dir: str, docs: DataFrame, stop=STOP, stem=None
 
 def _sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = sparse.whole_documents(table(spark, sf_dir, "documents"))
-    idf = _idf(spark, sf_dir, docs)
     q = _queries(spark, sf_dir).select("lang", F.col("query_id").alias("doc_id"), F.col("question").alias("text"))
-    asked = stored(sparse.weights(sparse.term_counts(q, STOP), idf), "questions")
-    hits = sparse.scanned_top_k(docs, STOP, idf, asked, k)
-    dropped(asked, idf)
+    hits = sparse.searched_top_k(docs, STOP, _sizes(spark, sf_dir), sparse.term_counts(q, STOP), k)
     return hits.select("query_id", "id", "score", "rank")
 
 

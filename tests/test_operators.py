@@ -424,3 +424,30 @@ def test_search_that_scans_texts_equals_postings(spark):
     for block in (4096, 4):
         got = sparse.scanned_top_k(whole, stop, idf, asked, 7, block)
         assert rows(got.select("lang", "query_id", "id", "rank", F.round("score", 9))) == rows(want.select("lang", "query_id", "id", "rank", F.round("score", 9)))
+
+
+def test_search_reads_each_text_once(spark):
+    """Frequencies and what documents hold of the questions' terms come from one pass; hits equal those of postings."""
+    random.seed(12)
+    words = ["Hauptbahnhof", "der", "zwei-fach", "the", "Running", "İx", "größe"] + [f"w{i}" for i in range(25)]
+    docs = [(i, random.choice(["de", "en"]), " ".join(random.choices(words, k=random.randrange(40))) or None) for i in range(300)]
+    d = spark.createDataFrame(docs, "id long, lang string, text string")
+    questions = spark.createDataFrame([(i, random.choice(["de", "en"]), " ".join(random.choices(words + ["unheard"], k=6))) for i in range(15)], "doc_id long, lang string, text string")
+    stop, sizes = {"de": ["der"], "en": ["the"]}, d.groupBy("lang").agg(F.count("*").alias("n"))
+    counts, asked = sparse.term_counts(d, stop, id_col="id"), sparse.term_counts(questions, stop)
+    idf = sparse.inverse_frequencies(counts, sizes)
+    want = sparse.sparse_top_k(sparse.weights(counts, idf), sparse.weights(asked, idf), 7)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = lambda df: sorted(map(tuple, df.select("lang", "query_id", "id", "rank", F.round("score", 9)).collect()))
+    texts = d.select("lang", "id", "text").mapInArrow(watched, "lang string, id long, text string")
+    assert rows(sparse.searched_top_k(texts, stop, sizes, asked, 7)) == rows(want)
+    assert seen.value == len(docs)
+    assert rows(sparse.searched_top_k(d, stop, sizes, asked, 7, 4)) == rows(want)
+    assert rows(sparse.searched_top_k(d.limit(0), stop, sizes, asked, 7)) == []
+    assert rows(sparse.searched_top_k(d, stop, sizes, asked.limit(0), 7)) == []
