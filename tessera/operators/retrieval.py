@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import squeezed, tokens
 
 RRF_K, POOL, FINAL, CONFIDENT, ATTEMPTS = 60, 50, 5, 0.55, 3
+#: Ids that are sent to all executors at most.
+BROADCAST_IDS = 1_000_000
 
 
 def allowed(choice: str, value: str) -> Column:
@@ -71,6 +73,15 @@ def history_block(turns: DataFrame, labels: dict[str, str]) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(got, lambda x: x["line"]), "\n").alias("history"))
 
 
+def with_texts(hits: DataFrame, docs: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``hits`` with all columns of ``docs`` (id, ...). Up to ``most`` ids go to where the documents lie, so that only texts that
+    were found are moved; more are met by a join of both."""
+    ids = hits.select("id").distinct()
+    if ids.limit(most + 1).count() <= most:
+        docs = docs.join(F.broadcast(ids), "id", "left_semi")
+    return hits.join(docs, "id")
+
+
 def first_pass_wins(hits: DataFrame) -> DataFrame:
     """A chunk found in several passes keeps the hit of the first (query_id, id, pass_no, rank, score)."""
     w = Window.partitionBy("query_id", "id").orderBy("pass_no", "rank")

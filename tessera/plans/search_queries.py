@@ -244,7 +244,8 @@ rr as (select query_id, id, s as score, text, row_number() over (partition by qu
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return _sparse_hits(spark, sf_dir, 50).join(_queries(spark, sf_dir).drop("lang"), "query_id").join(docs, "id")
+    hits = retrieval.with_texts(_sparse_hits(spark, sf_dir, 50), docs)
+    return stored(hits.join(_queries(spark, sf_dir).drop("lang"), "query_id"), "pool")
 
 
 @register(f"with {_RERANK_SQL} select query_id, id as doc_id, rank, round(score, 6) as score from top")
@@ -273,8 +274,10 @@ _CLAIMS_SQL = _RERANK_SQL + f", cl as (select item_id as query_id, item_id % 5 +
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hits = stored(retrieval.rerank(_pool(spark, sf_dir)), "hits").join(docs, "id")
+    pool = _pool(spark, sf_dir)
+    # a pool holds each text once for each question, so the documents are not read again
+    hits = stored(retrieval.rerank(pool).join(pool.select("query_id", "id", "text"), ["query_id", "id"]), "hits")
+    dropped(pool)
     # half of the questions quote the source that they cite, the others themselves
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5 + 1).alias("source"), F.col("text").alias("own"))
     cited = hits.select("query_id", F.col("rank").alias("source"), F.when(F.col("query_id") % 2 == 0, F.substring("text", 11, 40)).alias("said"))

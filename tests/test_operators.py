@@ -451,3 +451,21 @@ def test_search_reads_each_text_once(spark):
     assert rows(sparse.searched_top_k(d, stop, sizes, asked, 7, 4)) == rows(want)
     assert rows(sparse.searched_top_k(d.limit(0), stop, sizes, asked, 7)) == []
     assert rows(sparse.searched_top_k(d, stop, sizes, asked.limit(0), 7)) == []
+
+
+def test_texts_of_hits_move_alone(spark):
+    """Documents are filtered where they lie, so a shuffle moves only what was found; beyond the bound both sides meet."""
+    docs = spark.range(2000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    hits = spark.createDataFrame([(q, q * 7 + i, i + 1) for q in range(5) for i in range(3)], "query_id long, id long, rank int")
+    for most in (1000, 2):
+        got = retrieval.with_texts(hits, docs, most)
+        assert sorted(map(tuple, got.select("query_id", "id", "rank", "text").collect())) == [(q, q * 7 + i, i + 1, f"text {q * 7 + i}") for q in range(5) for i in range(3)]
+        assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == (most == 1000)
+
+
+def test_claims_read_the_documents_for_the_pool_alone(spark, sf_dir):
+    from tessera.plans import search_queries as s
+
+    claims, hits = s._claims(spark, sf_dir)
+    for df in (claims, hits):
+        assert not any("documents.parquet" in f for f in df.inputFiles())
