@@ -43,6 +43,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def visible(text: Column) -> Column:
+    """Whether ``strip`` leaves anything; no more is read than up to the first such character."""
+    return text.rlike(r"(?U)\S")
+
+
 def squeezed(text: Column) -> Column:
     """Lower-cased without any white space: the form in which quotes are looked for."""
     return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
