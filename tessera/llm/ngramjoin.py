@@ -14,7 +14,8 @@ Documents are sets of five-word shingles; two link at a distance of r = 0.25 or
    triangle inequality two documents that link meet in the region of one of them.
 5. Regions are cells again, with pivots of their own, until they are small or until the windows no longer part them.
 6. In what is left, documents of different components are compared where their distances to the pivot
-   differ by r at most, and exactly. Documents that a common pivot links need no look at each other.
+   differ by r at most and their sketches (parities of shingles by hash) by no more bits than sets that link may
+   differ in shingles, and exactly. Documents that a common pivot links need no look at each other.
 
 Components come from stars. Neither pairs of a cell nor of a region are written, but for those of step 6.
 """
@@ -31,6 +32,8 @@ from .scratch import drop, release, save
 #: Share of hashes that step 2 looks at; size of a small region; members for each pivot, and most pivots of a region;
 #: share of a region's size from which the windows count as not parting it; most documents of a block.
 EIGHTHS, SMALL, MEMBERS, PIVOTS, PARTED, BLOCK = 3, 16, 32, 4, 0.75, 256
+#: So many ids at most go to all executors, to pick texts or sets before these are shuffled.
+BROADCAST_IDS = 1_000_000
 RADIUS = 0.25 + 1e-9
 
 
@@ -38,23 +41,36 @@ def _needed(n):
     return F.ceil(n * 3 / F.lit(4))
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, which was saved, to be broadcast if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) -> a, b, d (Jaccard distance) and link (exact, in whole numbers)."""
+    """(a, b), repeated or not -> each pair's a, b, d (Jaccard distance) and link (exact, in whole numbers), written."""
+    pairs = save(pairs.distinct())
+    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    sets = sets.join(_few(ids), "rep", "left_semi")
     x, y = (sets.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return both.select("a", "b", (1 - common / union).alias("d"), (common * 100 >= union * 75).alias("link"))
+    out = save(both.select("a", "b", (1 - common / union).alias("d"), (common * 100 >= union * 75).alias("link")))
+    drop(pairs)
+    drop(ids)
+    return out
 
 
 def _cells(sets: DataFrame) -> DataFrame:
     """(cell, rep, n, u, i): each set at its rarest shared shingles; i is the shingle's place in the set's order, behind the u that no other set has."""
     df = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    own = sets.select("rep", "n", F.explode("s").alias("h")).join(df, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+    # rarity by powers of two and the hash's upper 58 bits as one number: its order is the sets' order
+    key = F.shiftleft(F.floor(F.log2("df")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("h", 6))
+    own = sets.select("rep", "n", F.explode("s").alias("h")).join(df.select("h", key.alias("key")), "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list("key")).alias("o"))
     unique = F.col("n") - F.size("o")
     length = F.col("n") - _needed(F.col("n")) + 1 - unique
-    own = own.where(length > 0).select("rep", "n", unique.alias("u"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "x"))
-    return own.select(F.col("x.h").alias("cell"), "rep", "n", "u", (F.col("i") + F.col("u")).alias("i"))
+    own = own.where(length > 0).select("rep", "n", unique.alias("u"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "cell"))
+    return own.select("cell", "rep", "n", "u", (F.col("i") + F.col("u")).alias("i"))
 
 
 def _may_link(x: str, y: str):
@@ -64,8 +80,20 @@ def _may_link(x: str, y: str):
     return (nx * 4 >= ny * 3) & (ny * 4 >= nx * 3) & (F.least(nx - ix, ny - iy) + F.least(ix - ux, iy - uy) >= F.ceil((nx + ny) * 3 / F.lit(7)))
 
 
-def _with_size(regions: DataFrame) -> DataFrame:
-    return regions.join(regions.groupBy("region").agg(F.count("*").alias("m")).where("m > 1"), "region")
+def _close(x: str, y: str):
+    """Whether the sketches of two rows differ in no more bits than their sets may in shingles; true for all that link."""
+    differ = sum((F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(wordsets.SKETCH)), F.lit(0))
+    return differ * 7 <= F.col(f"{x}.n") + F.col(f"{y}.n")
+
+
+def _apart(every: DataFrame) -> DataFrame:
+    """``every`` and m, the size of its cell, for one of the cells that hold the same sets; cells of one set are left out.
+
+    Near copies share all their rare shingles, so most cells tell nothing that another one does not. The cells' members are compared by 128 bits.
+    """
+    alike = every.groupBy("cell").agg(F.count("*").alias("m"), *(F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (0, 1))).where("m > 1")
+    kept = alike.groupBy("m", "x0", "x1").agg(F.min("cell").alias("cell")).select("cell", "m")
+    return every.join(kept, "cell")
 
 
 def _parted(regions: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -76,24 +104,28 @@ def _parted(regions: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame,
     share = F.pmod(F.xxhash64("rep"), F.least(F.ceil(F.col("m") / MEMBERS), F.lit(PIVOTS)))
     pivots = regions.groupBy("region", share.alias("k")).agg(F.min("rep").alias("p")).select("region", "p")
     met = regions.join(pivots, "region")
-    dist = save(_measured(met.where("rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), sets))
+    dist = _measured(met.where("rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b")), sets)
+    own = save(met.join(dist.withColumnsRenamed({"a": "rep", "b": "p"}), ["rep", "p"], "left"))
     # a pivot's pairs are all measured now, so it goes no further
-    own = met.join(pivots.withColumnsRenamed({"p": "rep"}), ["region", "rep"], "left_anti")
-    own = own.join(dist.withColumnsRenamed({"a": "rep", "b": "p"}), ["rep", "p"])
-    near = own.groupBy("region", "rep").agg(F.min("d").alias("least"), F.min_by("p", F.struct("d", "p")).alias("q"))
+    near = own.groupBy("region", "rep").agg(F.min("d").alias("least"), F.min_by("p", F.struct("d", "p")).alias("q"), F.max(F.col("rep") == F.col("p")).alias("pivot")).where("not pivot")
     at = own.join(near, ["region", "rep"]).where((F.col("p") == F.col("q")) | ((F.col("p") < F.col("q")) & (F.col("d") <= F.col("least") + 2 * RADIUS)))
     visit = F.when(F.col("p") != F.col("q"), F.lit(1 << level)).otherwise(F.lit(0)).cast("long")
     new = at.select(F.xxhash64("region", "p", F.lit(level)).alias("region"), "cell", "rep", "n", "u", "i", F.col("mask").bitwiseOR(visit).alias("mask"), "d", "link", F.col("m").alias("of"))
+    new = save(new)
+    drop(own)
     sizes = new.groupBy("region").agg(F.count("*").alias("m"), F.min(F.col("link").cast("int")).alias("linked"), F.bit_and("mask").alias("away"))
-    new = save(new.join(sizes.where("m > 1 and linked = 0 and away = 0").select("region", "m"), "region"))
+    every, new = new, save(new.join(sizes.where("m > 1 and linked = 0 and away = 0").select("region", "m"), "region"))
+    drop(every)
     leaf = (F.col("m") <= SMALL) | (F.col("m") > F.col("of") * PARTED)
     return dist.where("link").select("a", "b"), new.where(leaf), new.where(~leaf).drop("d", "link", "of")
 
 
 def set_links(sets: DataFrame) -> DataFrame:
     """``sets`` (rep, n, s), all different -> edges (a, b) that leave the components of all linked pairs."""
-    every = save(_cells(sets))
-    regions = save(_with_size(every.select(F.col("cell").alias("region"), "cell", "rep", "n", "u", "i", F.lit(0).cast("long").alias("mask"))))
+    cells = save(_cells(sets))
+    every = save(_apart(cells))
+    drop(cells)
+    regions = every.select(F.col("cell").alias("region"), "cell", "rep", "n", "u", "i", F.lit(0).cast("long").alias("mask"), "m")
     links, leaves, level = None, None, 0
     while level == 0 or not regions.isEmpty():
         found, small, regions = _parted(regions, sets, level)
@@ -108,15 +140,15 @@ def set_links(sets: DataFrame) -> DataFrame:
     main = sizes.groupBy("region").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     rows = save(rows.join(main.select("region", "main", F.ceil(F.col("all") / BLOCK).alias("nb")), "region"))
     prefixes = every.join(rows.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.collect_list("cell").alias("cells"))
-    rows = rows.join(prefixes, "rep")
+    rows = rows.join(prefixes.join(sets.select("rep", "sketch"), "rep"), "rep")
     few = rows.where("component <> main").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     x, y = few.alias("x"), rows.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb"))).alias("y")
     open_ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    window = (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS) & (F.col("x.mask").bitwiseAND(F.col("y.mask")) == 0) & _may_link("x", "y")
+    window = (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS) & (F.col("x.mask").bitwiseAND(F.col("y.mask")) == 0) & _may_link("x", "y") & _close("x", "y")
     # a pair may share many cells; it is looked at in the first of them
     here = F.array_min(F.array_intersect("x.cells", "y.cells")) == F.col("x.cell")
     both = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.b") == F.col("y.b")) & open_ & window & here)
-    pairs = save(both.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+    pairs = both.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     return save(links.union(_measured(pairs, sets).where("link").select("a", "b")))
 
 
@@ -140,8 +172,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = save(keyed.where(known).groupBy("k1", "k2", "n").agg(F.min("doc").alias("first")))
     maybe = save(classes.join(unique, "k1", "left").where(F.coalesce("u", F.lit(0)) <= F.col("n") - _needed(F.col("n"))).select("first", "k1"))
     drop(unique)
-    got = own.join(maybe.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select("doc", "text").mapInArrow(wordsets.sets, "first bigint, rep bigint, n bigint, s array<bigint>")
-    sets = save(got.join(maybe.withColumnRenamed("k1", "rep"), ["first", "rep"], "left_semi").select("rep", "n", "s").dropDuplicates(["rep"]))
+    # a document's texts may give other sets than that of its class
+    ids = save(maybe.select(F.col("first").alias("doc")).distinct())
+    got = own.join(_few(ids), "doc", "left_semi").select("doc", "text").mapInArrow(wordsets.sets, "first bigint, rep bigint, n bigint, s array<bigint>, sketch array<bigint>")
+    sets = save(got.join(_few(maybe.withColumnRenamed("k1", "rep")), ["first", "rep"], "left_semi").select("rep", "n", "s", "sketch"))
+    drop(ids)
+    if not sets.groupBy("rep").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        every, sets = sets, save(sets.dropDuplicates(["rep"]))
+        drop(every)
     drop(maybe)
     release(docs.sparkSession)
     comp = save(connected_components(set_links(sets)).withColumnRenamed("id", "k1"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 
 WIDTH, CACHE = 5, 1_000_000
+#: Longs of a sketch.
+SKETCH = 16
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -46,6 +48,13 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes that fall to each of 64 * ``SKETCH`` places is odd, as longs. Sets' sketches differ in
+    as many bits as the sets differ in hashes, at most."""
+    odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def keys(eighths: int):
     """(id, text) -> id, n, k1, k2, part: the set's size and key, and those of its hashes that fall into ``eighths`` eighths of all."""
 
@@ -64,8 +73,9 @@ def keys(eighths: int):
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> id, k1, n, s array<bigint>."""
+    """(id, text) -> id, k1, n, s array<bigint>, sketch array<bigint>."""
     hashes = WordHashes()
     for b in batches:
         got = [shingle_set(t.as_py(), hashes) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s)[0] for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=list("abcd"))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s)[0] for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], longs), pa.array([sketch(s) for s in got], longs)], names=list("abcde"))

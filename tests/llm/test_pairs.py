@@ -96,6 +96,27 @@ def test_ngram_join_of_large_regions(spark):
         setattr(ngramjoin, n, v)
 
 
+def test_ngram_join_of_near_misses(spark, monkeypatch):
+    """A group of variants of which hardly any two link is not measured pair by pair, and cells of the same sets count once."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in range(5):
+            w[r.randrange(k * 24, k * 24 + 20)] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(x) for i, x in rows}
+    pairs, measured = [], ngramjoin._measured
+    monkeypatch.setattr(ngramjoin, "_measured", lambda p, s: (pairs.append(p.distinct().count()), measured(p, s))[1])
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == link(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    assert pairs[-1] < 200  # of 7,140
+    cells = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 2), ("d", 2), ("d", 3)]
+    kept = ngramjoin._apart(spark.createDataFrame(cells, "cell string, rep long")).collect()
+    assert sorted((x.cell, x.rep, x.m) for x in kept) == [("a", 1, 2), ("a", 2, 2), ("d", 2, 2), ("d", 3, 2)]
+
+
 def test_ngram_join_of_ids_with_several_texts(spark):
     one, other = "a b c d e f g h", "p q r s t u v w"
     got = ngramjoin.near_duplicates(spark.createDataFrame([(1, one), (2, one), (2, other), (3, other), (4, "solo")], "doc_id long, text string")).collect()
