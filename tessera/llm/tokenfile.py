@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from .scratch import drop, release, save
 MAGIC = b"TESSIDS1"
 BLOCK, CHECK = 1 << 20, 256
 SHARD_IDS = 1 << 23
-CACHE_ENTRIES, CACHE_LETTERS, GROUP = 200_000, 40, 1 << 20
-TAIL = ".,;:!?"
+#: Letters of texts whose words are looked up together, words for one call of the library, and words and bytes of words from which a worker forgets them.
+GROUP, CALL, KNOWN, KNOWN_BYTES = 1 << 23, 20_000, 800_000, 1 << 24
 #: Two blanks or line ends side by side, and any other white space, of ASCII and beyond it.
 PAIRS = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 RARE = tuple(c for c in map(chr, range(128, 0x3001)) if c.isspace())
@@ -227,12 +228,12 @@ class Reader:
 
 
 class Encoder:
-    """Whole texts to ids by the ``tokenizers`` library, with a memory of words; one for each Python worker and model.
+    """Whole texts to ids by the ``tokenizers`` library; one for each Python worker and model.
 
-    A text is cut at single blanks and line ends between other characters, and a word before the marks of ``TAIL``. A
-    byte-level pattern ends a word at each of these places whatever stands around it, and no added token holds such a place, so
-    the parts encode as they do inside the text. Words not seen before go to the library side by side in one text, and
-    bytes of ids tell whose an id is. Texts with other white space are cut before blanks that follow a non-blank only.
+    A text is cut at single blanks and line ends between other characters. A byte-level pattern ends a word at each of
+    these places whatever stands around it, and no added token holds such a place, so the parts encode as they do inside the text. Each
+    different word of a group of texts that is not known from groups before goes to the library once, side by side with others in one
+    text, and bytes of ids tell whose an id is. Texts with other white space are cut before blanks that follow a non-blank only.
     """
 
     def __init__(self, spec: str, wide: int):
@@ -247,67 +248,53 @@ class Encoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for t, i in vocab.items():
             self.size[i] = added.get(i, len(t))
-        self.line = len(self.library("\n").tobytes())
-        # words behind a blank, and with their line end words behind one; those of the last and of the time before
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.line = len(self.library("\n"))
+        self.forget()
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def learn(self, words: set[str]) -> None:
-        """Ids of new words, side by side in one text."""
-        tails = {}
-        for w in words:
-            if w in self.older:
-                self.known[w] = self.older[w]
-                continue
-            core = w.rstrip(TAIL)
-            if core != w and core and core[-1].isalnum():
-                tails[w] = core
-        new = list(words.difference(tails, self.known).union(tails.values(), {"\n" + w[len(c) :] for w, c in tails.items()}).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            some = [w if w[:1] == "\n" else " " + w for w in new[i : i + 20_000]]
-            ids = self.library("".join(some))
-            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in some])
-            cuts = (np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1) * ids.itemsize
-            data, at = ids.tobytes(), 0
-            for w, cut in zip(new[i : i + 20_000], cuts.tolist()):
-                self.known[w] = data[at:cut]
-                at = cut
-        for w, core in tails.items():
-            self.known[w] = self.known[core] + self.known["\n" + w[len(core) :]][self.line :]
+    def forget(self) -> None:
+        """``known`` are different words; ids, first and count tell the ids of each."""
+        self.known, self.ids = pa.array([], pa.string()), np.zeros(0, self.kind)
+        self.first = self.count = np.zeros(0, np.int64)
+
+    def learn(self, words: pa.Array) -> None:
+        """Ids of new words. Those behind a line end begin with it, all others stand behind a blank."""
+        behind = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        first, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        found, n = [self.ids], len(self.ids)
+        for kind, blank in ((behind, ""), (~behind, " ")):
+            at = np.flatnonzero(kind)
+            for i in range(0, len(at), CALL):
+                some = words.take(pa.array(at[i : i + CALL]))
+                ids = self.library(blank + blank.join(some.to_pylist()))
+                ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + len(blank))
+                cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
+                size = np.diff(cuts, prepend=0)
+                count[at[i : i + CALL]], first[at[i : i + CALL]] = size, n + cuts - size
+                found.append(ids)
+                n += len(ids)
+        self.known = pa.concat_arrays([self.known, words])
+        self.ids, self.first, self.count = np.concatenate(found), np.concatenate([self.first, first]), np.concatenate([self.count, count])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        get, cut, missing = self.known.get, [], set()
-        for t in texts:
-            if not plain(t):
-                cut.append(None)
-                continue
-            words = ("\n" + t.replace("\n", " \n")).split(" ")
-            got = list(map(get, words))
-            if None in got:
-                missing.update([w for w, g in zip(words, got) if g is None])
-                cut.append((words, got))
-            else:
-                cut.append((None, got))
-        if missing:
-            self.learn(missing)
-        out = []
-        for t, x in zip(texts, cut):
-            if not x:
-                out.append(b"".join([self.library(p).tobytes() for p in grouped(CUT.split(t))]))
-                continue
-            words, got = x
-            if words:
-                got = [get(w) if g is None else g for w, g in zip(words, got)]
-            out.append(b"".join(got)[self.line :])
-        for w in missing:
-            if len(w) > CACHE_LETTERS:
-                self.known.pop(w, None)
-        return out
+        known = list(map(plain, texts))
+        cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t, k in zip(texts, known) if k], pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        if len(self.known) > KNOWN or self.known.nbytes > KNOWN_BYTES:
+            self.forget()
+        new = pc.is_null(pc.index_in(coded.dictionary, self.known))
+        if pc.any(new).as_py():
+            self.learn(coded.dictionary.filter(new))
+        word = pc.index_in(coded.dictionary, self.known).to_numpy()[coded.indices.to_numpy()]
+        n = self.count[word]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.first[word] - (ends - n), n) + np.arange(n.sum())]
+        # the line end before a text is no part of it
+        ends = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
+        own = zip((ends[:-1] + self.line).tolist(), ends[1:].tolist())
+        return [ids[slice(*next(own))].tobytes() if k else b"".join([self.library(p).tobytes() for p in grouped(CUT.split(t))]) for t, k in zip(texts, known)]
 
 
 def plain(text: str) -> bool:

@@ -99,6 +99,22 @@ def test_ids_through_files(spark, library, monkeypatch, small):
     assert crc == {(r.doc_id, r.start): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got}
 
 
+def test_words_go_to_the_library_once(library, monkeypatch):
+    """Long words and words of earlier groups too, until there are too many."""
+    with open(MODEL, encoding="utf-8") as f:
+        enc = tokenfile.Encoder(f.read(), 2)
+    texts = ["first " + "x" * 60 + " last.\nnext line, first", "\n", "", "two  blanks", "line\nfirst last. line"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    sent, call = [], enc.library
+    monkeypatch.setattr(enc, "library", lambda t: (sent.append(t), call(t))[1])
+    assert enc.encode(texts) == want
+    sent.clear()
+    assert enc.encode(texts[:1] + texts[4:]) == want[:1] + want[4:] and not sent
+    monkeypatch.setattr(tokenfile, "KNOWN", 2)
+    assert enc.encode(texts) == want and sent
+    assert enc.encode([]) == []
+
+
 def test_no_documents_no_ids(spark):
     assert tokenfile.file_digests(spark.createDataFrame([], DOCS), MODEL, new_path(spark, "t")).count() == 0
 
