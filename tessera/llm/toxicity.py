@@ -13,8 +13,10 @@ other words are clean. The sample is bounded: ``COUNT_ROWS`` documents for the t
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
         part = own.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
         pick = part if pick is None else pick.union(part)
     got = F.broadcast(pick)  # at most 3 * COUNT_ROWS short rows
-    rows = docs.where("text is not null").select("doc_id", "text").join(got, "doc_id").select("text", "y", "h").toPandas().sort_values(["h", "text"])
-    return learn(rows["text"].tolist(), rows["y"].astype(int).tolist())
+    rows = docs.where("text is not null").select("doc_id", "text").join(got, "doc_id").select("text", "y", "h")
+    model = rows.repartition(1).mapInArrow(learned, "model binary").first()
+    return pickle.loads(model.model) if model else learn([], [])
+
+
+def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y, h) -> one row, the pickled model. The sample is bounded, so one task holds it; the driver gets weights and no texts."""
+    own = list(batches)
+    rows = pa.Table.from_batches(own).sort_by([("h", "ascending"), ("text", "ascending"), ("y", "ascending")]) if own else None
+    model = learn(rows["text"].to_pylist(), [int(y) for y in rows["y"].to_pylist()]) if own else learn([], [])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 class Evidence(dict):

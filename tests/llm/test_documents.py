@@ -156,6 +156,20 @@ def labelled(spark, n=600):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
 
 
+def test_toxicity_learns_outside_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("vile scum rot " if i % 2 else "kind warm sun ") + f"word{i} here there {i * 7}") for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    rows = docs.join(labels, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(3))).orderBy("h").collect()
+    want = toxicity.learn([r.text for r in rows], [r.toxic for r in rows])
+
+    def refuse(*_):
+        raise AssertionError("texts reached the driver")
+
+    monkeypatch.setattr(toxicity, "learn", refuse)
+    got = toxicity.fit(docs, labels)
+    assert want.keys() == got.keys() and all(np.array_equal(want[k], got[k]) for k in want)
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     got = toxicity.score_toxicity(docs, labels, docstats.fold(F.col("doc_id"), 3) == 1).collect()
