@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, release, save
-from .shingles import SPACE, WIDTH, shingle_rows, shingles, split_words
+from .shingles import SPACE, WIDTH, line_words, shingle_rows, shingles
 
 EIGHTHS, ROUNDS, BLOCK = 3, (4,), 64
-#: Sides of so many lines at most, of two numbers each, go to all executors; larger ones are shuffled.
+#: Sides of so many lines at most, of one short number each, go to all executors; larger ones are shuffled.
 BROADCAST_LINES = 1_000_000
 LIMIT = 4095  # of the budget of unique tokens that a key has room for
 _PLACES = 1 << 62
@@ -39,7 +39,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(doc, th, line_no, line): th tells texts of one doc_id apart. Blank lines are left out."""
     own = docs.where("doc is not null and text is not null")
     out = own.select("doc", _text_hash().alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return out.where(F.btrim("line", F.lit(SPACE)) != "")
+    return out.where(F.ltrim("line", F.lit(SPACE)) != "")
 
 
 def _text_hash() -> Column:
@@ -65,7 +65,7 @@ def _small(df: DataFrame, lines: str) -> DataFrame:
 
 def _ruled_out(lines: DataFrame) -> DataFrame:
     """(k): keys of the lines of which more sampled tokens than a match can miss occur in no line of another key."""
-    w = lines.select(_key().alias("k"), split_words(F.col("line")).alias("w"))
+    w = line_words(lines.select(_key().alias("k"), "line"))
     # a key carries how many tokens a match may miss, and LIMIT where that is not less
     budget = F.least(F.floor((F.greatest(F.size("w") - (WIDTH - 1), F.lit(1))) / 4), F.lit(LIMIT)).cast("long")
     rows = shingle_rows(w.select((F.col("k") + budget).alias("k"), "w")).where(F.col("h").bitwiseAND(7) < EIGHTHS)
@@ -78,22 +78,24 @@ def _ruled_out(lines: DataFrame) -> DataFrame:
 def _sets(own: DataFrame, classes: DataFrame) -> DataFrame:
     """(at, n, t) of the first lines of ``classes``: t holds the distinct tokens. Rows repeat as those of ``own`` do."""
     inner = F.pmod("at", F.lit(_PLACES).cast("decimal(38,0)"))
-    place = classes.select("at", inner.cast("long").alias("inner"), ((F.col("at") - inner) / F.lit(_PLACES).cast("decimal(19,0)")).cast("long").alias("doc"))
-    want = place.groupBy("doc", F.shiftright("inner", 31).alias("th")).agg(F.collect_list(F.struct("at", F.col("inner").bitwiseAND(0x7FFFFFFF).cast("int").alias("i"))).alias("want"))
+    place = classes.select(inner.cast("long").alias("inner"), ((F.col("at") - inner) / F.lit(_PLACES).cast("decimal(19,0)")).cast("long").alias("doc"))
+    want = place.groupBy("doc", F.shiftright("inner", 31).alias("th")).agg(F.collect_list(F.col("inner").bitwiseAND(0x7FFFFFFF).cast("int")).alias("want"))
     both = own.where("text is not null").withColumn("th", _text_hash()).join(_small(save(want), "want"), ["doc", "th"])
-    picked = both.select(F.split("text", "\n").alias("ls"), "want").select("ls", F.explode("want").alias("x"))
-    w = picked.select("x.at", split_words(F.get("ls", F.col("x.i"))).alias("w"))
+    picked = both.select("doc", "th", F.split("text", "\n").alias("ls"), "want").select("doc", "th", "ls", F.explode("want").alias("line_no"))
+    w = line_words(picked.select(_place().alias("at"), F.get("ls", F.col("line_no")).alias("line")))
     return w.select("at", F.array_distinct(shingles(F.col("w"))).alias("t")).select("at", F.size("t").alias("n"), "t")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
     """(h, at, n, u, i): the prefix of each set in the order of rarity; i is a token's place, behind the u that no other set has."""
     df = sets.select(F.explode("t").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    near = sets.select("at", "n", F.explode("t").alias("h")).join(df, "h").groupBy("at", "n").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("o"))
+    # rarity by powers of two and the hash's upper 58 bits as one number: its order is the sets' order
+    key = F.shiftleft(F.floor(F.log2("df")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("h", 6)).alias("key")
+    near = sets.select("at", "n", F.explode("t").alias("h")).join(df.select("h", key), "h").groupBy("at", "n").agg(F.sort_array(F.array_distinct(F.collect_list("key"))).alias("o"))
     unique = F.col("n") - F.size("o")
     length = F.col("n") - _needed(F.col("n")) + 1 - unique  # of the prefix, less its unique tokens, which come first
-    near = near.where(length > 0).select("at", "n", unique.alias("u"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "x"))
-    return near.select(F.col("x.h").alias("h"), "at", "n", "u", (F.col("i") + F.col("u")).alias("i"))
+    near = near.where(length > 0).select("at", "n", unique.alias("u"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "h"))
+    return near.select("h", "at", "n", "u", (F.col("i") + F.col("u")).alias("i"))
 
 
 def _meet(y: DataFrame, x: DataFrame, on: list[str]) -> DataFrame:

@@ -21,6 +21,19 @@ def split_words(text: Column) -> Column:
     return F.split(F.lower(F.btrim(text, F.lit(SPACE))), "[ \\t\\n\\x0B\\f\\r]+")
 
 
+def line_words(lines: DataFrame, line: str = "line", out: str = "w") -> DataFrame:
+    """``lines`` with the column ``line``, which must hold a word, replaced by its ``split_words``.
+
+    Nearly all lines have single blanks alone between their words, and these are split without a regular expression.
+    """
+    w = lines.withColumn("__w", F.split(F.lower(line), " "))
+    odd = F.array_contains("__w", "")
+    for c in SPACE[1:]:
+        odd = odd | F.contains(F.col(line), F.lit(c))
+    keep = [c for c in lines.columns if c != line]
+    return w.select(*keep, F.when(odd, split_words(F.col(line))).otherwise(F.col("__w")).alias(out))
+
+
 def shingles(w: Column, width: int = WIDTH) -> Column:
     """Hashes of all runs of ``width`` words, in order; fewer words count as one run, no words as none."""
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(width))))

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import capjoin, components, decontaminate, linededup, ngramjoin, suffixdedup
+from tessera.llm import shingles as shingle_words
 
 
 def link(ids, pairs):
@@ -149,6 +151,19 @@ def test_line_dedup(spark, seed):
         assert row.text == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
 
 
+def test_line_dedup_sends_short_numbers_and_splits_odd_lines(spark, monkeypatch):
+    sent, small = [], linededup._small
+    monkeypatch.setattr(linededup, "_small", lambda df, lines: sent.append(df.schema[lines].dataType.simpleString()) or small(df, lines))
+    lines = ["Ada  ran home to eat plums", " ada ran\thome to eat plums\r", "\u00c9T\u00c9 a b c d\x0be\x0c f", "one", "  one ", "a b c d e f g h"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.dedup_lines(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+    assert sent == ["array<int>"] * 2
+    got = shingle_words.line_words(df, "text").join(df, "doc_id").select("text", "w").collect()
+    assert len(got) == len(lines)
+    for r in got:
+        assert r.w == re.split("[ \\t\\n\\x0b\\f\\r]+", r.text.strip(" \t\n\x0b\f\r").lower())
+
+
 def test_line_dedup_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "same words in a line here"), (1, "same words in a line here"), (2, "same words in a line here"), (2, "same words in a line here")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_removed) for r in linededup.dedup_lines(df).collect())
