@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.answers import answer_text, sub_questions
-from ..functions.text import strip, word_count
+from ..functions.text import strip
 from ..operators import chunking, language, quality
 from .catalog import register
 from .chunk_queries import chunk_sql, section_sql
@@ -156,8 +156,7 @@ whole as (select doc_id, sum(n) as total from u group by doc_id),
 g as (select s.doc_id, case when total <= 40 then 0 else seg end as seg, string_agg(t, chr(10) order by i) as text from s join whole using (doc_id) group by all)
 select doc_id, row_number() over (partition by doc_id order by seg) - 1 as seg, sha256(text) as text_hash, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::bigint as n_tokens from g where trim(text) <> ''""".replace("\\\\", "\\"))
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.token_windows(F.col("text"), 40)).alias("seg", "text"))
-    return t.select("doc_id", F.col("seg").cast("long").alias("seg"), F.sha2("text", 256).alias("text_hash"), word_count(F.col("text")).cast("long").alias("n_tokens"))
+    return chunking.document_windows(table(spark, sf_dir, "documents"), 40).select("doc_id", "seg", F.sha2("text", 256).alias("text_hash"), "n_tokens")
 
 
 def _chunks(kind: str):

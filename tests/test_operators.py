@@ -4,7 +4,9 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
+from same import rows
 
 from tessera.functions import stems
 from tessera.functions.text import compound_parts, squeezed
@@ -46,6 +48,28 @@ def test_token_windows(spark):
         assert r.w == windows_model(texts[r.i], 5), texts[r.i]
 
 
+def test_token_windows_equal_their_sql_on_odd_documents(spark, tmp_path, monkeypatch):
+    random.seed(5)
+    bits = ["b. ", "c! ", "\n", "x\n\n", "\t", "\x0b", "\r\n", "\x01", "\xa0", "\x85", "\u3000", ".\x0b", "\0", "w " * 15]
+    odd = ["", " ", "\n", "\xa0\u3000", "\x0b", "\n\n" + "w " * 41, "\n" + "w " * 20 + "\x01 " + "w " * 20, *("".join(random.choice(bits) for _ in range(40)) for _ in range(60))]
+    docs = [(i, t) for i, t in enumerate(odd)] + [(None, "no id"), (200, None), (3, None), *([(300, "a line\n" + "w. " * 50)] * 3), *([(301, "")] * 2), *([(i, odd[i]) for i in range(0, 60, 3)])]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = rows(con.sql(catalog.oracle_sql()["token_windows"]).df())
+    for most in (chunking.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(chunking, "BROADCAST_ROWS", most)
+        assert rows(catalog.queries()["token_windows"](spark, str(tmp_path)).toPandas()) == want
+
+
+def test_document_windows_of_batches_and_small_ids(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "LOT", 2)
+    docs = spark.createDataFrame([("a", "one two\nthree\nfour five six"), ("b", "x"), ("b", "y\nz u v w"), ("c", " "), (None, "x")], "doc_id string, text string")
+    got = sorted(map(tuple, chunking.document_windows(docs, 3).collect()))
+    assert got == [("a", "four five six", 1, 3), ("a", "one two\nthree", 0, 3), ("b", "x\ny", 0, 2), ("b", "z u v w", 1, 4)]
+    assert chunking.document_windows(docs.where("doc_id = 'a'").withColumn("doc_id", F.lit(7)), 3).dtypes[0] == ("doc_id", "int")
+
+
 def default_model(els):
     """The walk of the default chunker: type, text and heading path in order."""
     out, prose, lists, path, carry = [], [], [], [], ""
